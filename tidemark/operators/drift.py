@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col, shared_numeric, to_long
@@ -28,7 +28,7 @@ def sided(df: DataFrame, is_current: Column, cols: Sequence[str]) -> DataFrame:
     return to_long(df.withColumn("current", is_current), cols, ids=["current"])
 
 
-def steps(long: DataFrame, bins: int | None = None) -> DataFrame:
+def steps(long: DataFrame, bins: int | None = None, following: str | None = None) -> DataFrame:
     """Per distinct value: cumulative counts of both sides and their totals.
 
     Columns: feature, value, r, c, r_cum, c_cum, n_ref, n_cur.
@@ -41,7 +41,8 @@ def steps(long: DataFrame, bins: int | None = None) -> DataFrame:
         F.count_if(~F.col("current")).alias("n_ref"), F.count_if(F.col("current")).alias("n_cur")
     )
     # totals has one row per column
-    return cumulative(per_value, ["feature"], "value", ["r", "c"], bins).join(F.broadcast(totals), "feature")
+    run = cumulative(per_value, ["feature"], "value", ["r", "c"], bins, following=following)
+    return run.join(F.broadcast(totals), "feature")
 
 
 def ks(long: DataFrame, threshold: float = THRESHOLD, bins: int | None = None) -> DataFrame:
@@ -114,13 +115,7 @@ def wasserstein(long: DataFrame, threshold: float = 0.1, bins: int | None = None
     """``column, distance, normed, drift_detected``: area between the two distribution functions over the reference
     deviation. The test to use on large samples, where KS flags every difference.
     """
-    bins = choose_bins(long.count()) if bins is None else bins
-    stepped = steps(long, bins)
-    if bins <= 1:
-        w = Window.partitionBy("feature").orderBy("value")
-        gaps = stepped.withColumn("_next", F.lead("value").over(w))
-    else:
-        gaps = _next_value(stepped, bins)
+    gaps = steps(long, bins, following="_next")
     height = F.abs(F.col("r_cum") / F.col("n_ref") - F.col("c_cum") / F.col("n_cur"))
     area = gaps.groupBy("feature").agg(F.sum(height * (F.col("_next") - F.col("value"))).alias("distance"))
     spread = long.where(~F.col("current")).groupBy("feature").agg(F.stddev_pop("value").alias("sd"))
@@ -132,29 +127,6 @@ def wasserstein(long: DataFrame, threshold: float = 0.1, bins: int | None = None
     )
 
 
-def _next_value(stepped: DataFrame, bins: int) -> DataFrame:
-    """The next larger value per row, bin by bin; the last row of a bin takes the first value of the next bin."""
-    from tidemark.operators.ordering import bin_index
-
-    probs = [i / bins for i in range(1, bins)]
-    edges = stepped.groupBy("feature").agg(
-        F.array_distinct(F.percentile_approx("value", probs, max(10_000, 10 * bins))).alias("_edges")
-    )
-    binned = stepped.join(F.broadcast(edges), "feature").withColumn(
-        "_bin", bin_index(F.col("_edges"), F.col("value"))
-    ).drop("_edges")
-    firsts = binned.groupBy("feature", "_bin").agg(F.min("value").alias("_min")).withColumn(
-        "_carry", F.lead("_min").over(Window.partitionBy("feature").orderBy("_bin"))
-    ).drop("_min")
-    inside = Window.partitionBy("feature", "_bin").orderBy("value")
-    # firsts has at most `bins` rows per column
-    return (
-        binned.join(F.broadcast(firsts), ["feature", "_bin"])
-        .withColumn("_next", F.coalesce(F.lead("value").over(inside), F.col("_carry")))
-        .drop("_bin", "_carry")
-    )
-
-
 def js_divergence(df: DataFrame, is_current: Column, column: str, threshold: float = 0.1) -> DataFrame:
     """Jensen-Shannon distance (base 2) of the category shares of one column: ``column, distance, drift_detected``."""
     shares = category_counts(df, is_current, column)

@@ -29,34 +29,43 @@ def choose_bins(rows: int, one_task_rows: int = ONE_TASK_ROWS) -> int:
 
 
 def cumulative(steps: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], bins: int = 1,
-               few_keys: bool = True) -> DataFrame:
+               few_keys: bool = True, following: str | None = None) -> DataFrame:
     """Add ``{w}_cum``: the total of ``w`` over rows of the same ``keys`` with a value at or below this one.
 
     ``steps`` has one row per (keys, value), so a value that repeats a billion times is one row here.
     With ``bins > 1`` the values are cut into bins of about equal depth: each bin is one small window,
     and the totals of the bins before it are added. ``few_keys`` states that the keys are column names
     (or pairs of them), so the edge and offset tables are small enough to broadcast.
+    ``following`` names a column for the next larger value of the same keys.
     """
     by = [col(k) for k in keys]
     small = F.broadcast if few_keys else (lambda d: d)
     if bins <= 1:
-        w = Window.partitionBy(*by).orderBy(col(value)).rowsBetween(Window.unboundedPreceding, 0)
-        return steps.withColumns({f"{c}_cum": F.sum(c).over(w) for c in weights})
+        ordered = Window.partitionBy(*by).orderBy(col(value))
+        run = ordered.rowsBetween(Window.unboundedPreceding, 0)
+        out = {f"{c}_cum": F.sum(c).over(run) for c in weights}
+        if following:
+            out[following] = F.lead(col(value)).over(ordered)
+        return steps.withColumns(out)
     probs = [i / bins for i in range(1, bins)]
     edges = steps.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx(col(value), probs, max(10_000, 10 * bins))).alias("_edges")
     )
     binned = steps.join(small(edges), list(keys)).withColumn("_bin", bin_index(F.col("_edges"), col(value))).drop("_edges")
-    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    totals = binned.groupBy(*by, "_bin").agg(*[F.sum(c).alias(f"_t_{c}") for c in weights])
+    ordered = Window.partitionBy(*by).orderBy("_bin")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    totals = binned.groupBy(*by, "_bin").agg(*[F.sum(c).alias(f"_t_{c}") for c in weights], F.min(col(value)).alias("_m"))
     offsets = totals.select(
-        *by, "_bin", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in weights]
+        *by, "_bin", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in weights],
+        F.lead("_m").over(ordered).alias("_carry"),
     )
-    inside = Window.partitionBy(*by, "_bin").orderBy(col(value)).rowsBetween(Window.unboundedPreceding, 0)
-    out = binned.join(small(offsets), [*keys, "_bin"]).withColumns(
-        {f"{c}_cum": F.sum(c).over(inside) + F.col(f"_o_{c}") for c in weights}
-    )
-    return out.drop("_bin", *[f"_o_{c}" for c in weights])
+    inside = Window.partitionBy(*by, "_bin").orderBy(col(value))
+    run = inside.rowsBetween(Window.unboundedPreceding, 0)
+    columns = {f"{c}_cum": F.sum(c).over(run) + F.col(f"_o_{c}") for c in weights}
+    if following:
+        columns[following] = F.coalesce(F.lead(col(value)).over(inside), F.col("_carry"))
+    out = binned.join(small(offsets), [*keys, "_bin"]).withColumns(columns)
+    return out.drop("_bin", "_carry", *[f"_o_{c}" for c in weights])
 
 
 def quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], rows: int | None = None,

@@ -99,6 +99,11 @@ def invert_scaler(df: DataFrame, cols: Sequence[str], params: DataFrame) -> Data
     return apply_params(df, params, cols, ["center", "scale"], lambda x, get: x * get("scale") + get("center"))
 
 
+def pin(params: DataFrame) -> DataFrame:
+    """A parameter table (one row per column) as a local table, so that applying it never refits it."""
+    return params.sparkSession.createDataFrame(params.collect(), params.schema)
+
+
 @dataclass(frozen=True)
 class Preprocessor:
     """Everything fitted on the training slice: one parameter table for all columns.
@@ -114,20 +119,21 @@ class Preprocessor:
     def fit(train: DataFrame, targets: Sequence[str], features: Sequence[str], scaler: str = "robust",
             clip_k: float = 3.0) -> "Preprocessor":
         """Targets: clip bounds, transform, then standard scaling. Features: the named scaler."""
-        bounds = clip_bounds(train, targets, clip_k)
-        shape = fit_transforms(clip(train, targets, bounds), targets).select("feature", "transform")
-        changed = apply_transforms(clip(train, targets, bounds), targets, shape)
-        y = fit_scaler(changed, targets, "standard").withColumn("role", F.lit("target"))
+        bounds = pin(clip_bounds(train, targets, clip_k))
+        clipped = clip(train, targets, bounds)
+        shape = pin(fit_transforms(clipped, targets).select("feature", "transform"))
+        y = fit_scaler(apply_transforms(clipped, targets, shape), targets, "standard").withColumn(
+            "role", F.lit("target")
+        )
         parts = y.join(F.broadcast(shape), "feature", "left").join(F.broadcast(bounds), "feature", "left")
         if features:
             x = fit_scaler(train, features, scaler).withColumn("role", F.lit("feature"))
             parts = parts.unionByName(x, allowMissingColumns=True)
-        # a handful of rows, one per column: pin them so that applying the state never refits it
-        spark = train.sparkSession
-        rows = parts.withColumn("transform", F.coalesce("transform", F.lit("none"))).join(
-            F.broadcast(medians(train, [*targets, *features])), "feature", "left"
+        middle = medians(train, [*targets, *features])
+        params = parts.withColumn("transform", F.coalesce("transform", F.lit("none"))).join(
+            F.broadcast(middle), "feature", "left"
         )
-        return Preprocessor(tuple(targets), tuple(features), spark.createDataFrame(rows.collect(), rows.schema))
+        return Preprocessor(tuple(targets), tuple(features), pin(params))
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = clip(df, self.targets, self.params)

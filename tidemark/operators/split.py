@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
-from tidemark.operators.ordering import running_before
+from tidemark.operators.ordering import ONE_TASK_ROWS, running_before
 from tidemark.operators.panel import Layout, micros, with_neighbours
 from tidemark.spec import PanelSpec
 
@@ -67,7 +67,7 @@ def time_cuts(times: DataFrame, spec: PanelSpec, shares: list[float], buckets: i
 
 
 def split_positional(df: DataFrame, spec: PanelSpec, train: float = 0.70, val: float = 0.15, out: str = "part",
-                     layout: Layout | None = None) -> DataFrame:
+                     layout: Layout | None = None, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Compatibility split: rows by (entity, time), cut at floor(n * share). This slices by entity.
 
     A row's position is its position in the entity plus the rows of all entities before it; the latter comes
@@ -77,7 +77,7 @@ def split_positional(df: DataFrame, spec: PanelSpec, train: float = 0.70, val: f
         raise ValueError("a positional split needs one entity column")
     entity = spec.entity[0]
     sizes = df.groupBy(col(entity)).agg(F.count(F.lit(1)).alias("_size"))
-    offsets = running_before(sizes, [entity], "_size", "_offset").drop("_size")
+    offsets = running_before(sizes, [entity], "_size", "_offset", one_task_rows=one_task_rows).drop("_size")
     placed = with_neighbours(df, spec, [], layout).join(offsets, entity)
     total = sizes.agg(F.sum("_size").alias("n")).select("n").scalar()
     position = F.col("_pos") + F.col("_offset")
