@@ -1,2 +1,248 @@
-QUERIES = {}
-SQL = {}
+"""The lake: partitions, watermarks, manifests, incremental features, stores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.catalog.common import CUT, USERS, events, r, sr, table
+from tidemark.catalog.features import CYCLE_SQL, LAG_SQL, ROLL_SQL, _rounded
+from tidemark.plans.lake_job import LakeJob, lookback_features
+from tidemark.session import scratch_path
+from tidemark.sources import manifest
+from tidemark.sources.lake import CLEAN, FEATURES, RAW, Lake, date_counts, with_date
+from tidemark.sources.readers import SOURCES, read_csv, read_json_pages
+from tidemark.sources.stores import DatasetRegistry, PredictionLog, ReferenceStore, export_csv
+
+MARK = "2024-01-25"
+
+
+def _slim(spark, path):
+    return events(spark, path).select("user_id", "event_id", "ts", "event_type", "value")
+
+
+def _lake(spark, path, layers=(RAW,), before=None):
+    lake = Lake(spark, scratch_path(spark, "lake"))
+    for layer in layers:
+        df = _slim(spark, path)
+        if before and layer in before:
+            df = df.where(F.col("ts") < before[layer])
+        lake.write(df, layer, "ts")
+    return lake
+
+
+def partition_counts(spark, path):
+    return date_counts(with_date(events(spark, path), "ts"))
+
+
+def manifest_doc(spark, path):
+    return manifest.document(date_counts(with_date(events(spark, path), "ts")), "lake", RAW)
+
+
+def list_dates(spark, path):
+    return _lake(spark, path).date_table(RAW)
+
+
+def pending_dates(spark, path):
+    """Dates in the raw layer that the clean layer lacks."""
+    lake = _lake(spark, path, (RAW, CLEAN), {CLEAN: CUT})
+    return spark.createDataFrame([(d,) for d in lake.pending(RAW, CLEAN)], "date date")
+
+
+def date_range_scan(spark, path):
+    return _lake(spark, path).read_range(RAW, "2024-01-10", "2024-01-12").select("event_id", "date", "value")
+
+
+def date_scan(spark, path):
+    return _lake(spark, path).read_date(RAW, "2024-01-15").select("event_id", "value")
+
+
+def dates_scan(spark, path):
+    days = ["2024-01-03", "2024-01-20", "2031-01-01"]
+    return _lake(spark, path).read_dates(RAW, days).select("event_id", "date", "value")
+
+
+def layer_snapshot(spark, path):
+    lake = _lake(spark, path)
+    return lake.snapshot(RAW, scratch_path(spark, "snapshot")).select("event_id", "ts", "value")
+
+
+def lookback_features_query(spark, path):
+    """Features of the dates after the mark, computed with the partitions before it."""
+    lake = _lake(spark, path, (CLEAN,))
+    dates = [d for d in lake.dates(CLEAN) if d.isoformat() >= MARK]
+    out = lookback_features(lake, USERS, ["value"], dates, (1, 3, 7), (3, 7), lookback="rows")
+    return _rounded(out.drop("ts", "event_type", "date"))
+
+
+def _job(spark, **options):
+    return LakeJob(spark, scratch_path(spark, "lake"), USERS, ("value",), lags=(1, 3, 7), windows=(3, 7), **options)
+
+
+def lake_features(spark, path):
+    """The whole lake job in one run: raw, clean, features."""
+    job = _job(spark)
+    job.run(_slim(spark, path))
+    return _rounded(job.lake.read(FEATURES).drop("ts", "event_type", "date"))
+
+
+def lake_incremental(spark, path):
+    """Two ingests split by time give the features of one: the second run starts at the stored watermark."""
+    job = _job(spark)
+    rows = _slim(spark, path)
+    job.run(rows.where(F.col("ts") < CUT))
+    job.ingest(rows)
+    job.clean()
+    job.features(lookback="rows")
+    return _rounded(job.lake.read(FEATURES).drop("ts", "event_type", "date"))
+
+
+def late_append(spark, path):
+    """Rows newer than the mark on a date already written are added to it, and only what is written is counted."""
+    job = _job(spark)
+    rows = _slim(spark, path)
+    early = rows.where(F.col("ts") < "2024-01-15 12:00:00")
+    job.ingest(early)
+    job.ingest(rows)
+    return date_counts(job.lake.read(RAW))
+
+
+def late_side_table(spark, path):
+    """The same with late rows kept apart."""
+    job = _job(spark, policy="side")
+    rows = _slim(spark, path)
+    job.ingest(rows.where(F.col("ts") < "2024-01-15 12:00:00"))
+    job.ingest(rows)
+    raw = job.lake.read(RAW).withColumn("layer", F.lit("raw"))
+    late = job.lake.read("late_rows").withColumn("layer", F.lit("late"))
+    return raw.unionByName(late).groupBy("layer", "date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def watermark_state(spark, path):
+    """The stored mark after two ingests, and the manifests' totals."""
+    job = _job(spark)
+    rows = _slim(spark, path)
+    job.ingest(rows.where(F.col("ts") < CUT))
+    job.ingest(rows)
+    parts = manifest.load_all(spark, job.manifests).select("status", F.explode("partitions").alias("p"))
+    total = parts.where(F.col("status") == "success").agg(F.sum("p.rows").alias("manifest_rows"))
+    mark = job.marks.current().select(
+        "pipeline_name", F.date_format("last_success_at", "yyyy-MM-dd HH:mm:ss").alias("last_success_at"),
+        "last_partition_date", "rows_ingested",
+    )
+    # both sides are one row
+    return mark.withColumn("manifest_rows", total.scalar())
+
+
+def csv_round_trip(spark, path):
+    target = scratch_path(spark, "export")
+    export_csv(table(spark, path, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"), target)
+    out = read_csv(spark, target, "l_shipdate", "l_orderkey long, l_linenumber int, l_quantity double, l_shipdate string")
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", F.to_date("l_shipdate").alias("l_shipdate"))
+
+
+def csv_folder(spark, path):
+    """Every CSV of a folder, read as one registered source."""
+    root = scratch_path(spark, "folder")
+    df = events(spark, path).select("event_id", "event_type", "value")
+    for kind in ("click", "view"):
+        export_csv(df.where(F.col("event_type") == kind), f"{root}/{kind}")
+    out = SOURCES.read(spark, "folder", folder=root, every=True, time=None, numeric=("value",),
+                       schema="event_id long, event_type string, value string")
+    return out.select("event_id", "event_type", "value")
+
+
+def json_pages(spark, path):
+    """Landed API pages (one per user) read from the watermark on."""
+    root = scratch_path(spark, "pages")
+    row = F.struct("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date"), "value")
+    pages = events(spark, path).groupBy("user_id", F.to_date("ts").alias("d")).agg(F.collect_list(row).alias("data"))
+    pages.select("data").write.json(root)
+    out = read_json_pages(spark, root, "event_id long, date string, value double", start=CUT)
+    return out.select("event_id", "value")
+
+
+def reference_snapshot(spark, path):
+    """The latest of two stored baselines with its metadata."""
+    store = ReferenceStore(spark, scratch_path(spark, "reference"))
+    df = _slim(spark, path)
+    store.save(df.where(F.col("ts") < CUT), {"model": "first"})
+    store.save(df.select("event_id", "value"), {"model": "second"})
+    latest = store.metadata().where(F.col("snapshot") == store.latest())
+    return latest.select("n_rows", "n_cols", F.array_join("columns", ",").alias("columns"),
+                         F.col("extra")["model"].alias("model"))
+
+
+def prediction_log_store(spark, path):
+    from tidemark.catalog.monitoring import _log
+    from tidemark.operators.metrics import quality_summary
+
+    store = PredictionLog(spark, scratch_path(spark, "predictions"))
+    log = _log(spark, path).withColumn("timestamp", F.col("ts"))
+    for model in ("persistence", "damped"):
+        store.append(log.where(F.col("model") == model))
+    return quality_summary(store.read(), ["model", "target"])
+
+
+def dataset_registry(spark, path):
+    store = DatasetRegistry(spark, scratch_path(spark, "datasets"))
+    df = _slim(spark, path)
+    store.log(df, "events", "features", {"stage": "train"})
+    store.log(df.where(F.col("ts") >= CUT).select("event_id", "value"), "events", "production")
+    return store.entries().select("name", "context", "n_rows", "n_cols", F.col("tags")["stage"].alias("stage"))
+
+
+QUERIES = {
+    "lookback_features": lookback_features_query,
+    **{f.__name__: f for f in (
+        partition_counts, manifest_doc, list_dates, pending_dates, date_range_scan, date_scan, dates_scan, layer_snapshot,
+        lake_features, lake_incremental, late_append, late_side_table, watermark_state, csv_round_trip, csv_folder,
+        json_pages, reference_snapshot, prediction_log_store, dataset_registry)},
+}
+
+_CLEAN = """(SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id, event_type,
+  value ORDER BY ts, event_id) AS k FROM events) WHERE k = 1)"""
+_FEATURES = f"""SELECT * FROM (SELECT user_id, event_id, value, {CYCLE_SQL}, {LAG_SQL}, {ROLL_SQL} FROM SRC)
+  WHERE value_lag_7 IS NOT NULL"""
+SQL = {
+    "partition_counts": "SELECT CAST(ts AS DATE) AS date, count(*) AS rows FROM events GROUP BY 1",
+    "manifest_doc": """SELECT '{"pipeline":"lake","status":"success","partitions":[' || string_agg('{"date":"' || d
+      || '","layer":"raw","rows":' || n || '}', ',' ORDER BY d) || ']}' AS manifest
+      FROM (SELECT strftime(ts, '%Y-%m-%d') AS d, count(*) AS n FROM events GROUP BY 1)""",
+    "list_dates": "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events",
+    "pending_dates": f"""SELECT CAST(ts AS DATE) AS date FROM events EXCEPT
+      SELECT CAST(ts AS DATE) FROM events WHERE ts < TIMESTAMP '{CUT}'""",
+    "date_range_scan": """SELECT event_id, CAST(ts AS DATE) AS date, value FROM events
+      WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'""",
+    "date_scan": "SELECT event_id, value FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15'",
+    "dates_scan": """SELECT event_id, CAST(ts AS DATE) AS date, value FROM events
+      WHERE CAST(ts AS DATE) IN (DATE '2024-01-03', DATE '2024-01-20')""",
+    "layer_snapshot": "SELECT event_id, ts, value FROM events",
+    "lookback_features": f"""SELECT * EXCLUDE (ts) FROM (SELECT ts, user_id, event_id, value, {CYCLE_SQL}, {LAG_SQL},
+      {ROLL_SQL} FROM events) WHERE value_lag_7 IS NOT NULL AND ts >= TIMESTAMP '{MARK}'""",
+    "lake_features": _FEATURES.replace("SRC", _CLEAN),
+    "lake_incremental": _FEATURES.replace("SRC", _CLEAN),
+    "late_append": "SELECT CAST(ts AS DATE) AS date, count(*) AS rows FROM events GROUP BY 1",
+    "late_side_table": """SELECT CASE WHEN CAST(ts AS DATE) = DATE '2024-01-15' AND ts >= TIMESTAMP '2024-01-15 12:00:00'
+      THEN 'late' ELSE 'raw' END AS layer, CAST(ts AS DATE) AS date, count(*) AS rows FROM events GROUP BY ALL""",
+    "watermark_state": f"""SELECT 'lake' AS pipeline_name, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_success_at,
+      CAST(max(ts) AS DATE) AS last_partition_date, count(*) FILTER (ts >= TIMESTAMP '{CUT}') AS rows_ingested,
+      count(*) AS manifest_rows FROM events""",
+    "csv_round_trip": "SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem",
+    "csv_folder": "SELECT event_id, event_type, value FROM events WHERE event_type IN ('click', 'view')",
+    "json_pages": f"SELECT event_id, value FROM events WHERE ts > TIMESTAMP '{CUT}'",
+    "reference_snapshot": """SELECT count(*) AS n_rows, CAST(2 AS BIGINT) AS n_cols, 'event_id,value' AS columns,
+      'second' AS model FROM events""",
+    "prediction_log_store": None,
+    "dataset_registry": f"""SELECT 'events' AS name, 'features' AS context, count(*) AS n_rows, CAST(5 AS BIGINT) AS n_cols,
+      'train' AS stage FROM events UNION ALL SELECT 'events', 'production', count(*), 2, NULL FROM events
+      WHERE ts >= TIMESTAMP '{CUT}'""",
+}
+
+
+def _prediction_sql() -> str:
+    from tidemark.catalog.monitoring import _QUALITY, LOG
+
+    return f"SELECT model, target, {_QUALITY} FROM {LOG} GROUP BY model, target"
+
+
+SQL["prediction_log_store"] = _prediction_sql()
