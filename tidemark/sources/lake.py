@@ -116,6 +116,14 @@ class Lake:
                 dated = dated.join(known, [DATE, *key], "left_anti").select(*[col(c) for c in dated.columns])
         return self._save(dated, RAW, time, "append")
 
+    def append_late(self, df: DataFrame, time: str, batch: int, key: Sequence[str]) -> None:
+        """Rows too late for their partition; a replayed batch adds nothing twice."""
+        dated = with_date(df, time).withColumn("batch", F.lit(batch))
+        if exists(self.spark, self.path(LATE)):
+            known = self.read(LATE).where(F.col("batch") == batch).select(*[col(k) for k in key])
+            dated = dated.join(known, list(key), "left_anti").select(*[col(c) for c in dated.columns])
+        self._save(dated, LATE, time, "append")
+
     def _save(self, df: DataFrame, layer: str, time: str, mode: str) -> list[tuple[date, int]]:
         # REBALANCE gathers a date into few files and splits a date that is too large for one task
         time = "event_time" if time == DATE else time
