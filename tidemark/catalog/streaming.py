@@ -150,25 +150,14 @@ def stream_late(spark, path):
 
 
 def stream_lags(spark, path):
-    """Lags kept as state per user, over two micro-batches in time order."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        rows = events(spark, path).select("user_id", "event_id", "ts", "value")
-        root, schema = _landing(spark, path, rows.where(F.col("ts") < CUT))
-        target, check = scratch_path(spark, "lags"), scratch_path(spark, "ck")
-        _finish(ingest.to_files(
-            ingest.stream_lags(ingest.file_stream(spark, root, schema), USERS, "value", (1, 3)), target, check))
-        rows.where(F.col("ts") >= CUT).withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(root)
-        _finish(ingest.to_files(
-            ingest.stream_lags(ingest.file_stream(spark, root, schema), USERS, "value", (1, 3)), target, check))
-    finally:
-        spark.conf.set(key, before)
-    out = spark.read.parquet(target)
-    return out.select("user_id", "event_id", *[
-        F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("value_lag_1", "value_lag_3")
-    ])
+    """Lags carried over two micro-batches in time order."""
+    rows = events(spark, path).select("user_id", "event_id", "ts", "value")
+    root, schema = _landing(spark, path, rows.where(F.col("ts") < CUT))
+    target, check = scratch_path(spark, "lags"), scratch_path(spark, "ck")
+    _finish(ingest.lag_stream(ingest.file_stream(spark, root, schema), USERS, "value", (1, 3), target, check))
+    rows.where(F.col("ts") >= CUT).withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(root)
+    _finish(ingest.lag_stream(ingest.file_stream(spark, root, schema), USERS, "value", (1, 3), target, check))
+    return spark.read.parquet(f"{target}/rows").select("user_id", "event_id", "value_lag_1", "value_lag_3")
 
 
 QUERIES = {f.__name__: f for f in (

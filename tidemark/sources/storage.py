@@ -21,14 +21,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return not fs.getFileStatus(target).isDirectory() or len(fs.listStatus(target)) > 0
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a folder."""
+    fs, target = _fs(spark, path)
+    return [status.getPath().getName() for status in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def partition_dates(spark: SparkSession, path: str, prefix: str = "date=") -> list[date]:
     """Dates of the ``date=YYYY-MM-DD`` folders, sorted; other names are skipped. Reads names only, no data."""
-    fs, target = _fs(spark, path)
-    if not fs.exists(target):
-        return []
     found = []
-    for status in fs.listStatus(target):
-        name = status.getPath().getName()
+    for name in folders(spark, path):
         if name.startswith(prefix):
             try:
                 found.append(date.fromisoformat(name[len(prefix):]))

@@ -1,20 +1,21 @@
-"""Streaming ingestion into the lake, de-duplication, and stateful lags."""
+"""Streaming ingestion into the lake, de-duplication, and lags across micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.columns import col
+from tidemark.operators import frames
 from tidemark.plans.lake_job import LakeJob
 from tidemark.sources.lake import LATE, RAW
 from tidemark.sources.state import Watermark
+from tidemark.sources.storage import folders
 from tidemark.spec import PanelSpec
 
 
@@ -84,35 +85,31 @@ def late_rows(job: LakeJob) -> DataFrame:
     return job.lake.read(LATE)
 
 
-def stream_lags(df: DataFrame, spec: PanelSpec, target: str, lags: Sequence[int]) -> DataFrame:
-    """Lags on a stream: the last max(lags) values of each entity are kept as state.
+def lag_stream(source: DataFrame, spec: PanelSpec, target: str, lags: Sequence[int], path: str, checkpoint: str
+               ) -> StreamingQuery:
+    """Lags on a stream: the last max(lags) rows of every entity carry over from micro-batch to micro-batch.
 
-    Rows are put in time order inside a micro-batch; a row older than an earlier batch counts as the newest.
-    The session must use the RocksDB state store.
+    Each batch reads the tail the batch before it left, adds the lags with the ordinary (skew-safe) window, and writes
+    its rows and the new tail under its own batch id, so a replayed batch overwrites its own output and nothing else.
+    A late row is placed by its time among the tail and its batch; rows already written are not revised.
     """
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-    depth, order, keys = max(lags), list(spec.order), list(spec.entity)
-    names = [f"{target}_lag_{k}" for k in lags]
-    kept = df.select(*[col(c) for c in (*keys, *order, target)])
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-
-    class Lags(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("tail", "values array<double>")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            tail = list(self.state.get()[0]) if self.state.exists() else []
-            pdf = pd.concat(list(rows)).sort_values(order)
-            history = pd.Series(tail + pdf[target].tolist(), dtype="float64")
-            for k, name in zip(lags, names):
-                pdf[name] = history.shift(k).iloc[len(tail):].to_numpy()
-            self.state.update((history.iloc[-depth:].tolist(),))
-            yield pdf[schema.names]
-
-        def close(self) -> None:
-            pass
-
-    return kept.groupBy(*[col(k) for k in keys]).transformWithStateInPandas(
-        statefulProcessor=Lags(), outputStructType=schema, outputMode="Append", timeMode="None"
+    spark = source.sparkSession
+    depth, keep = max(lags), [*spec.entity, *spec.order, target]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*[col(c) for c in keep], F.lit(True).alias("_new"))
+        earlier = [b for b in _batches(spark, f"{path}/_tail") if b < batch_id]
+        if earlier:
+            tail = spark.read.parquet(f"{path}/_tail/batch={max(earlier)}")
+            rows = rows.unionByName(tail.withColumn("_new", F.lit(False)))
+        out = frames.lags([target], lags).apply(rows, spec).where("_new").drop("_new")
+        out.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        frames.last_rows(rows.drop("_new"), spec, depth).write.mode("overwrite").parquet(f"{path}/_tail/batch={batch_id}")
+
+    return (
+        source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return [int(n.removeprefix("batch=")) for n in folders(spark, path) if n.startswith("batch=")]
