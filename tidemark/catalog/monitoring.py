@@ -198,14 +198,6 @@ def flat_metrics(spark, path):
     return flat.select(short_name(F.col("key"), "persistence", "last").alias("key"), "mae")
 
 
-def full_report(spark, path):
-    from tidemark.plans.monitoring import full_report as run
-
-    df = events(spark, path).select("ts", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    old, new = df.where(F.col("ts") < CUT).drop("ts"), df.where(F.col("ts") >= CUT).drop("ts")
-    return run(old, new, ["value"]).groupBy("report", "check").agg(F.count(F.lit(1)).alias("n"))
-
-
 QUERIES = {f.__name__: f for f in (
     null_profile, validation_stats, readiness, quality_tests, stability_tests, ks_drift, ks_drift_binned, drift_score,
     concept_drift, drift_verdict, time_drift, wasserstein, wasserstein_binned, js_divergence, chi_square, proportion_z,
