@@ -14,12 +14,12 @@ def _targets(spark, path):
 
 
 def quantiles_exact(spark, path):
-    q = ordering.quantiles(to_long(_targets(spark, path), TARGETS), ["feature"], "value", [0.25, 0.5, 0.75])
+    q = ordering.column_quantiles(_targets(spark, path), TARGETS, [0.25, 0.5, 0.75])
     return q.select("feature", "n", *[r(F.col("q")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
 
 
-def quantiles_bracketed(spark, path):
-    """The same numbers from the path that never holds a column in one buffer."""
+def quantiles_grouped(spark, path):
+    """Quantiles per key group, here with the column name as the key."""
     q = ordering.bracketed_quantiles(
         to_long(_targets(spark, path), TARGETS), ["feature"], "value", [0.25, 0.5, 0.75], accuracy=1_000
     )
@@ -117,7 +117,7 @@ def split_positional_slots(spark, path):
 
 
 QUERIES = {f.__name__: f for f in (
-    quantiles_exact, quantiles_bracketed, clip_bounds, clip_iqr, moments, transform_choice, target_transform,
+    quantiles_exact, quantiles_grouped, clip_bounds, clip_iqr, moments, transform_choice, target_transform,
     inverse_roundtrip, _scaled("robust"), _scaled("standard"), _scaled("minmax"), fitted_table, clean_panel,
     split_time, split_positional, split_positional_slots,
 )}
@@ -163,7 +163,7 @@ _POSITIONAL = """SELECT event_id, CASE WHEN p <= floor(n * 0.70) THEN 'train' WH
   count(*) OVER () AS n FROM events)"""
 SQL = {
     "quantiles_exact": _Q,
-    "quantiles_bracketed": _Q,
+    "quantiles_grouped": _Q,
     "clip_bounds": f"""SELECT feature, {sr('max(lo)')} AS lo, {sr('max(hi)')} AS hi,
       count(*) FILTER (value < lo OR value > hi) AS n_clipped
       FROM ({long_sql()}) JOIN {_B} USING (feature) GROUP BY feature""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col, to_long
-from tidemark.operators.ordering import choose_bins, cumulative, quantiles
+from tidemark.operators.ordering import choose_bins, column_quantiles, cumulative, per_column, quantiles
 
 
 def locations(df: DataFrame, name: str, country: str, lat: str, lon: str, order: Sequence[str],
@@ -63,22 +63,18 @@ def table_summary(df: DataFrame, time: str, entity: str, country: str | None = N
 
 def target_stats(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """``feature, mean, std, min, max`` rounded to 4."""
-    v = F.col("value")
-    return to_long(df, targets).groupBy("feature").agg(
-        F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"),
-        F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"),
-    )
+    return per_column(df, targets, {
+        "mean": lambda v: F.round(F.avg(v), 4), "std": lambda v: F.round(F.stddev_samp(v), 4),
+        "min": lambda v: F.round(F.min(v), 4), "max": lambda v: F.round(F.max(v), 4),
+    })
 
 
-def describe(df: DataFrame, cols: Sequence[str], rows: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``feature, count, mean, std, min, p25, p50, p75, max`` with exact quartiles."""
-    long = to_long(df, cols)
-    v = F.col("value")
-    basic = long.groupBy("feature").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-        F.max(v).alias("max"),
-    )
-    q = quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75], rows).select(
+    basic = per_column(df, cols, {
+        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+    })
+    q = column_quantiles(df, cols, [0.25, 0.5, 0.75]).select(
         "feature", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75")
     )
     # one row per column on both sides
@@ -97,36 +93,39 @@ def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, cols: Sequence[str], bins: int | None = None) -> DataFrame:
-    """Rank correlation of every column pair, average ranks for ties, pairwise complete.
+    """Rank correlation of every column pair, average ranks for ties, pairwise complete: ``a, b, corr``.
 
-    Each pair of values is counted once, each column is ranked over its distinct values, and the ranks are
-    joined back to the counted pairs.
+    Columns without missing values are ranked once each; a pair with missing values is ranked over its own
+    complete rows. Ranks are computed per distinct value and joined back, so ties cost nothing.
     """
-    pairs = list(combinations(cols, 2))
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), col(a).cast("double").alias("x"),
-                     col(b).cast("double").alias("y")) for a, b in pairs]
-    long = df.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where(
-        F.col("x").isNotNull() & F.col("y").isNotNull()
-    )
-    counted = long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    bins = choose_bins(df.count()) if bins is None else bins
-
-    def ranks(v: str) -> DataFrame:
-        per_value = counted.groupBy("a", "b", v).agg(F.sum("w").alias("n"))
-        run = cumulative(per_value, ["a", "b"], v, ["n"], bins)
-        return run.select("a", "b", v, (F.col("n_cum") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{v}"))
-
-    ranked = counted.join(ranks("x"), ["a", "b", "x"]).join(ranks("y"), ["a", "b", "y"])
-    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
-    sums = ranked.groupBy("a", "b").agg(F.sum(w).alias("n"))
-    # ranks average (n + 1) / 2; centring on it keeps the sums small
-    centre = ranked.join(F.broadcast(sums), ["a", "b"]).withColumns({
-        "dx": rx - (F.col("n") + 1) / 2, "dy": ry - (F.col("n") + 1) / 2
-    })
-    return centre.groupBy("a", "b").agg(
-        (F.sum(w * F.col("dx") * F.col("dy"))
-         / F.sqrt(F.sum(w * F.col("dx") * F.col("dx")) * F.sum(w * F.col("dy") * F.col("dy")))).alias("corr")
-    )
+    slim = df.select(*[col(c).cast("double").alias(c) for c in cols])
+    one = slim.agg(F.count(F.lit(1)).alias("_n"), *[F.count(col(c)).alias(c) for c in cols]).first()
+    bins = choose_bins(one["_n"]) if bins is None else bins
+    whole = [c for c in cols if one[c] == one["_n"]]
+    out = None
+    if len(whole) > 1:
+        out = pearson(_ranked(slim.select(*[col(c) for c in whole]), whole, bins), whole)
+    for a, b in combinations(cols, 2):
+        if a in whole and b in whole:
+            continue
+        pair = _ranked(slim.select(col(a), col(b)).dropna(), [a, b], bins)
+        found = pearson(pair, [a, b])
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _ranked(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
+    """Every value replaced by its average rank in its column."""
+    ranked = df
+    for c in cols:
+        per_value = df.select(F.lit(c).alias("feature"), col(c).alias("value")).groupBy("feature", "value").agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        run = cumulative(per_value, ["feature"], "value", ["n"], bins)
+        ranks = run.select(F.col("value").alias(c), (F.col("n_cum") - (F.col("n") - 1) / 2).alias("_rank"))
+        rest = [col(o) for o in cols if o != c]
+        ranked = ranked.join(ranks, c).select(*rest, F.col("_rank").alias(c))
+    return ranked
 
 
 def trend(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:

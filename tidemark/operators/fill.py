@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import col, to_long
-from tidemark.operators.ordering import quantiles
+from tidemark.functions.columns import col
+from tidemark.operators.ordering import column_quantiles
 from tidemark.operators.panel import Layout, drop_neighbours, with_neighbours
 from tidemark.spec import PanelSpec
 
@@ -40,10 +40,9 @@ def interpolate(df: DataFrame, spec: PanelSpec, cols: Sequence[str], limit: int
     return drop_neighbours(near.withColumns({c: value(i, c) for i, c in enumerate(cols)}), cols)
 
 
-def medians(df: DataFrame, cols: Sequence[str], rows: int | None = None) -> DataFrame:
+def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: ``feature, median``."""
-    q = quantiles(to_long(df, cols), ["feature"], "value", [0.5], rows)
-    return q.select("feature", F.col("q")[0].alias("median"))
+    return column_quantiles(df, cols, [0.5]).select("feature", F.col("q")[0].alias("median"))
 
 
 def apply_params(df: DataFrame, params: DataFrame, cols: Sequence[str], fields: Sequence[str],

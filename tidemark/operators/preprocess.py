@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, stats
-from tidemark.functions.columns import clamp, col, to_long
+from tidemark.functions.columns import clamp, col
 from tidemark.operators.fill import apply_params, fill_along_time, fill_median, medians
-from tidemark.operators.ordering import quantiles
+from tidemark.operators.ordering import column_quantiles, per_column
 from tidemark.operators.panel import Layout
 from tidemark.operators.rows import drop_present
 from tidemark.spec import PanelSpec
@@ -23,9 +23,9 @@ from tidemark.spec import PanelSpec
 SCALERS = ("robust", "standard", "minmax")
 
 
-def clip_bounds(df: DataFrame, cols: Sequence[str], k: float = 3.0, rows: int | None = None) -> DataFrame:
+def clip_bounds(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> DataFrame:
     """``feature, lo, hi`` with bounds k interquartile ranges outside the quartiles."""
-    q = quantiles(to_long(df, cols), ["feature"], "value", [0.25, 0.75], rows)
+    q = column_quantiles(df, cols, [0.25, 0.75])
     q1, q3 = F.col("q")[0], F.col("q")[1]
     return q.select("feature", (q1 - k * (q3 - q1)).alias("lo"), (q3 + k * (q3 - q1)).alias("hi"))
 
@@ -35,25 +35,19 @@ def clip(df: DataFrame, cols: Sequence[str], bounds: DataFrame) -> DataFrame:
 
 
 def clip_counts(df: DataFrame, cols: Sequence[str], bounds: DataFrame) -> DataFrame:
-    """``feature, lo, hi, n_clipped``."""
-    # bounds has one row per column
-    long = to_long(df, cols).join(F.broadcast(bounds), "feature")
-    outside = (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))
-    return long.groupBy("feature").agg(
-        F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.count_if(outside).alias("n_clipped")
-    )
+    """``bounds`` with ``n_clipped``, the values outside them."""
+    flags = df.select(*[col(c).cast("double").alias(c) for c in cols])
+    flags = apply_params(flags, bounds, cols, ["lo", "hi"], lambda x, get: F.when((x < get("lo")) | (x > get("hi")), 1.0))
+    # one row per column on both sides
+    return bounds.join(F.broadcast(per_column(flags, cols, {"n_clipped": F.count})), "feature")
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``feature, n, low, skew, kurt, kurt_pearson``; bias-corrected."""
-    v = F.col("value")
-    return to_long(df, cols).groupBy("feature").agg(
-        F.count(v).alias("n"),
-        F.min(v).alias("low"),
-        stats.sample_skewness(v).alias("skew"),
-        stats.sample_kurtosis(v).alias("kurt"),
-        stats.pearson_kurtosis(v).alias("kurt_pearson"),
-    )
+    return per_column(df, cols, {
+        "n": F.count, "low": F.min, "skew": stats.sample_skewness, "kurt": stats.sample_kurtosis,
+        "kurt_pearson": stats.pearson_kurtosis,
+    })
 
 
 def fit_transforms(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -71,23 +65,20 @@ def invert_transforms(df: DataFrame, cols: Sequence[str], params: DataFrame) ->
     return apply_params(df, params, cols, ["transform"], lambda x, get: scalars.inverse(x, get("transform")))
 
 
-def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "robust", rows: int | None = None) -> DataFrame:
+def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "robust") -> DataFrame:
     """``feature, center, scale``: median and IQR, mean and population deviation, or minimum and range.
 
     A scale of 0 becomes 1, so a constant column keeps its spread of nothing.
     """
     if kind not in SCALERS:
         raise ValueError(f"unknown scaler {kind!r}; choose one of {SCALERS}")
-    long = to_long(df, cols)
     if kind == "robust":
-        q = quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75], rows)
+        q = column_quantiles(df, cols, [0.25, 0.5, 0.75])
         fitted = q.select("feature", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
     elif kind == "standard":
-        fitted = long.groupBy("feature").agg(F.avg("value").alias("center"), F.stddev_pop("value").alias("scale"))
+        fitted = per_column(df, cols, {"center": F.avg, "scale": F.stddev_pop})
     else:
-        fitted = long.groupBy("feature").agg(
-            F.min("value").alias("center"), (F.max("value") - F.min("value")).alias("scale")
-        )
+        fitted = per_column(df, cols, {"center": F.min, "scale": lambda v: F.max(v) - F.min(v)})
     return fitted.withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))
 
 
