@@ -98,69 +98,66 @@ def per_column(df: DataFrame, cols: Sequence[str], stats: dict[str, Callable[[Co
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """Exact, linearly interpolated quantiles of whole columns: ``feature, n, q`` (array, as ``probs``).
 
-    A sketch brackets every quantile; the rows below each bracket are counted, and only the values inside one
-    (about ``6 / accuracy`` of the rows, plus ties) are grouped and ordered. No column is ever sorted or held whole.
-    Missing values (NULL, NaN) do not count.
+    A sketch brackets every quantile (its ends, a few numbers per column, come to the driver). The rows below each
+    bracket are counted, and only the values inside one (about ``6 / accuracy`` of the rows, plus ties) are grouped
+    and ordered, so no column is ever sorted or held whole. Missing values (NULL, NaN) do not count.
     """
     k, slack = len(probs), 3.0 / accuracy
     low = [max(0.0, p - slack) for p in probs]
     high = [min(1.0, p + slack) for p in probs]
-    x = {i: F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")) for i, c in enumerate(cols)}
-    base = df.select(*[x[i].alias(f"c{i}") for i in x])
+    names = {f"c{i}": c for i, c in enumerate(cols)}
+    base = df.select(*[
+        F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")).alias(n) for n, c in names.items()
+    ])
     sketch = base.agg(*[
-        e for i in x for e in (
-            F.count(f"c{i}").alias(f"n{i}"),
-            F.percentile_approx(f"c{i}", [*low, *high], accuracy).alias(f"e{i}"),
+        e for n in names for e in (
+            F.count(n).alias(f"n_{n}"), F.percentile_approx(n, [*low, *high], accuracy).alias(f"e_{n}")
         )
-    ]).select(F.struct("*").alias("s")).scalar()
-    seen = base.withColumn("s", sketch)
-
-    def ends(i: int, j: int) -> tuple[Column, Column]:
-        return F.col(f"s.e{i}")[j], F.col(f"s.e{i}")[k + j]
-
-    spots = [(i, j) for i in x for j in range(k)]
-    below = seen.agg(*[F.count_if(F.col(f"c{i}") < ends(i, j)[0]).alias(f"b{i}_{j}") for i, j in spots]).select(
+    ]).first()
+    spots = [
+        (n, j, sketch[f"e_{n}"][j], sketch[f"e_{n}"][k + j]) for n in names if sketch[f"n_{n}"] for j in range(k)
+    ]
+    spark = df.sparkSession
+    empty = spark.createDataFrame(
+        [(names[n], 0, None) for n in names if not sketch[f"n_{n}"]], "feature string, n long, q array<double>")
+    if not spots:
+        return empty
+    below = base.agg(*[F.count_if(F.col(n) < lo).alias(f"{n}_{j}") for n, j, lo, _ in spots]).select(
         F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(None).cast("double").alias("x"),
-                     F.col(f"b{i}_{j}").alias("c")) for i, j in spots
+            F.struct(F.lit(n).alias("name"), F.lit(j).alias("j"), F.lit(None).cast("double").alias("x"),
+                     F.col(f"{n}_{j}").alias("c")) for n, j, _, _ in spots
         ])).alias("r")).select("r.*")
-
-    def inside(i: int, j: int) -> Column:
-        lo, hi = ends(i, j)
-        return (F.col(f"c{i}") >= lo) & (F.col(f"c{i}") <= hi)
-
-    some = inside(*spots[0])
-    for spot in spots[1:]:
-        some = some | inside(*spot)
-    hits = seen.where(some).select(
+    some = F.lit(False)
+    for n, _, lo, hi in spots:
+        some = some | F.col(n).between(lo, hi)
+    hits = base.where(some).select(
         F.explode(F.array(*[
-            F.when(inside(i, j), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}").alias("x")))
-            for i, j in spots
+            F.when(F.col(n).between(lo, hi), F.struct(F.lit(n).alias("name"), F.lit(j).alias("j"), F.col(n).alias("x")))
+            for n, j, lo, hi in spots
         ])).alias("r")
-    ).where(F.col("r").isNotNull()).select("r.*").groupBy("i", "j", "x").agg(F.count(F.lit(1)).alias("c"))
+    ).where(F.col("r").isNotNull()).select("r.*").groupBy("name", "j", "x").agg(F.count(F.lit(1)).alias("c"))
     # what lies below the bracket is the one NULL row, which sorts first
-    run = Window.partitionBy("i", "j").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = below.unionByName(hits).withColumn("cum", F.sum("c").over(run)).withColumn("s", sketch)
-    n = _pick(F.col("i"), [F.col(f"s.n{i}") for i in x])
-    spot = (n - 1) * _pick(F.col("j"), [F.lit(float(p)) for p in probs])
-    per_spot = ranked.groupBy("i", "j").agg(
-        F.max(n).alias("n"),
-        F.max(spot - F.floor(spot)).alias("frac"),
-        F.min(F.when(F.col("x").isNotNull() & (F.col("cum") > F.floor(spot)), F.col("x"))).alias("a"),
-        F.min(F.when(F.col("x").isNotNull() & (F.col("cum") > F.ceil(spot)), F.col("x"))).alias("z"),
-        F.max(F.when(F.col("x").isNull(), F.col("cum")) > F.floor(spot)).alias("missed"),
+    run = Window.partitionBy("name", "j").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    # a few rows per column: where to read
+    reads = spark.createDataFrame(
+        [(n, names[n], j, sketch[f"n_{n}"], (sketch[f"n_{n}"] - 1) * probs[j]) for n, j, _, _ in spots],
+        "name string, feature string, j int, n long, spot double")
+    ranked = below.unionByName(hits).withColumn("cum", F.sum("c").over(run))
+    known = F.col("x").isNotNull()
+    per_spot = ranked.join(F.broadcast(reads), ["name", "j"]).groupBy("feature", "j").agg(
+        F.max("n").alias("n"),
+        F.max(F.col("spot") - F.floor("spot")).alias("frac"),
+        F.min(F.when(known & (F.col("cum") > F.floor("spot")), F.col("x"))).alias("a"),
+        F.min(F.when(known & (F.col("cum") > F.ceil("spot")), F.col("x"))).alias("z"),
+        F.coalesce(F.max(F.when(~known, F.col("cum") > F.floor("spot"))), F.lit(False)).alias("missed"),
     )
     value = F.when(
-        F.col("missed") | (F.col("z").isNull() & (F.col("n") > 0)), F.raise_error(F.lit("quantile outside its bracket"))
+        F.col("missed") | F.col("z").isNull(), F.raise_error(F.lit("quantile outside its bracket"))
     ).otherwise(F.col("a") + (F.col("z") - F.col("a")) * F.col("frac")).cast("double")
-    return per_spot.groupBy("i").agg(
+    return per_spot.groupBy("feature").agg(
         F.max("n").alias("n"),
         F.transform(F.array_sort(F.collect_list(F.struct("j", value.alias("v")))), lambda e: e["v"]).alias("q"),
-    ).select(_pick(F.col("i"), [F.lit(c) for c in cols]).alias("feature"), "n", "q")
-
-
-def _pick(index: Column, options: Sequence[Column]) -> Column:
-    return F.element_at(F.array(*options), index + 1)
+    ).unionByName(empty)
 
 
 def bracketed_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
