@@ -152,11 +152,10 @@ def csv_folder(spark, path):
 
 
 def json_pages(spark, path):
-    """Landed API pages (one per user) read from the watermark on."""
+    """Landed API pages read from the watermark on."""
     root = scratch_path(spark, "pages")
     row = F.struct("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date"), "value")
-    pages = events(spark, path).groupBy("user_id", F.to_date("ts").alias("d")).agg(F.collect_list(row).alias("data"))
-    pages.select("data").write.json(root)
+    events(spark, path).select(F.array(row).alias("data")).write.json(root)
     out = read_json_pages(spark, root, "event_id long, date string, value double", start=CUT)
     return out.select("event_id", "value")
 

@@ -78,7 +78,7 @@ def time_drift(spark, path):
     from tidemark.operators.split import time_cuts
 
     df = events(spark, path)
-    cut = time_cuts(df.select("ts").distinct(), USERS, [0.8])[0]
+    cut = time_cuts(df, USERS, [0.8])[0]
     return drift.ks(drift.sided(df, F.col("ts") >= F.lit(cut), ["value"]))
 
 
@@ -179,6 +179,12 @@ def performance_split(spark, path):
     ])
 
 
+def performance_halves(spark, path):
+    """The log cut into two halves of equal rows by time."""
+    out = metrics.performance_report(_log(spark, path), ["ts"], model="damped", location="click")
+    return out.select("side", "n", "status", r("mae", 5).alias("mae"), r("rmse", 5).alias("rmse"))
+
+
 def first_predictions(spark, path):
     log = _log(spark, path).where((F.col("model") == "persistence") & (F.col("target") == "value"))
     out = metrics.first_predictions(log, ["ts", "event_id"], "y_true", "y_pred", 500)
@@ -202,7 +208,7 @@ QUERIES = {f.__name__: f for f in (
     null_profile, validation_stats, readiness, quality_tests, stability_tests, ks_drift, ks_drift_binned, drift_score,
     concept_drift, drift_verdict, time_drift, wasserstein, wasserstein_binned, js_divergence, chi_square, proportion_z,
     prediction_log, pred_quality, pred_quality_sets, reg_metrics, reg_summary, metrics_ranked, champion,
-    performance_split, first_predictions, flat_metrics,
+    performance_split, performance_halves, first_predictions, flat_metrics,
 )}
 
 SIDES = " UNION ALL ".join(
@@ -363,6 +369,11 @@ SQL = {
       {sr('sqrt(avg(squared_error))', 5)} AS rmse,
       {sr('1 - sum(squared_error) / (var_pop(y_true) * count(*))', 5)} AS r2, {sr('max(absolute_error)', 5)} AS max_abs_error,
       {sr('stddev_samp(y_pred - y_true)', 5)} AS error_std FROM {LOG} WHERE model = 'persistence' GROUP BY 1""",
+    "performance_halves": f"""WITH l AS (SELECT * FROM {LOG} WHERE model = 'damped' AND location = 'click'),
+      o AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS p, count(*) OVER () AS n FROM l),
+      c AS (SELECT max(CASE WHEN p = floor(n * 0.5) THEN ts END) AS cut FROM o)
+      SELECT CASE WHEN ts >= cut THEN 'current' ELSE 'reference' END AS side, count(*) AS n, 'ok' AS status,
+      {sr('avg(absolute_error)', 5)} AS mae, {sr('sqrt(avg(squared_error))', 5)} AS rmse FROM l, c GROUP BY 1""",
     "first_predictions": f"""SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS index, event_id, y_true AS actual,
       y_pred AS predicted, {sr('y_true - y_pred')} AS error FROM {LOG} WHERE model = 'persistence' AND target = 'value'
       ORDER BY ts, event_id LIMIT 500""",

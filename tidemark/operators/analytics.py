@@ -118,10 +118,9 @@ def _ranked(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
     """Every value replaced by its average rank in its column."""
     ranked = df
     for c in cols:
-        per_value = df.select(F.lit(c).alias("feature"), col(c).alias("value")).groupBy("feature", "value").agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        run = cumulative(per_value, ["feature"], "value", ["n"], bins)
+        long = df.select(F.lit(c).alias("feature"), col(c).alias("value"))
+        per_value = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+        run = cumulative(per_value, ["feature"], "value", ["n"], bins, source=long)
         ranks = run.select(F.col("value").alias(c), (F.col("n_cum") - (F.col("n") - 1) / 2).alias("_rank"))
         rest = [col(o) for o in cols if o != c]
         ranked = ranked.join(ranks, c).select(*rest, F.col("_rank").alias(c))

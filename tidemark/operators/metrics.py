@@ -158,10 +158,9 @@ def performance_report(log: DataFrame, order: Sequence[str], model: str | None =
         from tidemark.spec import PanelSpec
 
         spec = PanelSpec((), order[0], tuple(order[1:]))
-        times = kept.select(col(order[0])).where(col(order[0]).isNotNull())
-        if times.isEmpty():
+        if kept.where(col(order[0]).isNotNull()).isEmpty():
             return performance_by_side(kept, F.lit("reference"), min_samples=min_samples)
-        halves = col(order[0]) >= F.lit(time_cuts(times, spec, [0.5])[0])
+        halves = col(order[0]) >= F.lit(time_cuts(kept, spec, [0.5], by_rows=True)[0])
     side = F.when(halves, "current").otherwise("reference")
     return performance_by_side(kept, side, min_samples=min_samples)
 

@@ -29,14 +29,15 @@ def choose_bins(rows: int, one_task_rows: int = ONE_TASK_ROWS) -> int:
 
 
 def cumulative(steps: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], bins: int = 1,
-               few_keys: bool = True, following: str | None = None) -> DataFrame:
+               few_keys: bool = True, following: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Add ``{w}_cum``: the total of ``w`` over rows of the same ``keys`` with a value at or below this one.
 
     ``steps`` has one row per (keys, value), so a value that repeats a billion times is one row here.
     With ``bins > 1`` the values are cut into bins of about equal depth: each bin is one small window,
     and the totals of the bins before it are added. ``few_keys`` states that the keys are column names
     (or pairs of them), so the edge and offset tables are small enough to broadcast.
-    ``following`` names a column for the next larger value of the same keys.
+    ``following`` names a column for the next larger value of the same keys. ``source`` gives the rows ``steps`` was
+    counted from: the bin edges then come from a sketch of them, which is cheaper than counting twice.
     """
     by = [col(k) for k in keys]
     small = F.broadcast if few_keys else (lambda d: d)
@@ -48,7 +49,7 @@ def cumulative(steps: DataFrame, keys: Sequence[str], value: str, weights: Seque
             out[following] = F.lead(col(value)).over(ordered)
         return steps.withColumns(out)
     probs = [i / bins for i in range(1, bins)]
-    edges = steps.groupBy(*by).agg(
+    edges = (steps if source is None else source).groupBy(*by).agg(
         F.array_distinct(F.percentile_approx(col(value), probs, max(10_000, 10 * bins))).alias("_edges")
     )
     binned = steps.join(small(edges), list(keys)).withColumn("_bin", bin_index(F.col("_edges"), col(value))).drop("_edges")
@@ -111,12 +112,16 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     ])
     sketch = base.agg(*[
         e for n in names for e in (
-            F.count(n).alias(f"n_{n}"), F.percentile_approx(n, [*low, *high], accuracy).alias(f"e_{n}")
+            F.count(n).alias(f"n_{n}"), F.percentile_approx(n, [0.0, *low, *high, 1.0], accuracy).alias(f"e_{n}")
         )
     ]).first()
-    spots = [
-        (n, j, sketch[f"e_{n}"][j], sketch[f"e_{n}"][k + j]) for n in names if sketch[f"n_{n}"] for j in range(k)
-    ]
+    spots = []
+    for n in names:
+        count, ends = sketch[f"n_{n}"], sketch[f"e_{n}"]
+        # in a short column the slack is less than a row wide, so the bracket is the column
+        tight = count * slack >= 2
+        spots += [(n, j, ends[1 + j] if tight else ends[0], ends[1 + k + j] if tight else ends[-1])
+                  for j in range(k) if count]
     spark = df.sparkSession
     empty = spark.createDataFrame(
         [(names[n], 0, None) for n in names if not sketch[f"n_{n}"]], "feature string, n long, q array<double>")
@@ -174,6 +179,7 @@ def bracketed_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs:
         F.max(x).alias("_max"),
         F.percentile_approx(x, low + high, accuracy).alias("_e"),
     )
+    tight = F.col("_n") * slack >= 2  # else the bracket is the whole group
     brackets = sketch.select(
         *by,
         "_n",
@@ -182,8 +188,8 @@ def bracketed_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs:
                 F.struct(
                     F.lit(i).alias("_i"),
                     F.lit(float(p)).alias("_p"),
-                    (F.col("_min") if low[i] == 0.0 else F.col("_e")[i]).alias("_lo"),
-                    (F.col("_max") if high[i] == 1.0 else F.col("_e")[len(probs) + i]).alias("_hi"),
+                    F.when(tight, F.col("_e")[i]).otherwise(F.col("_min")).alias("_lo"),
+                    F.when(tight, F.col("_e")[len(probs) + i]).otherwise(F.col("_max")).alias("_hi"),
                 )
                 for i, p in enumerate(probs)
             ])
@@ -216,8 +222,11 @@ def bracketed_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs:
         F.max(spot - F.floor(spot)).alias("_frac"),
         F.min(F.when(F.col("_cum") > F.floor(spot), F.col("_x"))).alias("_a"),
         F.min(F.when(F.col("_cum") > F.ceil(spot), F.col("_x"))).alias("_z"),
+        F.coalesce(F.max(F.when(F.col("_x").isNull(), F.col("_cum") > F.floor(spot))), F.lit(False)).alias("_missed"),
     )
-    value_at = F.col("_a") + (F.coalesce(F.col("_z"), F.col("_a")) - F.col("_a")) * F.col("_frac")
+    value_at = F.when(
+        F.col("_missed") | F.col("_z").isNull(), F.raise_error(F.lit("quantile outside its bracket"))
+    ).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_frac")).cast("double")
     return picked.groupBy(*by).agg(
         F.max("n").alias("n"),
         F.transform(F.array_sort(F.collect_list(F.struct("_i", value_at.alias("_v")))), lambda s: s["_v"]).alias("q"),

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -68,7 +70,7 @@ def probe_layout(df: DataFrame, spec: PanelSpec) -> Layout:
     probs = [i / pieces for i in range(1, pieces)]
     cuts = (
         df.select(*[col(k) for k in keys], micros(df, spec).alias("_t"))
-        .join(F.broadcast(hot), keys, "left_semi")
+        .join(F.broadcast(hot.select(*[col(k).alias(f"_h{i}") for i, k in enumerate(keys)])), _same(keys), "left_semi")
         .groupBy(*[col(k) for k in keys])
         .agg(F.array_distinct(F.percentile_approx("_t", probs, 10_000)).alias("_cuts"))
     )
@@ -76,6 +78,11 @@ def probe_layout(df: DataFrame, spec: PanelSpec) -> Layout:
     return Layout(df.sparkSession.createDataFrame(rows, cuts.schema) if rows else None)
 
 
+def _same(keys: Sequence[str]) -> Column:
+    """Entity columns equal to their ``_h{i}`` copies; a missing entity equals itself, since it may be hot too."""
+    return reduce(and_, [col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
+
+
 def plain_window(keys: Sequence[str], spec: PanelSpec, descending: bool = False) -> WindowSpec:
     order = [col(o).desc() if descending else col(o).asc() for o in spec.order]
     return Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
@@ -83,14 +90,10 @@ def plain_window(keys: Sequence[str], spec: PanelSpec, descending: bool = False)
 
 def _split(df: DataFrame, keys: Sequence[str], layout: Layout, spec: PanelSpec) -> tuple[DataFrame, DataFrame]:
     """(rows of entities that fit, rows of hot entities with their ``_slot``)."""
-    names = F.broadcast(layout.hot.select(*[col(k) for k in keys]))
-    cold = df.join(names, list(keys), "left_anti")
-    hot = (
-        df.join(F.broadcast(layout.hot), list(keys), "inner")
-        .withColumn("_slot", bin_index(F.col("_cuts"), micros(df, spec)))
-        .drop("_cuts")
-        .select(*[col(c) for c in df.columns], "_slot")
-    )
+    table = F.broadcast(layout.hot.select(*[col(k).alias(f"_h{i}") for i, k in enumerate(keys)], "_cuts"))
+    cold = df.join(table, _same(keys), "left_anti")
+    hot = df.join(table, _same(keys), "inner").withColumn("_slot", bin_index(F.col("_cuts"), micros(df, spec)))
+    hot = hot.select(*[col(c) for c in df.columns], "_slot")
     return cold, hot
 
 
@@ -163,9 +166,10 @@ def with_neighbours(df: DataFrame, spec: PanelSpec, cols: Sequence[str], layout:
         **{f"_cn{i}": F.last(f"_f{i}", True).over(later) for i in range(len(cols))},
     })
     carry_cols = [f"_c{d}{i}" for i in range(len(cols)) for d in ("p", "n")]
-    carry = slots.select(*[col(k) for k in slot_keys], "_off", *carry_cols)
     # one row per slot of at most MAX_HOT entities: small by construction
-    joined = local.join(F.broadcast(carry), slot_keys, "left")
+    carry = F.broadcast(slots.select(
+        *[col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("_slot").alias("_hs"), "_off", *carry_cols))
+    joined = local.join(carry, _same(keys) & (F.col("_slot") == F.col("_hs")), "left")
     joined = joined.withColumn("_pos", F.col("_local") + F.col("_off"))
     near = _nearest(joined, slot_keys, spec, cols).withColumns({
         **{f"_prev_{i}": F.coalesce(F.col(f"_prev_{i}"), F.col(f"_cp{i}")) for i in range(len(cols))},

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
 from tidemark.operators.ordering import ONE_TASK_ROWS, running_before
 from tidemark.operators.panel import Layout, micros, with_neighbours
+from tidemark.session import cut_lineage
 from tidemark.spec import PanelSpec
 
 PARTS = ("train", "val", "test")
@@ -26,43 +28,47 @@ def split_time(df: DataFrame, spec: PanelSpec, train: float = 0.70, val: float =
 
     The cuts are taken over the distinct times: the first ``train`` share of them, then ``val``.
     """
-    times = df.select(col(spec.time)).where(col(spec.time).isNotNull()).distinct()
-    cuts = time_cuts(times, spec, [train, train + val])
-    first, second = cuts
+    first, second = time_cuts(df, spec, [train, train + val])
     t = col(spec.time)
     return df.withColumn(
         out, F.when(t < F.lit(first), "train").when(t < F.lit(second), "val").otherwise("test")
     )
 
 
-def time_cuts(times: DataFrame, spec: PanelSpec, shares: list[float], buckets: int = 4096) -> list:
-    """The time at rank floor(n * share) of a table of distinct times, for each share.
+def time_cuts(df: DataFrame, spec: PanelSpec, shares: Sequence[float], by_rows: bool = False, buckets: int = 4096,
+              small: int = 100_000) -> list:
+    """For each share the time at rank floor(n * share), over the distinct times or (``by_rows``) over all rows.
 
-    Times are counted in equal-width buckets (at most ``buckets`` + 1 rows); only the bucket that holds the rank
-    is ordered, and it is narrowed again while it is large.
+    Times are first counted per distinct value. While many are left, they are counted again in equal-width buckets
+    (at most ``buckets`` + 1 rows reach the driver) and only the bucket that holds the rank is kept.
     """
-    t = micros(times, spec)
-    low, high, n = times.agg(F.min(t), F.max(t), F.count(F.lit(1))).first()
+    counted = df.where(col(spec.time).isNotNull()).groupBy(col(spec.time).alias("at")).agg(F.count(F.lit(1)).alias("w"))
+    if not by_rows:
+        counted = counted.withColumn("w", F.lit(1).cast("long"))
+    counted = counted.withColumn("t", micros(counted, spec.with_(time="at")))
+    low, high, rows, n = counted.agg(F.min("t"), F.max("t"), F.count(F.lit(1)), F.sum("w")).first()
     if not n:
         raise ValueError("no times to split")
+    if rows > small:
+        counted = cut_lineage(counted)
+    t = F.col("t")
     cuts = []
     for share in shares:
-        rank, lo, hi, inside = min(math.floor(n * share), n - 1), math.floor(low), high, n
-        while inside > 100_000 and hi > lo:
+        rank, lo, hi, inside = min(math.floor(n * share), n - 1), math.floor(low), high, rows
+        while inside > small:
             width = max(math.ceil((hi - lo) / buckets), 1)
-            slot = F.floor((t - lo) / width)
-            counts = (
-                times.where((t >= lo) & (t <= hi)).groupBy(slot.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()
-            )
-            for s, c in sorted((r["s"], r["c"]) for r in counts):
-                if rank < c:
+            found = counted.where((t >= lo) & (t <= hi)).groupBy(F.floor((t - lo) / width).alias("s")).agg(
+                F.sum("w").alias("w"), F.count(F.lit(1)).alias("c")).collect()
+            for s, w, c in sorted(tuple(r) for r in found):
+                if rank < w:
                     lo, hi, inside = lo + s * width, min(hi, lo + (s + 1) * width), c
                     break
-                rank -= c  # rows before the bucket are behind us
+                rank -= w  # rows before the bucket are behind us
             if width <= 1:
                 break
-        ordered = times.where((t >= lo) & (t <= hi)).orderBy(col(spec.time)).limit(rank + 1)
-        cuts.append(ordered.agg(F.max(col(spec.time))).first()[0])
+        run = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # at most ``small`` rows are left
+        left = counted.where((t >= lo) & (t <= hi)).withColumn("cum", F.sum("w").over(run))
+        cuts.append(left.where(F.col("cum") > rank).agg(F.min("at")).first()[0])
     return cuts
 
 
