@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 
 def sample_skewness(x: Column) -> Column:
     n = F.count(x).cast("double")
-    return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
+    return F.when(n > 2, F.coalesce(F.skewness(x), F.lit(0.0)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
 def sample_kurtosis(x: Column) -> Column:
-    """Excess kurtosis (a normal sample gives about 0)."""
+    """Excess kurtosis (a normal sample gives about 0, a constant column exactly 0)."""
     n = F.count(x).cast("double")
-    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
+    value = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)
+    return F.when(n > 3, F.coalesce(value, F.lit(0.0)))
 
 
 def pearson_kurtosis(x: Column) -> Column:
     return sample_kurtosis(x) + 3
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows with both values; NULL where either is constant (``corr`` fails there)."""
+    px, py = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(px) * F.stddev_pop(py))
+
+
 def ks_pvalue(d: Column, n: Column, m: Column) -> Column:
     """Asymptotic two-sample p-value with Stephens' small-sample correction.
 

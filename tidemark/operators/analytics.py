@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col, to_long
+from tidemark.functions.stats import correlation
 from tidemark.operators.ordering import choose_bins, column_quantiles, cumulative, per_column, quantiles
 
 
@@ -86,7 +87,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``a, b, corr`` for every pair of columns, pairs of non-missing values only; one aggregate."""
     pairs = list(combinations(cols, 2))
-    one = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[correlation(col(a).cast("double"), col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("corr"))
             for i, (a, b) in enumerate(pairs)]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
@@ -142,7 +143,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).select(F.struct("lo", "hi").alias("e")).scalar()
     kept = df.where(x.isNotNull()).select(x.alias("x")).withColumn("_e", ends)
     lo, hi = F.col("_e.lo"), F.col("_e.hi")
-    slot = F.when(hi > lo, F.least(F.floor((F.col("x") - lo) / (hi - lo) * bins) + 1, F.lit(bins))).otherwise(1)
+    slot = F.coalesce(F.least(F.floor(F.try_divide(F.col("x") - lo, hi - lo) * bins) + 1, F.lit(bins)), F.lit(1))
     counted = kept.groupBy(slot.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.max(lo).alias("_lo"), F.max(hi).alias("_hi")
     )
@@ -192,7 +193,7 @@ def density(df: DataFrame, column: str, points: int = 50) -> DataFrame:
     """
     v = col(column).cast("double")
     p = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.stddev_samp(v).alias("sd"), F.count(v).alias("n")).select(
-        F.struct("lo", "hi", (F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))).alias("h")).alias("p")
+        F.struct("lo", "hi", (F.col("sd") * F.when(F.col("n") > 0, F.pow(F.col("n"), F.lit(-0.2)))).alias("h")).alias("p")
     ).scalar()
     rows = df.where(v.isNotNull()).select(v.alias("v")).withColumn("_p", p)
 
@@ -202,9 +203,9 @@ def density(df: DataFrame, column: str, points: int = 50) -> DataFrame:
     root = 2.5066282746310002
     sums = rows.groupBy().agg(
         F.max("_p").alias("_p"),
-        *[F.avg(F.exp(F.lit(-0.5) * F.pow((F.col("v") - at(i)) / F.col("_p.h"), 2))).alias(f"_{i}") for i in range(points)],
+        *[F.avg(F.exp(F.lit(-0.5) * F.pow(F.try_divide(F.col("v") - at(i), F.col("_p.h")), 2))).alias(f"_{i}") for i in range(points)],
     )
-    cells = [F.struct(at(i).alias("x"), (F.col(f"_{i}") / (F.col("_p.h") * root)).alias("density")) for i in range(points)]
+    cells = [F.struct(at(i).alias("x"), F.try_divide(F.col(f"_{i}"), F.col("_p.h") * root).alias("density")) for i in range(points)]
     return sums.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 

@@ -47,7 +47,7 @@ def steps(long: DataFrame, bins: int | None = None, following: str | None = None
 
 def ks(long: DataFrame, threshold: float = THRESHOLD, bins: int | None = None) -> DataFrame:
     """``column, ks_statistic, p_value, drift_detected, n_ref, n_cur``: the two-sample Kolmogorov-Smirnov test."""
-    gap = F.abs(F.col("r_cum") / F.col("n_ref") - F.col("c_cum") / F.col("n_cur"))
+    gap = F.abs(F.try_divide("r_cum", "n_ref") - F.try_divide("c_cum", "n_cur"))
     stat = steps(long, bins).groupBy("feature").agg(
         F.max(gap).alias("d"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur")
     ).where((F.col("n_ref") > 0) & (F.col("n_cur") > 0))
@@ -116,7 +116,7 @@ def wasserstein(long: DataFrame, threshold: float = 0.1, bins: int | None = None
     deviation. The test to use on large samples, where KS flags every difference.
     """
     gaps = steps(long, bins, following="_next")
-    height = F.abs(F.col("r_cum") / F.col("n_ref") - F.col("c_cum") / F.col("n_cur"))
+    height = F.abs(F.try_divide("r_cum", "n_ref") - F.try_divide("c_cum", "n_cur"))
     area = gaps.groupBy("feature").agg(F.sum(height * (F.col("_next") - F.col("value"))).alias("distance"))
     spread = long.where(~F.col("current")).groupBy("feature").agg(F.stddev_pop("value").alias("sd"))
     normed = F.col("distance") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1e-3)
@@ -133,7 +133,7 @@ def js_divergence(df: DataFrame, is_current: Column, column: str, threshold: flo
     total = shares.agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     p = total.select(F.struct("nr", "nc").alias("t")).scalar()
     joint = shares.withColumn("_t", p).select(
-        (F.col("r") / F.col("_t.nr")).alias("p"), (F.col("c") / F.col("_t.nc")).alias("q")
+        F.try_divide("r", "_t.nr").alias("p"), F.try_divide("c", "_t.nc").alias("q")
     ).withColumn("m", (F.col("p") + F.col("q")) / 2)
 
     def part(s: str) -> Column:
@@ -160,14 +160,15 @@ def chi_square(df: DataFrame, is_current: Column, column: str) -> DataFrame:
     t = counts.agg(F.sum("r").alias("nr"), F.sum("c").alias("nc")).select(F.struct("nr", "nc").alias("t")).scalar()
     n = F.col("_t.nr") + F.col("_t.nc")
     row = F.col("r") + F.col("c")
-    er, ec = row * F.col("_t.nr") / n, row * F.col("_t.nc") / n
-    cell = F.pow(F.col("r") - er, 2) / er + F.pow(F.col("c") - ec, 2) / ec
+    er, ec = F.try_divide(row * F.col("_t.nr"), n), F.try_divide(row * F.col("_t.nc"), n)
+    cell = F.try_divide(F.pow(F.col("r") - er, 2), er) + F.try_divide(F.pow(F.col("c") - ec, 2), ec)
     one = counts.withColumn("_t", t).agg(F.sum(cell).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
     k = F.col("dof").cast("double")
-    critical = k * F.pow(1 - F.lit(2.0) / (9 * k) + F.lit(1.6448536269514722) * F.sqrt(F.lit(2.0) / (9 * k)), 3)
+    spread = F.try_divide(F.lit(2.0), 9 * k)
+    critical = k * F.pow(1 - spread + F.lit(1.6448536269514722) * F.sqrt(spread), 3)
     return one.select(
         F.lit(column).alias("column"), "chi2", "dof", critical.alias("critical_95"),
-        (F.col("chi2") > critical).alias("drift_detected"),
+        F.coalesce(F.col("chi2") > critical, F.lit(False)).alias("drift_detected"),
     )
 
 
@@ -177,10 +178,11 @@ def proportion_z(df: DataFrame, is_current: Column, success: Column, label: str)
         F.count_if(~is_current).cast("double").alias("n1"), F.count_if(is_current).cast("double").alias("n2"),
         F.count_if(success & ~is_current).alias("s1"), F.count_if(success & is_current).alias("s2"),
     )
-    p1, p2 = F.col("s1") / F.col("n1"), F.col("s2") / F.col("n2")
-    pooled = (F.col("s1") + F.col("s2")) / (F.col("n1") + F.col("n2"))
-    z = (p1 - p2) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("n1") + 1 / F.col("n2")))
+    p1, p2 = F.try_divide("s1", "n1"), F.try_divide("s2", "n2")
+    pooled = F.try_divide(F.col("s1") + F.col("s2"), F.col("n1") + F.col("n2"))
+    each = F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2"))
+    z = F.try_divide(p1 - p2, F.sqrt(pooled * (1 - pooled) * each))
     return one.select(
         F.lit(label).alias("column"), p1.alias("p_ref"), p2.alias("p_cur"), z.alias("z"),
-        (F.abs(z) > 1.959963984540054).alias("drift_detected"),
+        F.coalesce(F.abs(z) > 1.959963984540054, F.lit(False)).alias("drift_detected"),
     )

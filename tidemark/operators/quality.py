@@ -57,7 +57,7 @@ def validation_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
         F.sum(missing).alias("_miss"),
         F.coalesce(F.sum(infinite), F.lit(0)).alias("n_inf"),
     )
-    pct = F.coalesce(F.col("_miss") / (F.col("n_rows") * F.col("n_cols")) * 100, F.lit(0.0))
+    pct = F.coalesce(F.try_divide(F.col("_miss"), F.col("n_rows") * F.col("n_cols")) * 100, F.lit(0.0))
     level = (
         F.when(F.col("null_pct") > BLOCK_NULL_PCT, "block")
         .when((F.col("null_pct") > WARN_NULL_PCT) | (F.col("n_inf") > 0), "warn")
@@ -85,7 +85,7 @@ def readiness(features: DataFrame, date: str, last_date, min_new_rows: int = MIN
         F.count_if("_new").alias("n_new_partitions"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_total_rows"),
         F.coalesce(F.sum(F.when(F.col("_new"), F.col("n"))), F.lit(0)).alias("n_new_rows"),
-        F.coalesce(F.sum("m") / (F.sum("n") * len(cols)) * 100, F.lit(0.0)).alias("null_pct"),
+        F.coalesce(F.try_divide(F.sum("m"), F.sum("n") * len(cols)) * 100, F.lit(0.0)).alias("null_pct"),
         F.min("d").alias("first_date"),
         F.max("d").alias("last_date"),
     )
@@ -152,7 +152,7 @@ def quality_tests(df: DataFrame, cols: Sequence[str] | None = None, max_null_sha
     # copies of a row are combined before the shuffle
     rows = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
     dup = rows.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("u"))
-    dup_share = F.coalesce(1 - F.col("u") / F.col("n"), F.lit(0.0))
+    dup_share = F.coalesce(1 - F.try_divide("u", "n"), F.lit(0.0))
     dup_rows = _result(dup, [("duplicate_share", "*", dup_share, max_duplicate_share, dup_share <= max_duplicate_share)])
     return null_rows.unionByName(per_column).unionByName(dup_rows).select(*names)
 
@@ -180,10 +180,12 @@ def stability_tests(reference: DataFrame, current: DataFrame, cols: Sequence[str
         *[o.alias(f"out_{i}") for i, o in enumerate(outside)],
         *[F.avg(col(c)).alias(f"mu_{i}") for i, c in enumerate(cols)],
     ).withColumn("p", p)
-    ratio = F.col("n") / F.col("p.n")
+    ratio = F.try_divide(F.col("n"), F.col("p.n"))
     tests = [("row_ratio", "*", ratio, max_row_ratio, ratio >= max_row_ratio)]
     for i, c in enumerate(cols):
-        shift = F.abs(F.col(f"mu_{i}") - F.col(f"p.mu_{i}")) / F.col(f"p.sd_{i}")
+        moved = F.abs(F.col(f"mu_{i}") - F.col(f"p.mu_{i}"))
+        # a column without spread counts any move as endless
+        shift = F.coalesce(F.try_divide(moved, F.col(f"p.sd_{i}")), F.when(moved > 0, float("inf")).otherwise(0.0))
         tests.append(("out_of_range_share", c, F.col(f"out_{i}"), max_out_of_range, F.col(f"out_{i}") <= max_out_of_range))
         tests.append(("mean_shift_sigma", c, shift, max_shift_sigma, shift <= max_shift_sigma))
     missing = float(len(set(reference.columns) ^ set(current.columns)))

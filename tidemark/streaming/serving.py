@@ -77,7 +77,7 @@ def value_means(events: DataFrame, time: str, value: str, by: Sequence[str] = ()
     out = events.groupBy(_window(time, width, None), *[col(b) for b in by]).agg(
         F.sum(col(value)).alias("total"), F.count(col(value)).alias("n")
     )
-    return _flat(out).withColumn("mean", F.col("total") / F.col("n"))
+    return _flat(out).withColumn("mean", F.try_divide("total", "n"))
 
 
 def detections(drift_rows: DataFrame, time: str, kind: str, detected: str = "drift_detected", width: str = "1 hour"
