@@ -197,7 +197,7 @@ def flat_metrics(spark, path):
 
     base = metrics.regression_metrics(_log(spark, path))
     per_model = base.groupBy("model").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", r("MAE", 5).alias("v"))))).alias("t")
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", r("MAE", 8).alias("v"))))).alias("t")
     )
     nested = per_model.agg(F.map_from_entries(F.collect_list(F.struct("model", "t"))).alias("m"))
     flat = nested.select(F.explode(flatten_map(F.col("m"))).alias("key", "mae"))
@@ -377,6 +377,6 @@ SQL = {
     "first_predictions": f"""SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS index, event_id, y_true AS actual,
       y_pred AS predicted, {sr('y_true - y_pred')} AS error FROM {LOG} WHERE model = 'persistence' AND target = 'value'
       ORDER BY ts, event_id LIMIT 500""",
-    "flat_metrics": f"""SELECT regexp_replace(model || '/' || target, '^persistence', 'last') AS key, {sr('MAE', 5)} AS mae
+    "flat_metrics": f"""SELECT regexp_replace(model || '/' || target, '^persistence', 'last') AS key, {sr('MAE', 8)} AS mae
       FROM {_METRICS}""",
 }
