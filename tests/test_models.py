@@ -112,3 +112,20 @@ def test_retraining_gate(spark, waves):
 def test_boosted_and_forest_build(spark, waves):
     out = train(waves.where(F.col("who") == "a"), Setup(SPEC, ("x",), ("x",), 3, models=("forest", "boosted")))
     assert out.summary.count() == 2 and set(out.seconds) == {"forest", "boosted"}
+
+
+def test_external_model_and_single_target_metrics(spark, waves, trained):
+    data = model_input(waves, SETUP, trained.pre)
+
+    def load():
+        return lambda m: np.stack([m[:, 9], m[:, 10]], axis=1)  # repeat the last x and y of the window
+
+    out = scoring.score_external(data, load, ["who", "id", "y"], 2)
+    assert out.count() == data.count()
+    pair = out.select(F.col("y")[0].alias("t"), F.col("y_pred")[0].alias("p"))
+    from tidemark.plans.training import single_target_metrics
+
+    row = single_target_metrics(pair, trained.pre, "x", "t", "p").first()
+    params = {r["feature"]: r for r in trained.pre.params.collect()}
+    assert params["x"]["transform"] == "none"
+    assert abs(row["MAE_original"] - row["MAE"] * params["x"]["scale"]) < 1e-9 and row["R2"] > 0.9

@@ -96,6 +96,18 @@ def lake_incremental(spark, path):
     return _rounded(job.lake.read(FEATURES).drop("ts", "event_type", "date"))
 
 
+def inference_table(spark, path):
+    """Model-ready features straight from the raw layer: fill, clip, build."""
+    from tidemark.plans.lake_job import inference_features
+
+    df = _slim(spark, path).withColumn("reading", F.when(F.col("event_type") != "error", F.col("value")))
+    lake = Lake(spark, scratch_path(spark, "lake"))
+    lake.write(df.select("user_id", "event_id", "ts", "reading"), RAW, "ts")
+    out = inference_features(lake, USERS, ["reading"], (1, 3), (3,), targets=["reading"])
+    return out.select("user_id", "event_id", *[r(c, 5).alias(c) for c in (
+        "reading", "reading_lag_1", "reading_lag_3", "reading_rmean_3")])
+
+
 def late_append(spark, path):
     """Rows newer than the mark on a date already written are added to it, and only what is written is counted."""
     job = _job(spark)
@@ -194,7 +206,7 @@ QUERIES = {
     "lookback_features": lookback_features_query,
     **{f.__name__: f for f in (
         partition_counts, manifest_doc, list_dates, pending_dates, date_range_scan, date_scan, dates_scan, layer_snapshot,
-        lake_features, lake_incremental, late_append, late_side_table, watermark_state, csv_round_trip, csv_folder,
+        lake_features, lake_incremental, inference_table, late_append, late_side_table, watermark_state, csv_round_trip, csv_folder,
         json_pages, reference_snapshot, prediction_log_store, dataset_registry)},
 }
 
@@ -220,6 +232,7 @@ SQL = {
       {ROLL_SQL} FROM events) WHERE value_lag_7 IS NOT NULL AND ts >= TIMESTAMP '{MARK}'""",
     "lake_features": _FEATURES.replace("SRC", _CLEAN),
     "lake_incremental": _FEATURES.replace("SRC", _CLEAN),
+    "inference_table": None,
     "late_append": "SELECT CAST(ts AS DATE) AS date, count(*) AS rows FROM events GROUP BY 1",
     "late_side_table": """SELECT CASE WHEN CAST(ts AS DATE) = DATE '2024-01-15' AND ts >= TIMESTAMP '2024-01-15 12:00:00'
       THEN 'late' ELSE 'raw' END AS layer, CAST(ts AS DATE) AS date, count(*) AS rows FROM events GROUP BY ALL""",
@@ -245,3 +258,20 @@ def _prediction_sql() -> str:
 
 
 SQL["prediction_log_store"] = _prediction_sql()
+
+
+def _inference_sql() -> str:
+    from tidemark.catalog.common import PLAIN_W
+    from tidemark.catalog.preprocess import _FILLED
+
+    return f"""WITH m AS (SELECT user_id, event_id, coalesce(f, (SELECT median(f) FROM {_FILLED})) AS v FROM {_FILLED}),
+      b AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM m),
+      c AS (SELECT m.user_id, m.event_id, ts, greatest(least(v, q3 + 3 * (q3 - q1)), q1 - 3 * (q3 - q1)) AS reading
+        FROM m JOIN events USING (event_id), b)
+      SELECT user_id, event_id, {sr('reading', 5)} AS reading, {sr('l1', 5)} AS reading_lag_1, {sr('l3', 5)} AS reading_lag_3,
+        {sr('m3', 5)} AS reading_rmean_3 FROM (SELECT user_id, event_id, reading, lag(reading, 1) OVER w AS l1,
+        lag(reading, 3) OVER w AS l3, avg(reading) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m3 FROM c
+        WINDOW w AS ({PLAIN_W})) WHERE l3 IS NOT NULL"""
+
+
+SQL["inference_table"] = _inference_sql()

@@ -108,11 +108,11 @@ def framed(df: DataFrame, spec: PanelSpec, make: Callable[[WindowSpec], dict[str
     cold, hot = _split(base, keys, layout, spec)
     slot_keys = [*keys, "_slot"]
     up = plain_window(slot_keys, spec)
-    down = plain_window(slot_keys, spec, descending=True)
-    marked = hot.withColumns({"_first": F.row_number().over(up), "_last": F.row_number().over(down)})
+    size = F.count(F.lit(1)).over(Window.partitionBy(*[col(k) for k in slot_keys]))
+    marked = hot.withColumns({"_first": F.row_number().over(up), "_size": size})
     inner = marked.withColumns(make(up)).where(F.col("_first") > reach)
     border = (
-        marked.where((F.col("_first") <= reach) | (F.col("_last") <= reach))
+        marked.where((F.col("_first") <= reach) | (F.col("_first") > F.col("_size") - reach))
         .withColumns(make(whole))
         .where(F.col("_first") <= reach)
     )

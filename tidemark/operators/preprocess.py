@@ -18,6 +18,7 @@ from tidemark.operators.fill import apply_params, fill_along_time, fill_median,
 from tidemark.operators.ordering import column_quantiles, per_column
 from tidemark.operators.panel import Layout
 from tidemark.operators.rows import drop_present
+from tidemark.session import stage
 from tidemark.spec import PanelSpec
 
 SCALERS = ("robust", "standard", "minmax")
@@ -161,9 +162,11 @@ def clean_panel(df: DataFrame, spec: PanelSpec, numeric: Sequence[str], targets:
     """
     targets = list(targets or spec.targets)
     slim = drop_present(df, redundant)
-    filled = fill_along_time(slim, spec, numeric, layout)
-    base = filled if fit_on is None else fill_along_time(drop_present(fit_on, redundant), spec, numeric, layout)
-    meds = medians(base, numeric)
-    filled = fill_median(filled, numeric, meds)
-    bounds = clip_bounds(fill_median(base, numeric, meds), targets, k)
-    return clip(filled, targets, bounds), bounds
+    # the fill is a shuffle that the fits below would repeat on every pass, so it is written once
+    filled = stage(fill_along_time(slim, spec, numeric, layout), "filled")
+    base = filled
+    if fit_on is not None:
+        base = stage(fill_along_time(drop_present(fit_on, redundant), spec, numeric, layout), "filled")
+    meds = pin(medians(base, numeric))
+    bounds = pin(clip_bounds(fill_median(base, targets, meds), targets, k))
+    return clip(fill_median(filled, numeric, meds), targets, bounds), bounds

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import col
 from tidemark.operators import features, fill, frames, rows
+from tidemark.operators.panel import probe_layout
+from tidemark.operators.preprocess import clean_panel
 from tidemark.operators.quality import null_profile
 from tidemark.sources.lake import CLEAN, DATE, FEATURES, RAW, Lake
 from tidemark.sources.manifest import Manifest
@@ -85,8 +87,9 @@ class LakeJob:
         df = self.lake.read_dates(RAW, todo)
         # each date is cleaned on its own, so cleaning a date again gives the same rows
         daily = self.spec.with_(entity=(*self.spec.entity, DATE))
+        layout = probe_layout(df, daily)  # on the rows as read: counting after the aggregate would run it twice
         out = rows.dedup(df, self.spec.time, tiebreak=self.spec.tiebreak)
-        out = fill.interpolate(out, daily, self.measures, self.fill_limit)
+        out = fill.interpolate(out, daily, self.measures, self.fill_limit, layout)
         out = rows.drop_any_missing(out)
         return [d for d, _ in self.lake.write(out, CLEAN, self.spec.time)]
 
@@ -124,6 +127,20 @@ class LakeJob:
         return done
 
 
+def preprocess_raw(lake: Lake, spec: PanelSpec, numeric: Sequence[str], targets: Sequence[str] | None = None,
+                   redundant: Sequence[str] = (), **options) -> tuple[DataFrame, DataFrame]:
+    """The whole raw layer, filled and clipped: (clean rows, clip bounds)."""
+    df = lake.read(RAW).withColumns({c: col(c).cast("double") for c in numeric})
+    return clean_panel(df, spec, numeric, targets, redundant, **options)
+
+
+def inference_features(lake: Lake, spec: PanelSpec, numeric: Sequence[str], lags: Sequence[int] = (1, 3, 7),
+                       windows: Sequence[int] = (3, 7), **options) -> DataFrame:
+    """Raw layer to model-ready features in one plan: load, clean, build."""
+    df, _ = preprocess_raw(lake, spec, numeric, **options)
+    return features.build_features(df, spec, numeric, numeric, lags, windows)
+
+
 def _with_pending(dates: Sequence[date] | None, pending: list[date]) -> list[date]:
     return sorted({*(dates or []), *pending})
 
@@ -147,11 +164,13 @@ def lookback_features(lake: Lake, spec: PanelSpec, measures: Sequence[str], date
         raise ValueError("lookback is 'partitions' or 'rows'")
     k = max(*lags, *windows)
     first = min(dates)
+    target = lake.read_dates(layer, dates)
+    layout = probe_layout(target, spec)
     if lookback == "partitions":
         df = lake.read_dates(layer, [*lake.before(layer, first, k), *dates])
     else:
         history = lake.read(layer).where(F.col(DATE) < F.lit(first))
-        df = frames.last_rows(history, spec, k).unionByName(lake.read_dates(layer, dates))
-    built = features.build_features(df, spec, measures, measures, lags, windows)
+        df = frames.last_rows(history, spec, k).unionByName(target)
+    built = features.build_features(df, spec, measures, measures, lags, windows, layout=layout)
     return built.where(F.col(DATE).isin(list(dates)))
 

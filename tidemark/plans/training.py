@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
 from tidemark.operators import frames, metrics
+from tidemark.operators.panel import Layout
 from tidemark.operators.preprocess import Preprocessor
 from tidemark.operators.split import split_time
 from tidemark.sources.state import Watermark, WatermarkTable
@@ -66,10 +67,12 @@ class Setup:
     promote_r2: float = PROMOTE_R2
 
 
-def model_input(df: DataFrame, setup: Setup, pre: Preprocessor, keep: Sequence[str] = ()) -> DataFrame:
+def model_input(df: DataFrame, setup: Setup, pre: Preprocessor, keep: Sequence[str] = (),
+                layout: Layout | None = None) -> DataFrame:
     """Scaled sequences with a ``features`` vector and the scaled targets in ``y``; ``keep`` columns ride along."""
     spec = setup.spec.with_(tiebreak=(*setup.spec.tiebreak, *keep))
-    seq = frames.sequences(pre.transform(df), spec, setup.features, setup.targets, setup.seq_len, setup.horizon)
+    seq = frames.sequences(pre.transform(df), spec, setup.features, setup.targets, setup.seq_len, setup.horizon,
+                           layout)
     flat = F.transform(F.flatten("x"), lambda v: v.cast("double"))
     return seq.withColumn("features", array_to_vector(flat)).drop("x")
 
@@ -140,6 +143,22 @@ def score(data: DataFrame, fitted: dict[str, Model], pre: Preprocessor, targets:
     return wide.select(*keep, F.explode(F.array(*cells)).alias("r")).select(*keep, "r.*")
 
 
+def single_target_metrics(scaled: DataFrame, pre: Preprocessor, target: str, y_true: str, y_pred: str) -> DataFrame:
+    """One row for one target: MAE, MSE, RMSE, R2 as scaled, and MAE and RMSE in original units."""
+    pair = scaled.select(col(y_true).cast("double").alias("t"), col(y_pred).cast("double").alias("p"))
+    back = pre.inverse_targets(pre.inverse_targets(pair, {target: "t"}), {target: "p"})
+    both = pair.select(F.lit("scaled").alias("unit"), "t", "p").unionByName(back.select(F.lit("original").alias("unit"), "t", "p"))
+    two = metrics.regression_metrics(both, ["unit"], "t", "p")
+
+    def of(unit: str, name: str):
+        return F.max(F.when(F.col("unit") == unit, F.col(name)))
+
+    return two.agg(
+        F.max("n").alias("n"), *[of("scaled", m).alias(m) for m in ("MAE", "MSE", "RMSE", "R2")],
+        of("original", "MAE").alias("MAE_original"), of("original", "RMSE").alias("RMSE_original"),
+    )
+
+
 class ModelStore:
     """Fitted models, the registry of their metrics, and the champion history, under one root."""
 

@@ -47,6 +47,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stage(df, label: str):
+    """Write ``df`` once as a Parquet table in the scratch folder and go on from there.
+
+    For results of a shuffle that several passes read: the passes then scan the columns they need.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Write ``df`` to the reliable checkpoint folder and read it back from there."""
     spark = df.sparkSession
