@@ -113,6 +113,28 @@ def test_incremental_equals_full_rebuild(spark):
         assert content(steps.lake.read(FEATURES)) == content(full.lake.read(FEATURES)), lookback
 
 
+def test_dates_without_features_do_not_stay_pending(spark):
+    data = [(w, START + timedelta(days=i), i, float(i % 5)) for i in range(12) for w in "ab"]
+    source = spark.createDataFrame(data, SPEC_SCHEMA)
+    work = LakeJob(spark, scratch_path(spark, "job"), SPEC, ("x",), lags=(1, 7), windows=(3,))
+    early = work.run(source.where(F.col("id") < 10))
+    assert early["features"] == [date(2024, 1, d) for d in (8, 9, 10)]  # seven days lack their lags
+    assert work.pending(CLEAN, FEATURES) == []
+    late = work.run(source)
+    assert late["features"] == [date(2024, 1, d) for d in (11, 12)]  # and nothing older was built again
+
+
+def test_late_rows_make_a_processed_date_pending_again(spark):
+    work = job(spark)
+    work.run(hours(spark, 30))
+    work.ingest(hours(spark, 40))
+    assert work.pending(RAW, CLEAN) == [date(2024, 1, 2)]
+    assert work.clean() == [date(2024, 1, 2)] and work.features() == [date(2024, 1, 2)]
+    full = job(spark)
+    full.run(hours(spark, 40))
+    assert content(work.lake.read(FEATURES)) == content(full.lake.read(FEATURES))
+
+
 def test_failed_run_keeps_the_mark_and_says_so(spark):
     work = job(spark, rules=(lambda d: d.select("nope"),))
     with pytest.raises(Exception):

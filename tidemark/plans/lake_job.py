@@ -18,9 +18,13 @@ from tidemark.operators.quality import null_profile
 from tidemark.sources.lake import CLEAN, DATE, FEATURES, RAW, Lake
 from tidemark.sources.manifest import Manifest
 from tidemark.sources.state import Watermark, WatermarkTable
+from tidemark.sources.storage import exists
 from tidemark.spec import PanelSpec
 
 
+PROGRESS = "layer string, date date, status string, at timestamp"
+
+
 @dataclass
 class LakeJob:
     """Stages over one panel. ``measures`` are the columns that are filled, lagged and rolled."""
@@ -41,6 +45,29 @@ class LakeJob:
         self.lake = Lake(self.spark, self.root)
         self.marks = WatermarkTable(self.spark, f"{self.lake.root}/_state/watermarks")
         self.manifests = f"{self.lake.root}/_state/manifests"
+        self.progress = f"{self.lake.root}/_state/progress"
+
+    def mark(self, layer: str, dates: Sequence[date], status: str) -> None:
+        """Note that a layer's dates are ``done`` or (their source changed) ``dirty``."""
+        if dates:
+            now = datetime.now(timezone.utc)
+            rows_ = [(layer, d, status, now) for d in dates]
+            self.spark.createDataFrame(rows_, PROGRESS).coalesce(1).write.mode("append").parquet(self.progress)
+
+    def pending(self, source: str, target: str) -> list[date]:
+        """Source dates the target has not processed since they last changed.
+
+        A processed date may well have no rows in the target (its lags reach before the first day), so the notes decide,
+        and only dates without one are looked up among the partitions.
+        """
+        status: dict[date, str] = {}
+        if exists(self.spark, self.progress):
+            # one row per date
+            notes = self.spark.read.schema(PROGRESS).parquet(self.progress).where(F.col("layer") == target)
+            status = {r["date"]: r["s"] for r in notes.groupBy("date").agg(F.max_by("status", "at").alias("s")).collect()}
+        have = set(self.lake.dates(target))
+        return [d for d in self.lake.dates(source)
+                if status.get(d) == "dirty" or (d not in status and d not in have)]
 
     def ingest(self, source: DataFrame | Callable[[datetime | None], DataFrame]) -> list[date]:
         """Rows newer than the watermark into ``raw``; returns the dates written, none when nothing is new.
@@ -64,6 +91,8 @@ class LakeJob:
                 written = self.lake.write(batch, RAW, time, self.policy, self.key)
                 for day, n in written:
                     manifest.add(day, RAW, n, f"{self.lake.path(RAW)}/date={day}")
+                # with a key a repeated run may find its rows written already, yet not noted
+                self.mark(CLEAN, batch_dates(batch, time) if self.key else [d for d, _ in written], "dirty")
                 last = max((d for d, _ in written), default=mark.last_partition_date)
                 ltz = isinstance(df.schema[time].dataType, T.TimestampType)
                 high = high.astimezone(timezone.utc) if ltz else _utc(high)
@@ -81,7 +110,7 @@ class LakeJob:
 
     def clean(self, dates: Sequence[date] | None = None) -> list[date]:
         """All given (or pending) dates in one job: de-duplicate, interpolate, drop incomplete rows."""
-        todo = list(dates or self.lake.pending(RAW, CLEAN))
+        todo = list(dates or self.pending(RAW, CLEAN))
         if not todo:
             return []
         df = self.lake.read_dates(RAW, todo)
@@ -91,7 +120,10 @@ class LakeJob:
         out = rows.dedup(df, self.spec.time, tiebreak=self.spec.tiebreak)
         out = fill.interpolate(out, daily, self.measures, self.fill_limit, layout)
         out = rows.drop_any_missing(out)
-        return [d for d, _ in self.lake.write(out, CLEAN, self.spec.time)]
+        written = [d for d, _ in self.lake.write(out, CLEAN, self.spec.time)]
+        self.mark(CLEAN, todo, "done")
+        self.mark(FEATURES, written, "dirty")
+        return written
 
     def features(self, dates: Sequence[date] | None = None, lookback: str = "partitions",
                  following: bool = True) -> list[date]:
@@ -99,13 +131,15 @@ class LakeJob:
 
         ``following`` also rebuilds the existing dates after the earliest one, whose lags reach into it.
         """
-        todo = sorted(dates or self.lake.pending(CLEAN, FEATURES))
+        todo = sorted(dates or self.pending(CLEAN, FEATURES))
         if not todo:
             return []
         if following:
             todo = [d for d in self.lake.dates(CLEAN) if d >= todo[0]]
         out = lookback_features(self.lake, self.spec, self.measures, todo, self.lags, self.windows, lookback)
-        return [d for d, _ in self.lake.write(out, FEATURES, self.spec.time)]
+        written = [d for d, _ in self.lake.write(out, FEATURES, self.spec.time)]
+        self.mark(FEATURES, todo, "done")
+        return written
 
     def run(self, source: DataFrame | Callable | None = None, stage: str = "all",
             dates: Sequence[date] | None = None) -> dict[str, list[date]]:
@@ -120,13 +154,19 @@ class LakeJob:
             done["ingest"] = self.ingest(source)
             dates = done["ingest"] if stage == "all" else dates
         if stage in ("all", "clean"):
-            done["clean"] = self.clean(_with_pending(dates, self.lake.pending(RAW, CLEAN)))
+            done["clean"] = self.clean(_with_pending(dates, self.pending(RAW, CLEAN)))
             dates = done["clean"] if stage == "all" else dates
         if stage in ("all", "features"):
-            done["features"] = self.features(_with_pending(dates, self.lake.pending(CLEAN, FEATURES)))
+            done["features"] = self.features(_with_pending(dates, self.pending(CLEAN, FEATURES)))
         return done
 
 
+def batch_dates(batch: DataFrame, time: str) -> list[date]:
+    """The distinct dates of a batch: one row per date."""
+    days = batch.select(F.to_date(col(time)).alias("d")).where(F.col("d").isNotNull()).distinct()
+    return sorted(r["d"] for r in days.collect())
+
+
 def preprocess_raw(lake: Lake, spec: PanelSpec, numeric: Sequence[str], targets: Sequence[str] | None = None,
                    redundant: Sequence[str] = (), **options) -> tuple[DataFrame, DataFrame]:
     """The whole raw layer, filled and clipped: (clean rows, clip bounds)."""

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.columns import col
 from tidemark.operators import frames
-from tidemark.plans.lake_job import LakeJob
-from tidemark.sources.lake import LATE, RAW
+from tidemark.plans.lake_job import LakeJob, batch_dates
+from tidemark.sources.lake import CLEAN, LATE, RAW
 from tidemark.sources.state import Watermark
 from tidemark.sources.storage import folders
 from tidemark.spec import PanelSpec
@@ -69,6 +69,7 @@ def ingest_stream(source: DataFrame, job: LakeJob, checkpoint: str, key: Sequenc
             job.lake.append_late(tardy, time, batch_id, key)
             fresh = fresh.where(col(time) > edge)
         written = job.lake.write(fresh, RAW, time, "append", key)
+        job.mark(CLEAN, batch_dates(fresh, time), "dirty")
         if mark.last_success_at is None or high > mark.last_success_at:
             last = max([d for d, _ in written] + ([mark.last_partition_date] if mark.last_partition_date else []),
                        default=None)
