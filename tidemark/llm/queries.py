@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, minhash, mixing, quality
+from tidemark.llm import ann, bpe, langid, minhash, mixing, pages, quality, toxicity, unigram, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -27,6 +28,18 @@ def op1_bpe(spark: SparkSession, path: str) -> DataFrame:
     return bpe.decode(plain, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    docs = read(spark, path, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    learn = toxicity.learning_rows(docs, read(spark, path, "labels"), fold)
+    scored = toxicity.score(docs.withColumn("held_out", fold == 0), learn)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_html(spark: SparkSession, path: str) -> DataFrame:
+    return pages.main_text(read(spark, path, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_quality(spark: SparkSession, path: str) -> DataFrame:
     return quality.assess(read(spark, path, "documents").select("doc_id", "lang", "source", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,10 +49,19 @@ def op5_minhash(spark: SparkSession, path: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, path, "documents"), percent=85)
 
 
+def op6_unigram(spark: SparkSession, path: str) -> DataFrame:
+    pieces = unigram.read_pieces(public_tokenizers.path(PIECES))
+    return unigram.count_tokens(read(spark, path, "documents").select("doc_id", "text"), pieces).drop("text")
+
+
 def op7_mixing(spark: SparkSession, path: str) -> DataFrame:
     return mixing.taken(read(spark, path, "documents")).drop("position")
 
 
+def op8_ann(spark: SparkSession, path: str) -> DataFrame:
+    return ann.nearest(read(spark, path, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_langid(spark: SparkSession, path: str) -> DataFrame:
     docs = read(spark, path, "documents")
     held = langid.held_out(F.col("doc_id"), 4, 2)
@@ -47,5 +69,13 @@ def op9_langid(spark: SparkSession, path: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), net).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_quality, op5_minhash, op7_mixing, op9_langid)}
+def op10_urls(spark: SparkSession, path: str) -> DataFrame:
+    pages_, labels = read(spark, path, "pages"), read(spark, path, "labels")
+    labelled = pages_.select("page_id", "url").join(labels, F.col("page_id") == F.col("doc_id")).select(
+        "url", F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False)).alias("bad"))
+    return urls.judge(pages_, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_html, op4_quality, op5_minhash, op6_unigram, op7_mixing,
+                                op8_ann, op9_langid, op10_urls)}
 SQL: dict[str, str] = {}
