@@ -133,18 +133,19 @@ def pieces(text: str, split, size: int, overlap: int):
     yield at, n
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, spread: int = SPREAD, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` with ``ids array<int>`` of every whole text."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, spread: int = SPREAD, size: int = CHUNK, overlap: int = OVERLAP,
+           keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) with ``ids array<int>`` of every whole text."""
     box = docs.sparkSession.sparkContext.broadcast((vocabulary.data, vocabulary.pattern))
-    names = [c for c in docs.columns if c != "ids"]
+    names = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
     length = F.coalesce(F.length("text"), F.lit(0))
 
     def make_step():
         encoder = Encoder(Vocabulary(*box.value), size, overlap)
         return lambda texts: {"ids": encoder.column(texts)}
 
-    done = add_from(docs.where(length <= spread), text_of(), make_step, "ids array<int>")
-    long = spread_encode(docs.where(length > spread).select(*names), box, size, overlap)
+    done = add_from(docs.where(length <= spread), text_of(), make_step, "ids array<int>", names)
+    long = spread_encode(docs.where(length > spread), box, size, overlap)
     return done.unionByName(long.select(*names, "ids"))
 
 
@@ -189,19 +190,19 @@ def spread_encode(docs: DataFrame, box, size: int, overlap: int) -> DataFrame:
         encoder = Encoder(Vocabulary(*box.value), size, overlap)
         return lambda parts: {"ids": encoder.column(parts)}
 
-    encoded = add_from(spans.repartition(tasks, "h", "k").select("h", "k", "part"), F.col("part"), make_encode, "ids array<int>")
+    encoded = add_from(spans.repartition(tasks, "h", "k"), F.col("part"), make_encode, "ids array<int>", ["h", "k"])
     # a group is one text
     joined = encoded.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p")).select(
         "h", F.flatten(F.col("p")["ids"]).alias("ids"))
     return docs.withColumn("_h", F.sha2(text_of(), 256)).join(joined, F.col("_h") == F.col("h")).drop("_h", "h")
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``encoded`` with ``decoded binary``, the bytes of ``ids`` one after another (null: none)."""
+def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = None) -> DataFrame:
+    """``encoded`` (its columns ``keep``, or all) with ``decoded binary``, the bytes of ``ids`` one after another (null: none)."""
     box = encoded.sparkSession.sparkContext.broadcast((vocabulary.data, vocabulary.pattern))
 
     def make_step():
         spell = Spelling(Vocabulary(*box.value).ranks())
         return lambda ids: {"decoded": spell.column(ids)}
 
-    return add_from(encoded, F.coalesce("ids", F.array().cast("array<int>")), make_step, "decoded binary")
+    return add_from(encoded, F.coalesce("ids", F.array().cast("array<int>")), make_step, "decoded binary", keep)

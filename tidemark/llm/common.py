@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyspark.cloudpickle as cloudpickle
@@ -47,13 +47,15 @@ def map_batches(df: DataFrame, make_step: Callable[[], Callable[[dict[str, list]
     return df.mapInArrow(run, spark_schema)
 
 
-def add_from(df: DataFrame, column: Column, make_step: Callable[[], Callable[[pa.Array], dict]], added: str) -> DataFrame:
+def add_from(df: DataFrame, column: Column, make_step: Callable[[], Callable[[pa.Array], dict]], added: str,
+             keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` with the columns ``added``, which the step makes of the values of ``column``, a few rows at a time.
 
-    Other columns pass through as they are, whatever their names; columns of the names added are replaced.
+    Other columns (those in ``keep``, or all) pass through as they are, whatever their names; columns of the names added
+    are replaced.
     """
     new = StructType.fromDDL(added)
-    names = [c for c in df.columns if c not in new.names]
+    names = [c for c in (df.columns if keep is None else keep) if c not in new.names]
     plain = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), column.alias("x"))
     schema = StructType([*plain.schema.fields[:-1], *new.fields])
 

@@ -177,8 +177,8 @@ def scorer(net: Network):
     return score
 
 
-def identify(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` of every whole text."""
+def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) with ``lang_pred`` and ``score`` of every whole text."""
 
     def make_step():
         score = scorer(net)  # some 100 kB
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
 
         return step
 
-    return add_from(docs, text_of(), make_step, "lang_pred string, score double")
+    return add_from(docs, text_of(), make_step, "lang_pred string, score double", keep)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:

@@ -117,7 +117,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
         return step
 
-    return add_from(docs.select("doc_id"), text_of(), make_step, "key binary, n_shingles long, bands array<long>")
+    return add_from(docs, text_of(), make_step, "key binary, n_shingles long, bands array<long>", keep=["doc_id"])
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:

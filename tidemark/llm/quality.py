@@ -66,7 +66,7 @@ def repeated_lines(text: str) -> int:
     return count
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the counts of each whole text (null: empty) and ``base_failed``."""
 
     def make_step():
@@ -85,7 +85,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
         return step
 
-    return add_from(docs, text_of(), make_step, ", ".join(f"{c} long" for c in COUNTS)).withColumn("base_failed", base_failed())
+    return add_from(docs, text_of(), make_step, ", ".join(f"{c} long" for c in COUNTS), keep).withColumn("base_failed", base_failed())
 
 
 def base_failed() -> Column:
@@ -152,12 +152,14 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     )
 
 
-def assess(docs: DataFrame) -> DataFrame:
+def assess(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the counts, ``base_failed`` and ``kept``; it needs ``lang, source, text``.
 
+    ``keep`` names the columns to carry along, ``lang`` and ``source`` among them (all if it isn't given).
+
     Empty and null texts have no words and fail; rows repeated are judged alike; an empty table gives an empty result.
     """
-    measured = stage(measure(docs), "quality")
+    measured = stage(measure(docs, keep), "quality")
     limits = stage(thresholds(sketches(measured)), "fences")
     return judge(measured, limits)
 

@@ -22,26 +22,27 @@ def vocabulary() -> bpe.Vocabulary:
 
 def op1_bpe(spark: SparkSession, path: str) -> DataFrame:
     ranks = vocabulary()
-    coded = bpe.encode(read(spark, path, "documents").select("doc_id", "text"), ranks).drop("text")
+    coded = bpe.encode(read(spark, path, "documents"), ranks, keep=["doc_id"])
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     plain = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "ids")
-    return bpe.decode(plain, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe.decode(plain, ranks, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_toxicity(spark: SparkSession, path: str) -> DataFrame:
     docs = read(spark, path, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     learn = toxicity.learning_rows(docs, read(spark, path, "labels"), fold)
-    scored = toxicity.score(docs.withColumn("held_out", fold == 0), learn)
+    scored = toxicity.score(docs.withColumn("held_out", fold == 0), learn, keep=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 def op3_html(spark: SparkSession, path: str) -> DataFrame:
-    return pages.main_text(read(spark, path, "pages")).select("page_id", "url", "text", "n_chars")
+    return pages.main_text(read(spark, path, "pages"), keep=["page_id", "url"])
 
 
 def op4_quality(spark: SparkSession, path: str) -> DataFrame:
-    return quality.assess(read(spark, path, "documents").select("doc_id", "lang", "source", "text")).select(
+    return quality.assess(read(spark, path, "documents"), ["doc_id", "lang", "source"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -51,7 +52,7 @@ def op5_minhash(spark: SparkSession, path: str) -> DataFrame:
 
 def op6_unigram(spark: SparkSession, path: str) -> DataFrame:
     pieces = unigram.read_pieces(public_tokenizers.path(PIECES))
-    return unigram.count_tokens(read(spark, path, "documents").select("doc_id", "text"), pieces).drop("text")
+    return unigram.count_tokens(read(spark, path, "documents"), pieces, ["doc_id"])
 
 
 def op7_mixing(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +67,7 @@ def op9_langid(spark: SparkSession, path: str) -> DataFrame:
     docs = read(spark, path, "documents")
     held = langid.held_out(F.col("doc_id"), 4, 2)
     net = langid.train(docs.where(~held))
-    return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), net).drop("text")
+    return langid.identify(docs.withColumn("held_out", held), net, ["doc_id", "held_out"])
 
 
 def op10_urls(spark: SparkSession, path: str) -> DataFrame:

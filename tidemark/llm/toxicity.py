@@ -76,7 +76,7 @@ def counts(rows: DataFrame) -> DataFrame:
         return step
 
     kind = "grams array<struct<g: long, c: long, l: long, s: long, n: long>>"
-    seen = add_from(rows.select("toxic", "spare", "text"), text_of(), make_step, kind).select("toxic", "spare", F.explode("grams").alias("_g"))
+    seen = add_from(rows, text_of(), make_step, kind, ["toxic", "spare"]).select("toxic", "spare", F.explode("grams").alias("_g"))
     n = F.col("_g.n")
     total = lambda when: F.sum(F.when(when, n).otherwise(0))
     return seen.groupBy(F.col("_g.g").alias("gram")).agg(
@@ -141,7 +141,7 @@ class Table:
         return float(value.sum(dtype=np.float64) / np.sqrt(len(g)))
 
 
-def broadcast_evidence(docs: DataFrame, llr: DataFrame) -> DataFrame:
+def broadcast_evidence(docs: DataFrame, llr: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``evidence``, from a table that every task holds."""
     table = Table.of(llr)
     box = docs.sparkSession.sparkContext.broadcast((table.keys, table.llr))
@@ -150,10 +150,10 @@ def broadcast_evidence(docs: DataFrame, llr: DataFrame) -> DataFrame:
         own = Table(*box.value)
         return lambda texts: {"evidence": [own.evidence(t) for t in texts.to_pylist()]}
 
-    return add_from(docs, text_of(), make_step, "evidence double")
+    return add_from(docs, text_of(), make_step, "evidence double", keep)
 
 
-def joined_evidence(docs: DataFrame, llr: DataFrame) -> DataFrame:
+def joined_evidence(docs: DataFrame, llr: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The same by a join: sequences are counted within each text before they are shuffled."""
     table = stage(llr, "llr")
 
@@ -172,14 +172,15 @@ def joined_evidence(docs: DataFrame, llr: DataFrame) -> DataFrame:
         return step
 
     rows = stage(docs.withColumn("_row", F.expr("uuid()")), "rows")
-    each = add_from(rows.select("_row", "text"), text_of(), make_step,
-                    "_grams array<struct<g: long, c: long, n: long>>, _total long").select("_row", "_total", F.explode("_grams").alias("_p"))
+    each = add_from(rows, text_of(), make_step, "_grams array<struct<g: long, c: long, n: long>>, _total long",
+                    ["_row"]).select("_row", "_total", F.explode("_grams").alias("_p"))
     back = table.select(F.col("gram").alias("_context"), F.col("llr").alias("_back"))
     summed = (
         each.join(table, F.col("_p.g") == F.col("gram"), "left").join(back, F.col("_p.c") == F.col("_context"), "left")
         .groupBy("_row").agg((F.sum(F.col("_p.n") * F.coalesce("llr", "_back", F.lit(0.0))) / F.sqrt(F.first("_total"))).alias("evidence"))
     )
-    return rows.join(summed, "_row", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0))).drop("_row")
+    kept = rows.select("_row", *(docs.columns if keep is None else keep))
+    return kept.join(summed, "_row", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0))).drop("_row")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -198,12 +199,12 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(w[0] / scale), float(w[1])
 
 
-def evidence(docs: DataFrame, llr: DataFrame, limit: int = BROADCAST_GRAMS) -> DataFrame:
-    return broadcast_evidence(docs, llr) if llr.count() <= limit else joined_evidence(docs, llr)
+def evidence(docs: DataFrame, llr: DataFrame, limit: int = BROADCAST_GRAMS, keep: list[str] | None = None) -> DataFrame:
+    return (broadcast_evidence if llr.count() <= limit else joined_evidence)(docs, llr, keep)
 
 
-def score(docs: DataFrame, learn: DataFrame, limit: int = BROADCAST_GRAMS) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``, learnt from ``learn`` (``text, toxic, spare``; labels 0 and 1).
+def score(docs: DataFrame, learn: DataFrame, limit: int = BROADCAST_GRAMS, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) with ``score`` and ``predicted``, learnt from ``learn`` (``text, toxic, spare``; labels 0 and 1).
 
     Rows marked ``spare`` set the logistic curve against models that have not counted them; the final models count all.
     """
@@ -213,11 +214,11 @@ def score(docs: DataFrame, learn: DataFrame, limit: int = BROADCAST_GRAMS) -> Da
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("text"))
     spare = learn.where("spare").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= CALIBRATION_ROWS)
     # the documented bound: two numbers a row
-    got = evidence(spare.select("toxic", "text"), tried, limit).select("toxic", "evidence").toPandas()
+    got = evidence(spare, tried, limit, ["toxic"]).toPandas()
     slope, offset = logistic(got["evidence"].to_numpy(float), got["toxic"].to_numpy(float))
     z = slope * F.col("evidence") + offset
     return (
-        evidence(docs, final, limit).withColumn("score", 1 / (1 + F.exp(-z)))
+        evidence(docs, final, limit, keep).withColumn("score", 1 / (1 + F.exp(-z)))
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     )
 

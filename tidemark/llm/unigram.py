@@ -122,12 +122,12 @@ class Counter(dict):
         return sum(map(self.__getitem__, self.split(MARK + text.replace(" ", MARK))))
 
 
-def count_tokens(docs: DataFrame, pieces: list[tuple[str, float, int]]) -> DataFrame:
-    """``docs`` with ``n_tokens`` of every whole text."""
+def count_tokens(docs: DataFrame, pieces: list[tuple[str, float, int]], keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) with ``n_tokens`` of every whole text."""
     box = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary file
 
     def make_step():
         counter = Counter(box.value)
         return lambda texts: {"n_tokens": [counter.count(t) for t in texts.to_pylist()]}
 
-    return add_from(docs, text_of(), make_step, "n_tokens long")
+    return add_from(docs, text_of(), make_step, "n_tokens long", keep)
