@@ -39,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, with the digest of the bytes that they decode to."""
     ranks = vocabulary()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks).drop("text"), ranks)
+    coded = bpe.decode(bpe.encode(docs, ranks, keep=["doc_id", "lang", "source"]), ranks)
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
