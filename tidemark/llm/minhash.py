@@ -5,9 +5,9 @@ shingles, and coordinate k is the least value which the second one, shifted by k
 coordinates are the buckets in which candidates meet.
 
 * Copies of a text are one class before anything is compared, so thousands of copies cost one row.
-* In a bucket each text is compared with the least one only (a star), which is enough where all are alike. What the
-  stars leave in different components meets again: buckets with several components are cut by further bands, made from
-  further shifts of the same permutations, until they are small, and the rest is compared text by text.
+* In a bucket each text is compared with the least one only (a star), which is enough where all are alike. Buckets that
+  the stars leave with several components are compared whole, in blocks of bounded size whose intersections are one
+  matrix product; of the links found, those that join components leave the block, never its pairs.
 * Components are the least label, spread by hooking and pointer jumping over the links. Nothing is collected.
 
 Nulls and texts without a word have an empty set and no link. Fewer than five words are one shingle. Rows that repeat a
@@ -17,6 +17,7 @@ doc_id are judged one by one; rows of equal text belong to one class whatever th
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +27,9 @@ from tidemark.session import cut_lineage, stage
 
 WORDS = 5
 DOMAIN = 1 << 20
-BANDS, ROWS = 24, 6
-#: Extra bands for the buckets that stars leave mixed, and how far such buckets may go without them.
-EXTRA_BANDS, EXTRA_ROWS = 16, 8
-PLAIN_BUCKET = 32
+BANDS, ROWS = 40, 9
+#: A mixed bucket is compared in blocks of so many classes, or of so many shingles, at most.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 SEED = 20_240_229
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
@@ -90,10 +90,10 @@ def signature(hashes: np.ndarray, scatter: np.ndarray, shifted: np.ndarray) -> n
     return out
 
 
-def bands(sig: np.ndarray, count: int, rows: int, start: int) -> np.ndarray:
-    """One signed 64-bit bucket key per band, different bands never sharing keys by design of the start value."""
-    part = sig[start:start + count * rows].reshape(count, rows).astype(np.uint64)
-    key = np.arange(start, start + count, dtype=np.uint64) * _ODD[1]
+def bands(sig: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One signed 64-bit bucket key per band, which its number enters."""
+    part = sig.reshape(count, rows).astype(np.uint64)
+    key = np.arange(count, dtype=np.uint64) * _ODD[1]
     for i in range(rows):
         key = mix(key * _ODD[2] + part[:, i] + np.uint64(1))
     return key.astype(np.int64)
@@ -112,7 +112,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 s = shingles(words, hashes)
                 out["key"].append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 out["n_shingles"].append(len(s))
-                out["bands"].append(bands(signature(s, scatter, shifted), BANDS, ROWS, 0) if len(s) else None)
+                out["bands"].append(bands(signature(s, scatter, shifted)) if len(s) else None)
             return out
 
         return step
@@ -121,20 +121,18 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key, set, extra`` of the wanted classes: shingle hashes, and bucket keys of further shifts."""
+    """``key, set`` of the wanted classes, the set as shingle hashes."""
     def make_step():
-        hashes, (scatter, shifted) = _WordHashes(), permutations(BANDS * ROWS + EXTRA_BANDS * EXTRA_ROWS)
+        hashes = _WordHashes()
 
         def step(rows: dict) -> dict:
-            out = {"key": [], "set": [], "extra": []}
+            out = {"key": [], "set": []}
             for text, key in zip(rows["text"], rows["want"], strict=True):
                 words = words_of(text)
                 if xxhash.xxh3_128_digest(b" ".join(words)) != key:  # another text under the same doc_id
                     continue
-                s = shingles(words, hashes)
                 out["key"].append(key)
-                out["set"].append(s.astype(np.int64))
-                out["extra"].append(bands(signature(s, scatter, shifted), EXTRA_BANDS, EXTRA_ROWS, BANDS * ROWS))
+                out["set"].append(shingles(words, hashes).astype(np.int64))
             return out
 
         return step
@@ -142,7 +140,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text")).join(
         small(wanted.select(F.col("rep").alias("doc_id"), F.col("key").alias("want"))), "doc_id")
     # a repeated row gives its class twice
-    return map_batches(rows, make_step, "key binary, set array<long>, extra array<long>").dropDuplicates(["key"])
+    return map_batches(rows, make_step, "key binary, set array<long>").dropDuplicates(["key"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,39 +191,76 @@ def stars(buckets: DataFrame) -> DataFrame:
 
 
 def mixed(buckets: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows of buckets that still hold several components, with the ``label`` of each and the bucket's size."""
+    """``key, bucket, label, size`` of the buckets that still hold several components."""
     labelled = buckets.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     spread = labelled.groupBy("bucket").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return labelled.join(spread.select("bucket", "size"), "bucket")
+    return labelled.join(spread.select("bucket", "size"), "bucket").select("key", "bucket", "label", "size")
+
+
+def block_links(keys: list, labels: list, sets: list[np.ndarray], percent: int) -> list[tuple]:
+    """Links between components, as few as join the same classes as all links would."""
+    sizes = np.array([len(s) for s in sets])
+    owner, flat = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    _, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often[at] > 1  # what one class alone has is in no intersection
+    _, at = np.unique(at[shared], return_inverse=True)
+    owner = owner[shared]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(at, kind="stable")
+    for low in range(0, int(at.max(initial=-1)) + 1, 4096):
+        part = order[np.searchsorted(at[order], low):np.searchsorted(at[order], low + 4096)]
+        grid = np.zeros((len(sets), 4096), np.float32)
+        grid[owner[part], at[part] - low] = 1
+        both += grid @ grid.T
+    a, b = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
+    root: dict = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = top(labels[i]), top(labels[j])
+        if x != y:
+            root[x] = y
+            out.append((keys[i], keys[j]))
+    return out
 
 
-def residual_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in the mixed buckets, texts of too different size left out.
+def residual_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` across components in the mixed buckets.
 
-    A bucket above ``PLAIN_BUCKET`` classes is cut by the further bands first: classes that are alike share one of them
-    with near certainty, classes that merely share a passage rarely do.
+    A large bucket is cut into blocks by a hash of the key, and every pair of its blocks is one group.
     """
-    rest = rest.join(sets.select("key", F.size("set").alias("n"), "extra"), "key")
-    plain = rest.where(F.col("size") <= PLAIN_BUCKET).select("bucket", F.lit(0).cast("long").alias("sub"), "key", "label", "n")
-    large = rest.where(F.col("size") > PLAIN_BUCKET).select("bucket", F.explode("extra").alias("sub"), "key", "label", "n")
-    fine = plain.unionByName(large)
-    # only sub-buckets that are still mixed, and one row per component where a component fills most of one
-    keep = fine.groupBy("bucket", "sub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    fine = fine.join(keep.select("bucket", "sub"), ["bucket", "sub"])
-    other = fine.select("bucket", "sub", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    return (
-        fine.join(other, ["bucket", "sub"])
-        .where(f"key < b AND label <> lb AND 100 * least(n, nb) >= {percent} * greatest(n, nb)")
-        .select(F.col("key").alias("a"), "b").distinct()
+    rows = rest.join(sets.select("key", "set"), "key")
+    total = rest.join(sets.select("key", F.size("set").alias("n")), "key").groupBy("bucket").agg(F.sum("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
+        F.least(F.col("own"), x).alias("i"), F.greatest(F.col("own"), x).alias("j")))
+    grouped = (
+        rows.join(total, "bucket").withColumn("blocks", blocks).withColumn("own", own)
+        .select("key", "bucket", "label", "set", F.explode(pairs).alias("p")).select("key", "bucket", "label", "set", "p.i", "p.j")
     )
 
+    def compare(table: pa.Table) -> pa.Table:
+        column = table.column("set").combine_chunks()
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        found = block_links(table.column("key").to_pylist(), table.column("label").to_pylist(),
+                            [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    return grouped.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Texts are linked when their sets of five-word shingles have a Jaccard similarity of ``percent`` / 100 or more. With
-    24 bands of 6 coordinates a pair at 0.85 is missed with a chance of about 1e-5.
+    40 bands of 9 coordinates a pair at 0.85 is missed with a chance of about 3e-5.
     """
     rows = stage(sketch(docs), "minhash")
     classes = rows.where("n_shingles > 0").groupBy("key").agg(
@@ -240,7 +275,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     label = cut_lineage(components(links).withColumnRenamed("node", "key"))
     rest = cut_lineage(mixed(pairs, label))
     if not rest.isEmpty():
-        more = cut_lineage(verified(residual_pairs(rest, sets, percent), sets, percent))
+        more = cut_lineage(residual_links(rest, sets, percent))
         if not more.isEmpty():
             label = cut_lineage(components(links.union(more)).withColumnRenamed("node", "key"))
     reps = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
