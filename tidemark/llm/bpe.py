@@ -33,7 +33,6 @@ OVERLAP = 256
 SPREAD = 65_536
 #: The pattern of contractions looks up to two characters ahead of a boundary.
 AHEAD = 3
-CACHED_WORDS = 300_000
 
 
 class Vocabulary:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyspark.cloudpickle as cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -22,7 +22,9 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 #: Rows of a table that is broadcast at most; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Characters handed to one step of a Python task at once, so that a batch of long texts stays small.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
+#: Rows of an Arrow batch at most: texts are long, and batches are held on both sides.
+BATCH_ROWS = 512
 
 
 def text_of(name: str = "text") -> Column:
@@ -35,6 +37,7 @@ def map_batches(df: DataFrame, make_step: Callable[[], Callable[[dict[str, list]
 
     ``make_step`` runs once in each task and returns the step, so that tables it needs are built where they are used.
     """
+    small_batches(df.sparkSession)
     spark_schema = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +57,7 @@ def add_from(df: DataFrame, column: Column, make_step: Callable[[], Callable[[pa
     Other columns (those in ``keep``, or all) pass through as they are, whatever their names; columns of the names added
     are replaced.
     """
+    small_batches(df.sparkSession)
     new = StructType.fromDDL(added)
     names = [c for c in (df.columns if keep is None else keep) if c not in new.names]
     plain = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), column.alias("x"))
@@ -71,6 +75,13 @@ def add_from(df: DataFrame, column: Column, make_step: Callable[[], Callable[[pa
     return done.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *new.names)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` if it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, step_bytes: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``step_bytes``; a single larger row is a run of its own."""
     if not batch.num_rows:

@@ -40,7 +40,7 @@ class _WordHashes(dict):
     """64-bit hashes of words; forgets all when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

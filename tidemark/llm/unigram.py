@@ -26,7 +26,7 @@ from tidemark.llm.common import add_from, text_of
 
 MARK = "▁"
 PENALTY = 10.0
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 #: Kinds of pieces in a vocabulary file; control, unused and byte pieces never match text.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MATCHING = (NORMAL, USER)
