@@ -26,7 +26,7 @@ from tidemark.llm.common import add_from, text_of
 
 MARK = "▁"
 PENALTY = 10.0
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
 #: Kinds of pieces in a vocabulary file; control, unused and byte pieces never match text.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MATCHING = (NORMAL, USER)
@@ -82,14 +82,17 @@ class Counter(dict):
         for piece, s in live:
             self.automaton.add_word(piece, (len(piece), s))
         self.automaton.make_automaton()
+        self.singles = {p for p, _ in live if len(p) == 1}
         inner = any(MARK in p[1:] and p.strip(MARK) for p, _ in live) or any(p.endswith(MARK) and p.strip(MARK) for p, _ in live)
         # without such pieces the text falls apart before the marks that end a word
+        self.whole = inner
         self.split = (lambda t: [t]) if inner else regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
     def __missing__(self, word: str) -> int:
+        """``word`` as between single spaces; the mark before it counts."""
         if len(self) > CACHED_WORDS:
             self.clear()
-        count = self.best(word)
+        count = self.best(MARK + word)
         if len(word) < 48:
             self[word] = count
         return count
@@ -97,6 +100,14 @@ class Counter(dict):
     def best(self, word: str) -> int:
         """Pieces of the best segmentation."""
         n = len(word)
+        if self.singles.issuperset(word):  # no unknown character: matches come by their end, the longest first
+            score, count = [0.0] + [-math.inf] * n, [0] * (n + 1)
+            for last, (length, s) in self.automaton.iter(word):
+                start = last + 1 - length
+                total = score[start] + s
+                if total > score[last + 1]:
+                    score[last + 1], count[last + 1] = total, count[start] + 1
+            return count[n]
         score, count, unknown = [0.0] + [-math.inf] * n, [0] * (n + 1), [False] * (n + 1)
         found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for last, (length, s) in self.automaton.iter(word):
@@ -119,7 +130,10 @@ class Counter(dict):
     def count(self, text: str) -> int:
         if not text:
             return 0
-        return sum(map(self.__getitem__, self.split(MARK + text.replace(" ", MARK))))
+        words = text.split(" ")
+        if self.whole or MARK in text or "" in words:
+            return sum(map(self.best, self.split(MARK + text.replace(" ", MARK))))
+        return sum(map(self.__getitem__, words))
 
 
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float, int]], keep: list[str] | None = None) -> DataFrame:
