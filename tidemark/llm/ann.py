@@ -29,6 +29,7 @@ from tidemark.session import stage
 CURVES, DIMS, BITS = 8, 6, 9
 CELLS, WINDOW_CELLS = 25, 2
 CELL_ROWS = 4096
+LEAST_ROWS = 32
 SEED = 11
 #: Queries of a cell that are scored at once.
 STEP = 256
@@ -143,7 +144,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     facts = live.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
     placed = stage(with_places(reps, math.sqrt(facts["m"] or 0.0)), "places")
     total = placed.count()
-    cells = max(CELLS, math.ceil(total / CELL_ROWS))
+    # a small table has fewer cells, a tiny one a single cell, which is exhaustive
+    cells = max(1, min(max(CELLS, math.ceil(total / CELL_ROWS)), total // LEAST_ROWS))
     window = math.ceil(WINDOW_CELLS * cells / CELLS)
     # one list of bounds per curve
     cut = placed.select(F.posexplode("own").alias("curve", "at")).groupBy("curve").agg(

@@ -144,15 +144,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, spread: int = SPREAD, size:
         return lambda texts: {"ids": encoder.column(texts)}
 
     done = add_from(docs.where(length <= spread), text_of(), make_step, "ids array<int>", names)
-    long = spread_encode(docs.where(length > spread), box, size, overlap)
-    return done.unionByName(long.select(*names, "ids"))
+    plain = docs.where(length > spread).select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), text_of().alias("x"))
+    long = spread_encode(plain, box, size, overlap)
+    return done.unionByName(long.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "ids"))
 
 
 def spread_encode(docs: DataFrame, box, size: int, overlap: int) -> DataFrame:
-    """``docs`` with ``ids``, the chunks of each text in tasks of their own."""
+    """``docs`` with ``ids`` of the texts ``x``, the chunks of each text in tasks of their own."""
     spark = docs.sparkSession
     tasks = max(8, spark.sparkContext.defaultParallelism * 2)
-    texts = stage(docs.select(text_of().alias("t")).select(F.sha2("t", 256).alias("h"), "t").dropDuplicates(["h"]), "long")
+    texts = stage(docs.select(F.sha2("x", 256).alias("h"), F.col("x").alias("t")).dropDuplicates(["h"]), "long")
     chunks = texts.select("h", F.posexplode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(size))).alias("k", "start"),
                           "t").select("h", "k", "start", F.expr(f"substring(t, start + 1, {size + overlap})").alias("part"))
 
@@ -193,7 +194,7 @@ def spread_encode(docs: DataFrame, box, size: int, overlap: int) -> DataFrame:
     # a group is one text
     joined = encoded.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p")).select(
         "h", F.flatten(F.col("p")["ids"]).alias("ids"))
-    return docs.withColumn("_h", F.sha2(text_of(), 256)).join(joined, F.col("_h") == F.col("h")).drop("_h", "h")
+    return docs.withColumn("h", F.sha2("x", 256)).join(joined, "h")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = None) -> DataFrame:
