@@ -95,7 +95,7 @@ def with_places(reps: DataFrame, largest: float) -> DataFrame:
 
 def routed(reps: DataFrame, bounds: list[list[int]], cells: int, window: int) -> DataFrame:
     """A row per point and curve, and one per query, curve and cell of its window: ``curve, cell, rep, query, v``."""
-    edges = [np.array(b) for b in bounds]
+    edges = [np.array(b, np.int64) for b in bounds]
 
     def make_step():
         def step(column) -> dict:
@@ -148,8 +148,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     cells = max(1, min(max(CELLS, math.ceil(total / CELL_ROWS)), total // LEAST_ROWS))
     window = math.ceil(WINDOW_CELLS * cells / CELLS)
     # one list of bounds per curve
+    steps = [i / cells for i in range(1, cells)]
     cut = placed.select(F.posexplode("own").alias("curve", "at")).groupBy("curve").agg(
-        F.percentile_approx("at", [i / cells for i in range(1, cells)], 20 * cells).alias("b")).collect()
+        F.percentile_approx("at", steps, 20 * cells).alias("b")).collect() if steps else []
     bounds = [next((r["b"] for r in cut if r["curve"] == c), []) for c in range(CURVES)]
     found = routed(placed, bounds, cells, window).groupBy("curve", "cell").applyInArrow(
         lambda t: cell_finds(t, k + 1), "asker long, rep long, score double")
