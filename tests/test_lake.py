@@ -232,3 +232,11 @@ def test_readers(spark, tmp_path, caplog):
     flat = readers.read_json_pages(spark, str(pages), "date string, v double",
                                    parse=lambda raw: raw.select(F.lit("2024-01-01").alias("date"), F.length("value").alias("v")))
     assert flat.count() == 1
+
+
+def test_read_joins_the_columns_of_all_partitions(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    spark.createDataFrame([(1,)], "a int").write.parquet(f"{lake.path('raw')}/date=2024-01-01")
+    spark.createDataFrame([(2, "x")], "a int, b string").write.parquet(f"{lake.path('raw')}/date=2024-01-02")
+    got = {(r["a"], r["b"]) for r in lake.read("raw").collect()}
+    assert got == {(1, None), (2, "x")}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog.common import CUT, GAPPED, TARGETS, USERS, W, events, gapped, r, sr, table
@@ -74,12 +77,19 @@ def drift_verdict(spark, path):
 
 
 def time_drift(spark, path):
-    """Drift of a table against its own last fifth, cut by time."""
-    from tidemark.operators.split import time_cuts
+    """Drift of a table against its own last fifth of rows; hours tie many rows."""
+    return drift.own_past(events(spark, path).withColumn("ts", F.date_trunc("hour", "ts")), USERS, ["value"])
+
 
-    df = events(spark, path)
-    cut = time_cuts(df, USERS, [0.8])[0]
-    return drift.ks(drift.sided(df, F.col("ts") >= F.lit(cut), ["value"]))
+def performance_status(spark, path):
+    """The status of a log of no, 40, 60 and all rows of a model: the guard holds for the log, not for its halves."""
+    log = _log(spark, path).where("model = 'damped'")
+    order = Window.orderBy("ts", "event_id", "target")
+    first = log.orderBy("ts", "event_id", "target").limit(60).withColumn("_n", F.row_number().over(order))  # 60 rows
+    parts = {"none": log.where("false"), "40": first.where("_n <= 40"), "60": first, "all": log}
+    each = [metrics.performance_report(part.drop("_n"), ["ts"]).select(F.lit(name).alias("log"), "side", "n", "status")
+            for name, part in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), each)
 
 
 def wasserstein(spark, path):
@@ -208,7 +218,7 @@ QUERIES = {f.__name__: f for f in (
     null_profile, validation_stats, readiness, quality_tests, stability_tests, ks_drift, ks_drift_binned, drift_score,
     concept_drift, drift_verdict, time_drift, wasserstein, wasserstein_binned, js_divergence, chi_square, proportion_z,
     prediction_log, pred_quality, pred_quality_sets, reg_metrics, reg_summary, metrics_ranked, champion,
-    performance_split, performance_halves, first_predictions, flat_metrics,
+    performance_split, performance_halves, performance_status, first_predictions, flat_metrics,
 )}
 
 SIDES = " UNION ALL ".join(
@@ -332,9 +342,16 @@ SQL = {
       td AS n_targets_drifted, CAST(1 AS BIGINT) AS total_targets, names AS drifted_features,
       CASE WHEN d / n > 0.05 THEN 'drift_above_threshold' WHEN td > 0 THEN 'concept_drift' ELSE 'no_significant_drift' END
       AS reason FROM ({_drifted(_ks(EVENT_SIDES))})""",
-    "time_drift": _ks("""SELECT 'value' AS feature, value, ts >= (SELECT max(CASE WHEN p = floor(n * 0.8) THEN ts END)
-      FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM events)))
-      AS cur FROM events"""),
+    "time_drift": _ks("""SELECT 'value' AS feature, value, hr >= (SELECT max(CASE WHEN p = floor(n * 0.8) THEN hr END)
+      FROM (SELECT hr, row_number() OVER (ORDER BY hr) - 1 AS p, count(*) OVER () AS n FROM
+        (SELECT date_trunc('hour', ts) AS hr FROM events))) AS cur FROM (SELECT date_trunc('hour', ts) AS hr, value FROM events)"""),
+    "performance_status": f"""WITH l AS (SELECT *, row_number() OVER (ORDER BY ts, event_id, target) AS k FROM {LOG} WHERE model = 'damped'),
+      logs AS (SELECT '40' AS log, * FROM l WHERE k <= 40 UNION ALL SELECT '60', * FROM l WHERE k <= 60 UNION ALL SELECT 'all', * FROM l),
+      o AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY ts) - 1 AS p, count(*) OVER (PARTITION BY log) AS m FROM logs),
+      c AS (SELECT log, max(CASE WHEN p = floor(m * 0.5) THEN ts END) AS cut FROM o GROUP BY 1)
+      SELECT o.log, CASE WHEN ts >= cut THEN 'current' ELSE 'reference' END AS side, count(*) AS n,
+        CASE WHEN max(m) >= 50 THEN 'ok' ELSE 'insufficient_data' END AS status FROM o JOIN c ON o.log = c.log GROUP BY 1, 2
+      UNION ALL SELECT 'none', 'all', 0, 'no_data'""",
     "wasserstein": _WASS,
     "wasserstein_binned": _WASS,
     "js_divergence": f"""SELECT 'event_type' AS "column", {sr('js')} AS distance, js >= 0.1 AS drift_detected FROM (

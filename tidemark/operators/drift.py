@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import col, shared_numeric, to_long
 from tidemark.functions.stats import ks_pvalue
 from tidemark.operators.ordering import choose_bins, cumulative
+from tidemark.operators.split import time_cuts
+from tidemark.spec import PanelSpec
 
 THRESHOLD = 0.05
 MIN_ROWS = 200
@@ -186,3 +188,9 @@ def proportion_z(df: DataFrame, is_current: Column, success: Column, label: str)
         F.lit(label).alias("column"), p1.alias("p_ref"), p2.alias("p_cur"), z.alias("z"),
         F.coalesce(F.abs(z) > 1.959963984540054, F.lit(False)).alias("drift_detected"),
     )
+
+
+def own_past(df: DataFrame, spec: PanelSpec, cols: Sequence[str], share: float = 0.8, **options) -> DataFrame:
+    """``ks`` of a table's last rows against its earlier ones, cut at the time of the row at ``share`` of all rows."""
+    cut = time_cuts(df, spec, [share], by_rows=True)[0]
+    return ks(sided(df, F.col(spec.time) >= F.lit(cut), cols), **options)

@@ -147,22 +147,34 @@ def performance_by_side(df: DataFrame, side: Column, y_true: str = "y_true", y_p
 
 def performance_report(log: DataFrame, order: Sequence[str], model: str | None = None, location: str | None = None,
                        min_samples: int = MIN_SAMPLES, halves: Column | None = None) -> DataFrame:
-    """``performance_by_side`` of a filtered log; ``halves`` marks the current half (true)."""
-    kept = log
+    """``performance_by_side`` of a filtered log; ``halves`` marks the current half (true).
+
+    The guard holds for the filtered log as a whole: its two halves are both ``ok`` or both ``insufficient_data``. A log
+    without a usable row gives one row, ``no_data``.
+    """
+    kept = log.where(col("y_true").isNotNull() & col("y_pred").isNotNull())
     if model is not None:
         kept = kept.where(F.col("model") == model)
     if location is not None:
         kept = kept.where(F.col("location") == location)
+    rows = kept.count()
+    if not rows:
+        kinds = performance_by_side(kept, F.lit("all")).schema
+        fixed = {"side": "all", "n": 0, "status": "no_data"}
+        return kept.sparkSession.range(1).select(*(F.lit(fixed.get(f.name)).cast(f.dataType).alias(f.name) for f in kinds))
     if halves is None:
         from tidemark.operators.split import time_cuts
         from tidemark.spec import PanelSpec
 
-        spec = PanelSpec((), order[0], tuple(order[1:]))
-        if kept.where(col(order[0]).isNotNull()).isEmpty():
-            return performance_by_side(kept, F.lit("reference"), min_samples=min_samples)
-        halves = col(order[0]) >= F.lit(time_cuts(kept, spec, [0.5], by_rows=True)[0])
+        timed = kept.where(col(order[0]).isNotNull())
+        if timed.isEmpty():
+            halves = F.lit(False)
+        else:
+            spec = PanelSpec((), order[0], tuple(order[1:]))
+            halves = col(order[0]) >= F.lit(time_cuts(timed, spec, [0.5], by_rows=True)[0])
     side = F.when(halves, "current").otherwise("reference")
-    return performance_by_side(kept, side, min_samples=min_samples)
+    status = "ok" if rows >= min_samples else "insufficient_data"
+    return performance_by_side(kept, side).withColumn("status", F.lit(status))
 
 
 def first_predictions(df: DataFrame, order: Sequence[str], y_true: str, y_pred: str, n: int = 500) -> DataFrame:

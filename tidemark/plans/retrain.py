@@ -36,9 +36,9 @@ def train_and_promote(features: DataFrame, setup: Setup, root: str, job: LakeJob
     models = ModelStore(spark, f"{root}/models")
     trained = train(features, setup)
     models.save(trained, setup)
-    last = features.agg(F.max(DATE)).first()[0]
+    last, rows = features.agg(F.max(DATE), F.count(F.lit(1))).first()
     row = models.promote(trained, setup).first()
-    job.marks.update(Watermark(TRAINING, datetime.now(timezone.utc), last, 0))
+    job.marks.update(Watermark(TRAINING, datetime.now(timezone.utc), last, rows))
     best = trained.summary.where(F.col("model") == row["model"]).first()
     post_training(features, ReferenceStore(spark, f"{root}/reference"), DatasetRegistry(spark, f"{root}/datasets"),
                   row["model"], {} if best is None else {"avg_r2": best["avg_r2"], "avg_rmse": best["avg_rmse"]})

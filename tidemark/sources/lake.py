@@ -46,10 +46,10 @@ class Lake:
         return self.spark.createDataFrame([(d,) for d in self.dates(layer)], "date date")
 
     def read(self, layer: str) -> DataFrame:
-        """The whole layer."""
+        """The whole layer, with the columns of all its partitions; a partition without one of them holds nulls."""
         if not exists(self.spark, self.path(layer)):
             raise FileNotFoundError(f"layer {layer} is empty: {self.path(layer)}")
-        return self.spark.read.option("mergeSchema", "false").parquet(self.path(layer))
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path(layer))
 
     def read_date(self, layer: str, day: date | str) -> DataFrame:
         day = date.fromisoformat(str(day))
