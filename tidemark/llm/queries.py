@@ -79,4 +79,19 @@ def op10_urls(spark: SparkSession, path: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_html, op4_quality, op5_minhash, op6_unigram, op7_mixing,
                                 op8_ann, op9_langid, op10_urls)}
-SQL: dict[str, str] = {}
+_UP = "ORDER BY 2.0 * ss / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+#: What SQL can state. The others are tested against brute force, the libraries or held-out rows in tests/llm.
+SQL: dict[str, str] = {"op7_mixing": rf"""
+    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 16) AS turn FROM documents),
+      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY 1),
+      w AS (SELECT *, list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)) AS w FROM s),
+      l AS (SELECT *, coalesce(CAST(sum(2 * ss) OVER ({_UP}) AS BIGINT), 0) AS caps, coalesce(CAST(sum(w) OVER ({_UP}) AS BIGINT), 0) AS ws FROM w),
+      v AS (SELECT max((CAST(1.5 AS DOUBLE) * (SELECT CAST(sum(ss) AS BIGINT) FROM s) - caps) / ((SELECT CAST(sum(w) AS BIGINT) FROM w) - ws)) AS top FROM l),
+      t AS (SELECT source, ss, least(CAST(2 * ss AS DOUBLE), top * w) AS target FROM l, v),
+      p AS (SELECT doc_id, size, ss, target, CAST(floor(target) AS BIGINT) AS f, coalesce(CAST(sum(size) OVER (PARTITION BY d.source
+        ORDER BY turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS b
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, ss AS source_size, target,
+      least(b + size, f) - least(b, f) + least(b + ss + size, f) - least(b + ss, f) AS taken FROM p"""}
