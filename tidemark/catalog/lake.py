@@ -9,7 +9,7 @@ from tidemark.catalog.features import CYCLE_SQL, LAG_SQL, ROLL_SQL, _rounded
 from tidemark.plans.lake_job import LakeJob, lookback_features
 from tidemark.session import scratch_path
 from tidemark.sources import manifest
-from tidemark.sources.lake import CLEAN, FEATURES, RAW, Lake, date_counts, with_date
+from tidemark.sources.lake import CLEAN, FEATURES, RAW, REJECTED, Lake, date_counts, with_date
 from tidemark.sources.readers import SOURCES, read_csv, read_json_pages
 from tidemark.sources.stores import DatasetRegistry, PredictionLog, ReferenceStore, export_csv
 
@@ -118,6 +118,38 @@ def late_append(spark, path):
     return date_counts(job.lake.read(RAW))
 
 
+def late_before_mark(spark, path):
+    """Errors arrive after rows far newer than they are, twice: each joins its date once."""
+    job = _job(spark)
+    rows = _slim(spark, path)
+    job.ingest(rows.where(F.col("event_type") != "error"))
+    job.ingest(rows)
+    job.ingest(rows)
+    return job.lake.read(RAW).groupBy("date").agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("ids"))
+
+
+def reject_rows(spark, path):
+    """Rows without a time are kept apart, once, and counted in the manifests."""
+    job = _job(spark)
+    rows = _slim(spark, path).withColumn("ts", F.when(F.col("event_id") % 11 != 0, F.col("ts")))
+    job.ingest(rows)
+    job.ingest(rows)
+    parts = manifest.load_all(spark, job.manifests).select(F.explode("partitions").alias("p"))
+    counted = parts.groupBy(F.col("p.layer").alias("place")).agg(F.sum("p.rows").alias("counted"))
+    both = [job.lake.read(n).select(F.lit(n).alias("place"), "event_id") for n in (RAW, REJECTED)]
+    return both[0].unionByName(both[1]).groupBy("place").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")).join(counted, "place")
+
+
+def lake_new_column(spark, path):
+    """A column that later deliveries bring is read back, missing in earlier rows."""
+    job = _job(spark)
+    rows = _slim(spark, path)
+    job.ingest(rows.where(F.col("ts") < CUT).drop("value"))
+    job.ingest(rows.where(F.col("ts") >= CUT))
+    return job.lake.read(RAW).select("event_id", "value")
+
+
 def late_side_table(spark, path):
     """The same with late rows kept apart."""
     job = _job(spark, policy="side")
@@ -156,7 +188,7 @@ def csv_folder(spark, path):
     """Every CSV of a folder, read as one registered source."""
     root = scratch_path(spark, "folder")
     df = events(spark, path).select("event_id", "event_type", "value")
-    for kind in ("click", "view"):
+    for kind in ("click", "error", "purchase", "signup", "view"):
         export_csv(df.where(F.col("event_type") == kind), f"{root}/{kind}")
     out = SOURCES.read(spark, "folder", folder=root, every=True, time=None, numeric=("value",),
                        schema="event_id long, event_type string, value string")
@@ -206,7 +238,8 @@ QUERIES = {
     "lookback_features": lookback_features_query,
     **{f.__name__: f for f in (
         partition_counts, manifest_doc, list_dates, pending_dates, date_range_scan, date_scan, dates_scan, layer_snapshot,
-        lake_features, lake_incremental, inference_table, late_append, late_side_table, watermark_state, csv_round_trip, csv_folder,
+        lake_features, lake_incremental, inference_table, late_append, late_before_mark, reject_rows, lake_new_column,
+        late_side_table, watermark_state, csv_round_trip, csv_folder,
         json_pages, reference_snapshot, prediction_log_store, dataset_registry)},
 }
 
@@ -234,13 +267,18 @@ SQL = {
     "lake_incremental": _FEATURES.replace("SRC", _CLEAN),
     "inference_table": None,
     "late_append": "SELECT CAST(ts AS DATE) AS date, count(*) AS rows FROM events GROUP BY 1",
+    "late_before_mark": """SELECT CAST(ts AS DATE) AS date, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS ids
+      FROM events GROUP BY 1""",
+    "reject_rows": """SELECT CASE WHEN event_id % 11 = 0 THEN 'rejected_rows' ELSE 'raw' END AS place, count(*) AS n,
+      CAST(sum(event_id) AS BIGINT) AS ids, count(*) AS counted FROM events GROUP BY 1""",
+    "lake_new_column": f"SELECT event_id, CASE WHEN ts >= TIMESTAMP '{CUT}' THEN value END AS value FROM events",
     "late_side_table": """SELECT CASE WHEN CAST(ts AS DATE) = DATE '2024-01-15' AND ts >= TIMESTAMP '2024-01-15 12:00:00'
       THEN 'late' ELSE 'raw' END AS layer, CAST(ts AS DATE) AS date, count(*) AS rows FROM events GROUP BY ALL""",
     "watermark_state": f"""SELECT 'lake' AS pipeline_name, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_success_at,
       CAST(max(ts) AS DATE) AS last_partition_date, count(*) FILTER (ts >= TIMESTAMP '{CUT}') AS rows_ingested,
       count(*) AS manifest_rows FROM events""",
     "csv_round_trip": "SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem",
-    "csv_folder": "SELECT event_id, event_type, value FROM events WHERE event_type IN ('click', 'view')",
+    "csv_folder": "SELECT event_id, event_type, value FROM events",
     "json_pages": f"SELECT event_id, value FROM events WHERE ts > TIMESTAMP '{CUT}'",
     "reference_snapshot": """SELECT count(*) AS n_rows, CAST(2 AS BIGINT) AS n_cols, 'event_id,value' AS columns,
       'second' AS model FROM events""",

@@ -43,7 +43,7 @@ def steps(long: DataFrame, bins: int | None = None, following: str | None = None
         F.count_if(~F.col("current")).alias("n_ref"), F.count_if(F.col("current")).alias("n_cur")
     )
     # totals has one row per column
-    run = cumulative(per_value, ["feature"], "value", ["r", "c"], bins, following=following, source=long)
+    run = cumulative(per_value, ["feature"], "value", ["r", "c"], bins, following)
     return run.join(F.broadcast(totals), "feature")
 
 

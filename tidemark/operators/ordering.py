@@ -8,39 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, stage
 
 ONE_TASK_ROWS = 5_000_000
-MAX_BINS = 4096
-STRIDE = 32
+#: Steps of the binary search: up to 2^17 - 1 cuts.
+STEPS = [1 << i for i in range(16, -1, -1)]
 
 
 def bin_index(cuts: Column, x: Column) -> Column:
-    """How many of the sorted ``cuts`` are at or below ``x``, found in two short steps."""
-    heads = F.filter(cuts, lambda e, i: i % STRIDE == 0)
-    coarse = F.size(F.filter(heads, lambda e: e <= x))
-    block = F.slice(cuts, F.greatest(coarse - 1, F.lit(0)) * STRIDE + 1, F.lit(STRIDE))
-    fine = F.size(F.filter(block, lambda e: e <= x))
-    return F.greatest(coarse - 1, F.lit(0)) * STRIDE + fine
+    """How many of the sorted ``cuts`` are at or below ``x``: a binary search with a fixed number of steps."""
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in STEPS]), F.lit(0),
+        lambda at, step: F.when(F.get(cuts, at + step - 1) <= x, at + step).otherwise(at),
+    )
 
 
 def choose_bins(rows: int, one_task_rows: int = ONE_TASK_ROWS) -> int:
-    return max(1, min(MAX_BINS, -(-rows // one_task_rows)))
+    return max(1, -(-rows // one_task_rows))
 
 
 def cumulative(steps: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], bins: int = 1,
-               few_keys: bool = True, following: str | None = None, source: DataFrame | None = None) -> DataFrame:
+               following: str | None = None) -> DataFrame:
     """Add ``{w}_cum``: the total of ``w`` over rows of the same ``keys`` with a value at or below this one.
 
     ``steps`` has one row per (keys, value), so a value that repeats a billion times is one row here.
-    With ``bins > 1`` the values are cut into bins of about equal depth: each bin is one small window,
-    and the totals of the bins before it are added. ``few_keys`` states that the keys are column names
-    (or pairs of them), so the edge and offset tables are small enough to broadcast.
-    ``following`` names a column for the next larger value of the same keys. ``source`` gives the rows ``steps`` was
-    counted from: the bin edges then come from a sketch of them, which is cheaper than counting twice.
+    With ``bins > 1`` the rows are dealt by range of (keys, value) into so many parts and written once, so that all
+    passes see the same parts: each part is one small window per key, and the totals of the parts before it are added.
+    ``following`` names a column for the next larger value of the same keys.
     """
     by = [col(k) for k in keys]
-    small = F.broadcast if few_keys else (lambda d: d)
     if bins <= 1:
         ordered = Window.partitionBy(*by).orderBy(col(value))
         run = ordered.rowsBetween(Window.unboundedPreceding, 0)
@@ -48,11 +44,7 @@ def cumulative(steps: DataFrame, keys: Sequence[str], value: str, weights: Seque
         if following:
             out[following] = F.lead(col(value)).over(ordered)
         return steps.withColumns(out)
-    probs = [i / bins for i in range(1, bins)]
-    edges = (steps if source is None else source).groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx(col(value), probs, max(10_000, 10 * bins))).alias("_edges")
-    )
-    binned = steps.join(small(edges), list(keys)).withColumn("_bin", bin_index(F.col("_edges"), col(value))).drop("_edges")
+    binned = stage(steps.repartitionByRange(bins, *by, col(value)).withColumn("_bin", F.spark_partition_id()), "parts")
     ordered = Window.partitionBy(*by).orderBy("_bin")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     totals = binned.groupBy(*by, "_bin").agg(*[F.sum(c).alias(f"_t_{c}") for c in weights], F.min(col(value)).alias("_m"))
@@ -65,7 +57,8 @@ def cumulative(steps: DataFrame, keys: Sequence[str], value: str, weights: Seque
     columns = {f"{c}_cum": F.sum(c).over(run) + F.col(f"_o_{c}") for c in weights}
     if following:
         columns[following] = F.coalesce(F.lead(col(value)).over(inside), F.col("_carry"))
-    out = binned.join(small(offsets), [*keys, "_bin"]).withColumns(columns)
+    # offsets: one row per key and part that it reaches into
+    out = binned.join(offsets, [*keys, "_bin"]).withColumns(columns)
     return out.drop("_bin", "_carry", *[f"_o_{c}" for c in weights])
 
 

@@ -50,7 +50,11 @@ def micros(df: DataFrame, spec: PanelSpec) -> Column:
     """Event time as an orderable number (numbers pass through)."""
     if isinstance(df.schema[spec.time].dataType, T.NumericType):
         return col(spec.time).cast("double")
-    return F.unix_micros(col(spec.time).cast("timestamp")).cast("double")
+    t = col(spec.time)
+    if isinstance(df.schema[spec.time].dataType, T.TimestampNTZType):  # by its own fields: no session zone may reorder it
+        whole = F.unix_date(t.cast("date")).cast("double") * 86_400 + F.hour(t) * 3600 + F.minute(t) * 60
+        return whole + F.extract(F.lit("SECOND"), t).cast("double")
+    return F.unix_micros(t.cast("timestamp")).cast("double")
 
 
 def probe_layout(df: DataFrame, spec: PanelSpec) -> Layout:

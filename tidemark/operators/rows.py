@@ -23,6 +23,13 @@ def after_watermark(df: DataFrame, time: str, cutoff: datetime | str | None) ->
     return df.where(col(time) > F.lit(cutoff).cast(df.schema[time].dataType))
 
 
+def is_after(df: DataFrame, time: str, cutoff: datetime | str | None) -> Column:
+    """Whether a row has a time strictly after the cutoff; any time without one."""
+    if cutoff is None:
+        return col(time).isNotNull()
+    return F.coalesce(col(time) > F.lit(cutoff).cast(df.schema[time].dataType), F.lit(False))
+
+
 def ensure_time(df: DataFrame, time: str) -> DataFrame:
     """The time column must exist; text in it becomes a timestamp, unreadable text NULL."""
     require(df, [time])

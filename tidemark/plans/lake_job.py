@@ -15,7 +15,7 @@ from tidemark.operators import features, fill, frames, rows
 from tidemark.operators.panel import probe_layout
 from tidemark.operators.preprocess import clean_panel
 from tidemark.operators.quality import null_profile
-from tidemark.sources.lake import CLEAN, DATE, FEATURES, RAW, Lake
+from tidemark.sources.lake import CLEAN, DATE, FEATURES, RAW, Lake, with_date
 from tidemark.sources.manifest import Manifest
 from tidemark.sources.state import Watermark, WatermarkTable
 from tidemark.sources.storage import exists
@@ -70,11 +70,14 @@ class LakeJob:
                 if status.get(d) == "dirty" or (d not in status and d not in have)]
 
     def ingest(self, source: DataFrame | Callable[[datetime | None], DataFrame]) -> list[date]:
-        """Rows newer than the watermark into ``raw``; returns the dates written, none when nothing is new.
-
-        A callable source gets the watermark, so it can push it down. The batch is closed at its own latest time
-        before anything is written: rows landing meanwhile belong to the next run. On an error the manifest says so
-        and the error goes on; the watermark then stays where it was.
+        """Rows that ``raw`` does not hold yet; returns the dates written, none when nothing is new.
+
+        Rows at or before the watermark are late: they follow ``policy`` like those newer than it. A row that is stored
+        already, by ``key`` or else in all columns, is not written again. Rows without a readable time go to the
+        rejected ones. The manifest counts all of these. A callable source gets the watermark, so it can push it
+        down, and then decides itself how late a row may be. The batch is closed at its own latest time before anything is
+        written: rows landing meanwhile belong to the next run. On an error the manifest says so and the error goes on;
+        the watermark then stays where it was.
         """
         manifest = Manifest(self.pipeline)
         time = self.spec.time
@@ -82,21 +85,29 @@ class LakeJob:
             mark = self.marks.get(self.pipeline)
             df = source(mark.last_success_at) if callable(source) else source
             df = rows.ensure_time(df, time)
-            df = rows.after_watermark(df, time, mark.last_success_at)
             df = rows.chain(rows.drop_all_missing(df), *self.rules)
-            high = df.agg(F.max(col(time))).first()[0]
+            new = rows.is_after(df, time, mark.last_success_at)
+            n, top, high = df.agg(F.count(F.lit(1)), F.max(col(time)), F.max(F.when(new, col(time)))).first()
             written: list[tuple[date, int]] = []
-            if high is not None:
-                batch = df.where(col(time) <= F.lit(high))
-                written = self.lake.write(batch, RAW, time, self.policy, self.key)
-                for day, n in written:
-                    manifest.add(day, RAW, n, f"{self.lake.path(RAW)}/date={day}")
-                # with a key a repeated run may find its rows written already, yet not noted
-                self.mark(CLEAN, batch_dates(batch, time) if self.key else [d for d, _ in written], "dirty")
-                last = max((d for d, _ in written), default=mark.last_partition_date)
-                ltz = isinstance(df.schema[time].dataType, T.TimestampType)
-                high = high.astimezone(timezone.utc) if ltz else _utc(high)
-                self.marks.update(Watermark(self.pipeline, high, last, sum(n for _, n in written)))
+            if n:
+                batch = df if top is None else df.where(col(time).isNull() | (col(time) <= F.lit(top)))
+                # noted first: a run that dies while it writes is caught up by the next one
+                late = with_date(batch.where(~new & col(time).isNotNull()), time)
+                if mark.last_success_at is not None and self.policy == "append":
+                    self.mark(CLEAN, distinct_dates(self.lake.unknown(late, RAW, self.key)), "dirty")
+                self.mark(CLEAN, batch_dates(batch.where(new), time), "dirty")
+                written = self.lake.write(
+                    batch, RAW, time, self.policy, self.key, once=True,
+                    note=lambda day, table, k: manifest.add(day, table, k, self.lake.path(table)))
+                for day, k in written:
+                    manifest.add(day, RAW, k, f"{self.lake.path(RAW)}/date={day}")
+            if written or high is not None:
+                last = max((d for d in (*(d for d, _ in written), mark.last_partition_date) if d), default=None)
+                if high is None:
+                    high = mark.last_success_at.astimezone(timezone.utc)
+                elif isinstance(df.schema[time].dataType, T.TimestampType):
+                    high = high.astimezone(timezone.utc)
+                self.marks.update(Watermark(self.pipeline, _utc(high), last, sum(k for _, k in written)))
             manifest.succeed()
             return [d for d, _ in written]
         except Exception as error:
@@ -163,8 +174,12 @@ class LakeJob:
 
 def batch_dates(batch: DataFrame, time: str) -> list[date]:
     """The distinct dates of a batch: one row per date."""
-    days = batch.select(F.to_date(col(time)).alias("d")).where(F.col("d").isNotNull()).distinct()
-    return sorted(r["d"] for r in days.collect())
+    return distinct_dates(batch.select(F.to_date(col(time)).alias(DATE)))
+
+
+def distinct_dates(dated: DataFrame) -> list[date]:
+    """The distinct partition dates: one row per date."""
+    return sorted(r[DATE] for r in dated.select(DATE).where(F.col(DATE).isNotNull()).distinct().collect())
 
 
 def preprocess_raw(lake: Lake, spec: PanelSpec, numeric: Sequence[str], targets: Sequence[str] | None = None,

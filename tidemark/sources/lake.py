@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import col
 from tidemark.sources.storage import exists, files, partition_dates
 
 RAW, CLEAN, FEATURES = "raw", "clean", "features"
 LATE = "late_rows"
+REJECTED = "rejected_rows"
 DATE = "date"
 POLICIES = ("append", "skip", "side")
 
@@ -83,39 +87,75 @@ class Lake:
 
     # writing
 
+    def unknown(self, df: DataFrame, layer: str, key: Sequence[str] = ()) -> DataFrame:
+        """The rows of ``df`` that ``layer`` does not hold on their date: by ``key``, or else by all columns.
+
+        Without a key a row is known if a stored one equals it in every column; a column that no stored row has must be
+        missing in it. Maps can't be compared and do not count.
+        """
+        have = set(self.dates(layer)) if DATE in df.columns else set()
+        # one row per date
+        old = [r[DATE] for r in df.select(DATE).distinct().collect() if r[DATE] in have] if have else []
+        return self._not_in(df, self.read(layer).where(F.col(DATE).isin(old)), key) if old else df
+
+    def _not_in(self, df: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
+        names = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
+        if key:
+            names = [n for n in names if n == DATE or n in key]
+        held = [n for n in names if n in stored.columns]
+        right = stored.select(*[col(n).alias(f"_k{i}") for i, n in enumerate(held)])
+        same = [col(n).eqNullSafe(F.col(f"_k{i}")) for i, n in enumerate(held)]
+        return df.join(right, reduce(and_, [*same, *[col(n).isNull() for n in names if n not in held]]), "left_anti")
+
     def write(self, df: DataFrame, layer: str, time: str, policy: str = "append", key: Sequence[str] = (),
-              overwrite: bool = False) -> list[tuple[date, int]]:
+              overwrite: bool = False, once: bool = False, note: Callable[[date | None, str, int], None] | None = None
+              ) -> list[tuple[date, int]]:
         """Write one partition per date and return (date, rows written) of the dates touched.
 
         ``raw`` is immutable. Rows for a date that already exists follow ``policy``: ``append`` adds a file to
-        the partition, ``side`` puts them into the ``late_rows`` table, ``skip`` leaves them out. The counts hold
-        only rows really written to the layer. With ``key``, rows already there (same key, same date) are dropped,
-        so a job that died before moving its watermark can run again. The other layers replace whole partitions.
+        the partition, ``side`` puts them into the ``late_rows`` table, ``skip`` leaves them out. Rows without a
+        readable time go to the ``rejected_rows`` table. The counts hold only rows really written to the layer; ``note``
+        gets date, table and rows of what went elsewhere. With ``key`` or ``once``, rows already there (see
+        ``unknown``) are dropped, so a job that died before moving its watermark can run again. The other layers
+        replace whole partitions.
         """
         if policy not in POLICIES:
             raise ValueError(f"unknown policy {policy!r}; choose one of {POLICIES}")
         if layer == RAW and overwrite:
             raise ValueError("the raw layer is immutable")
         dated = df if DATE in df.columns and time != DATE else with_date(df, time)
-        dated = dated.where(F.col(DATE).isNotNull())
+        bad, dated = dated.where(F.col(DATE).isNull()).drop(DATE), dated.where(F.col(DATE).isNotNull())
         if layer != RAW:
             return self._save(dated, layer, time, "overwrite")
+        note = note or (lambda *_: None)
+        rejected = self._reject(bad, key)
+        if rejected:
+            note(None, REJECTED, rejected)
+        if key or once:
+            dated = self.unknown(dated, RAW, key)
         have = self.dates(RAW)
         if have and policy != "append":
             old = F.col(DATE).isin(have)
             if policy == "side":
-                late = dated.where(old)
+                late = self.unknown(dated.where(old), LATE, key) if key or once else dated.where(old)
                 if not late.isEmpty():
-                    self._save(late, LATE, time, "append")
+                    for day, n in self._save(late, LATE, time, "append"):
+                        note(day, LATE, n)
             dated = dated.where(~old)
-        elif have and key:
-            # one row per date
-            old = [r[DATE] for r in dated.select(DATE).distinct().collect() if r[DATE] in set(have)]
-            if old:
-                known = self.read(RAW).where(F.col(DATE).isin(old)).select(DATE, *[col(k) for k in key])
-                dated = dated.join(known, [DATE, *key], "left_anti").select(*[col(c) for c in dated.columns])
         return self._save(dated, RAW, time, "append")
 
+    def _reject(self, bad: DataFrame, key: Sequence[str]) -> int:
+        """Append rows that have no date to the rejected ones, those already there left out; how many were added."""
+        if bad.isEmpty():
+            return 0
+        path = self.path(REJECTED)
+        if exists(self.spark, path):
+            bad = self._not_in(bad, self.read(REJECTED), key)
+        before = set(files(self.spark, path, ".parquet"))
+        bad.write.mode("append").parquet(path)
+        new = [f for f in files(self.spark, path, ".parquet") if f not in before]
+        return self.spark.read.parquet(*new).count() if new else 0
+
     def append_late(self, df: DataFrame, time: str, batch: int, key: Sequence[str]) -> None:
         """Rows too late for their partition; a replayed batch adds nothing twice."""
         dated = with_date(df, time).withColumn("batch", F.lit(batch))

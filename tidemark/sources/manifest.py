@@ -35,11 +35,11 @@ class Manifest:
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     started_at: str = field(default_factory=_now)
     finished_at: str | None = None
-    partitions: list[tuple[str, str, int, str]] = field(default_factory=list)
+    partitions: list[tuple[str | None, str, int, str]] = field(default_factory=list)
     status: str = "pending"
 
-    def add(self, day: date, layer: str, rows: int, file: str) -> None:
-        self.partitions.append((day.isoformat(), layer, int(rows), file))
+    def add(self, day: date | None, layer: str, rows: int, file: str) -> None:
+        self.partitions.append((day.isoformat() if day else None, layer, int(rows), file))
 
     def succeed(self) -> None:
         self.status, self.finished_at = "success", _now()

@@ -60,17 +60,17 @@ def ingest_stream(source: DataFrame, job: LakeJob, checkpoint: str, key: Sequenc
     def write(batch: DataFrame, batch_id: int) -> None:
         mark = job.marks.get(job.pipeline)
         high = batch.agg(F.max(col(time))).first()[0]
-        if high is None:
+        if high is None and batch.isEmpty():
             return
         fresh = batch.dropDuplicates(list(key))
         if mark.last_success_at is not None and late == "side":
             edge = F.lit(mark.last_success_at - delay).cast(batch.schema[time].dataType)
             tardy = fresh.where(col(time) <= edge)
             job.lake.append_late(tardy, time, batch_id, key)
-            fresh = fresh.where(col(time) > edge)
+            fresh = fresh.where(col(time).isNull() | (col(time) > edge))  # those without a time are rejected
         written = job.lake.write(fresh, RAW, time, "append", key)
         job.mark(CLEAN, batch_dates(fresh, time), "dirty")
-        if mark.last_success_at is None or high > mark.last_success_at:
+        if high is not None and (mark.last_success_at is None or high > mark.last_success_at):
             last = max([d for d, _ in written] + ([mark.last_partition_date] if mark.last_partition_date else []),
                        default=None)
             job.marks.update(Watermark(job.pipeline, high.astimezone(), last, sum(n for _, n in written)))
