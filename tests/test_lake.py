@@ -152,6 +152,25 @@ def test_rerun_after_a_lost_watermark_adds_nothing_twice(spark):
     assert work.marks.get("lake").rows_ingested == 20
 
 
+def test_late_and_undated_rows_are_kept_and_counted(spark):
+    first = hours(spark, 9)
+    extra = spark.createDataFrame(
+        [("a", START + timedelta(hours=3), 100, 1.0), ("a", START + timedelta(hours=11), 101, 2.0), ("b", None, 102, 3.0)],
+        "who string, at timestamp, id long, x double")
+    for policy in ("append", "side"):
+        work = job(spark, policy=policy)
+        work.ingest(first)
+        for _ in range(2):  # the second time nothing is new
+            work.ingest(first.unionByName(extra))
+        late = set() if policy == "append" else {r["id"] for r in work.lake.read("late_rows").collect()}
+        raw = [r["id"] for r in work.lake.read(RAW).collect()]
+        assert set(raw) | late == {*range(9), 100, 101} and len(raw) + len(late) == 20
+        assert [r["id"] for r in work.lake.read("rejected_rows").collect()] == [102]
+        parts = load_all(spark, work.manifests).select(F.explode("partitions").alias("p"))
+        assert parts.agg(F.sum("p.rows")).first()[0] == 21
+        assert work.marks.get("lake").last_success_at == START + timedelta(hours=11 if policy == "append" or late else 8)
+
+
 def test_callable_source_gets_the_mark(spark):
     work, seen = job(spark), []
 

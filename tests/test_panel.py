@@ -46,6 +46,28 @@ def test_slots_equal_plain_for_fills(panel, spec, hot_rows):
     same(with_neighbours(panel, hot, []), with_neighbours(panel, spec, []), "_pos")
 
 
+def test_slots_keep_time_order_across_clock_changes(spark, spec):
+    start = datetime(2024, 3, 9, 20)
+    rows = [("a", start + timedelta(minutes=10 * i), i, float(i)) for i in range(120)]
+    df = spark.createDataFrame(rows, "who string, at timestamp_ntz, id long, x double")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        same(frames.lags(["x"], (1,)).apply(df, spec.with_(hot_rows=5)), frames.lags(["x"], (1,)).apply(df, spec), "x_lag_1")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 5000])
+def test_bin_index_counts_cuts(spark, n):
+    from tidemark.operators.ordering import bin_index
+
+    df = spark.createDataFrame([(float(x),) for x in (-1, 0, 0.5, 31, 32, n - 1, n + 7)] + [(None,)], "x double")
+    cuts = F.array(*[]).cast("array<double>") if not n else F.sequence(F.lit(0), F.lit(n - 1)).cast("array<double>")
+    for r in df.select("x", bin_index(cuts, F.col("x")).alias("i")).collect():
+        assert r["i"] == (0 if r["x"] is None else sum(c <= r["x"] for c in range(n)))
+
+
 def test_slots_equal_plain_for_sequences(panel, spec):
     def run(s):
         out = frames.sequences(panel, s, ["z"], ["z"], 4, 2)
