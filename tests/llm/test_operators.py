@@ -266,6 +266,17 @@ def test_ann_reaches_its_recall_and_order(spark):
 
 # op9
 
+def test_langid_sample_is_the_least_hashes(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"),
+                                    F.when(F.col("id") % 10 == 0, "b").when(F.col("id") % 97 != 0, "a").alias("lang"))
+    got = {"a": set(), "b": set()}
+    for r in langid.sample(docs, 50).collect():
+        got[r.lang].add(int(r.text))
+    for lang, ids in got.items():
+        first = docs.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id")).limit(50).collect()
+        assert ids == {r.doc_id for r in first}
+
+
 def test_langid(spark, odd_docs, no_docs):
     net = langid.train(odd_docs.where("doc_id % 4 <> 2"))
     out = langid.identify(odd_docs, net).collect()

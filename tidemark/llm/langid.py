@@ -17,7 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import add_from, text_of
+from tidemark.llm.common import add_from, small, text_of
+from tidemark.session import stage
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -49,10 +50,18 @@ def held_out(key: Column, buckets: int, rest: int) -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """``lang, text`` of the chosen learning rows."""
+    """``lang, text`` of the chosen learning rows: those of each language whose doc_id has the least hash.
+
+    Hashes are uniform, so the count of a language tells below which hash its chosen rows lie, but for a chance of less than
+    1e-9; only rows below that are ranked, however large the table.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(order))
+    place = F.xxhash64("doc_id") / 2.0 ** 64 + 0.5
+    least = usable.groupBy(F.col("lang").alias("_lang")).agg(
+        ((per_language + 8 * per_language ** 0.5 + 32) / F.count("*")).alias("_below"))
+    order = Window.partitionBy("lang").orderBy("_place", "doc_id")
+    chosen = (usable.select("doc_id", "lang", place.alias("_place")).join(small(stage(least, "languages")), F.col("lang") == F.col("_lang"))
+              .where("_place <= _below").withColumn("_n", F.row_number().over(order))
               .where(F.col("_n") <= per_language).select("doc_id", "lang"))
     # at most per_language rows a language
     return usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
