@@ -61,6 +61,21 @@ def test_stream_lags_equal_batch_lags_also_when_hot(spark):
     assert got == {r["id"]: (r["x_lag_1"], r["x_lag_4"]) for r in batch.collect()}
 
 
+@pytest.mark.parametrize("spec", [SPEC, PanelSpec((), "at", ("id",), targets=("x",))])
+def test_late_rows_get_their_lags_and_revise_what_follows(spark, spec):
+    from tidemark.operators import frames
+
+    land, out, check = (scratch_path(spark, n) for n in ("land", "out", "ck"))
+    for ids in ([2, 6, 10, 14, 18, 1], [8, 22], [0, 3, 24], [40, 42]):
+        hours(spark, ids).write.mode("append").parquet(land)
+        run(ingest.lag_stream(ingest.file_stream(spark, land, SCHEMA), spec, "x", (1, 3), out, check))
+    got = {r["id"]: (r["x_lag_1"], r["x_lag_3"]) for r in ingest.lagged_rows(spark, out, spec).collect()}
+    batch = frames.lags(["x"], (1, 3)).apply(hours(spark, [0, 1, 2, 3, 6, 8, 10, 14, 18, 22, 24, 40, 42]), spec)
+    assert got == {r["id"]: (r["x_lag_1"], r["x_lag_3"]) for r in batch.collect()}
+    # no late row, no second version
+    assert spark.read.parquet(f"{out}/rows").where("batch = 3").count() == 2
+
+
 def test_closed_windows_equal_batch(spark):
     land, out = scratch_path(spark, "land"), scratch_path(spark, "out")
     df = hours(spark, range(100))

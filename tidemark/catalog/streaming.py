@@ -160,10 +160,34 @@ def stream_lags(spark, path):
     return spark.read.parquet(f"{target}/rows").select("user_id", "event_id", "value_lag_1", "value_lag_3")
 
 
+def stream_lags_late(spark, path):
+    """Lags where the events with an id divisible by 13 come last: they get theirs, and what follows them is revised."""
+    rows = events(spark, path).select("user_id", "event_id", "ts", "value")
+    late = F.col("event_id") % 13 == 0
+    root, schema = _landing(spark, path, rows.where(~late))
+    target, check = scratch_path(spark, "lags"), scratch_path(spark, "ck")
+    _finish(ingest.lag_stream(ingest.file_stream(spark, root, schema), USERS, "value", (1, 3), target, check))
+    rows.where(late).withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(root)
+    _finish(ingest.lag_stream(ingest.file_stream(spark, root, schema), USERS, "value", (1, 3), target, check))
+    return ingest.lagged_rows(spark, target, USERS).select("user_id", "event_id", "value_lag_1", "value_lag_3")
+
+
+def stream_dedup_late(spark, path):
+    """The later half first, then everything: repeated rows are kept once, late ones are not lost."""
+    job = _stream_job(spark)
+    rows = events(spark, path).select("user_id", "event_id", "ts", "event_type", "value")
+    root, schema = _landing(spark, path, rows.where(F.col("ts") >= CUT))
+    check = scratch_path(spark, "ck")
+    _finish(ingest.ingest_stream(ingest.file_stream(spark, root, schema), job, check, ["event_id"]))
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(root)
+    _finish(ingest.ingest_stream(ingest.file_stream(spark, root, schema), job, check, ["event_id"]))
+    return job.lake.read("raw").select("event_id", "event_type", "value")
+
+
 QUERIES = {f.__name__: f for f in (
     serving_rate, serving_rate_sliding, serving_latency, inference_latency, preprocessing_latency, status_counts,
     success_pct, mean_prediction, drift_detections, stream_daily, stream_latency, stream_dedup, stream_incremental,
-    stream_late, stream_lags,
+    stream_late, stream_lags, stream_lags_late, stream_dedup_late,
 )}
 
 
@@ -221,3 +245,4 @@ def _incremental() -> str:
 
 
 SQL["stream_incremental"] = _incremental()
+SQL["stream_lags_late"], SQL["stream_dedup_late"] = SQL["stream_lags"], SQL["stream_dedup"]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.columns import col
 from tidemark.operators import frames
 from tidemark.plans.lake_job import LakeJob, batch_dates
+from tidemark.session import cut_lineage
 from tidemark.sources.lake import CLEAN, LATE, RAW
 from tidemark.sources.state import Watermark
 from tidemark.sources.storage import folders
@@ -32,7 +35,7 @@ def watermarked(df: DataFrame, time: str, delay: str | None) -> DataFrame:
 
 
 def dedup_stream(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """One row per key within the watermark delay."""
+    """One row per key within the watermark delay. Rows behind the watermark are dropped: ``ingest_stream`` keeps them."""
     return df.dropDuplicatesWithinWatermark(list(key))
 
 
@@ -92,25 +95,63 @@ def lag_stream(source: DataFrame, spec: PanelSpec, target: str, lags: Sequence[i
 
     Each batch reads the tail the batch before it left, adds the lags with the ordinary (skew-safe) window, and writes
     its rows and the new tail under its own batch id, so a replayed batch overwrites its own output and nothing else.
-    A late row is placed by its time among the tail and its batch; rows already written are not revised.
+    For entities with a late row (one that does not come after all rows before its batch) the rows written so far take the
+    tail's place, and those whose lags change are written again under the new batch id: ``lagged_rows`` reads the valid ones.
+    Rows are told apart by entity, time and tiebreak; a missing time sorts first and so is late.
     """
     spark = source.sparkSession
-    depth, keep = max(lags), [*spec.entity, *spec.order, target]
+    depth, keys, keep = max(lags), [*spec.entity, *spec.order], [*spec.entity, *spec.order, target]
+    names = [f"{target}_lag_{n}" for n in lags]
+    order = lambda: F.struct(*[col(c) for c in spec.order])
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*[col(c) for c in keep], F.lit(True).alias("_new"))
+        fresh = batch.select(*[col(c) for c in keep])
+        rows = fresh.withColumns({"_new": F.lit(True), "_old": F.lit(None).cast("array<double>")})
         earlier = [b for b in _batches(spark, f"{path}/_tail") if b < batch_id]
         if earlier:
             tail = spark.read.parquet(f"{path}/_tail/batch={max(earlier)}")
-            rows = rows.unionByName(tail.withColumn("_new", F.lit(False)))
-        out = frames.lags([target], lags).apply(rows, spec).where("_new").drop("_new")
-        out.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-        frames.last_rows(rows.drop("_new"), spec, depth).write.mode("overwrite").parquet(f"{path}/_tail/batch={batch_id}")
+            entity = list(spec.entity) or [F.lit(0).alias("_all")]
+            last = _renamed(tail.groupBy(*entity).agg(F.max(order()).alias("_last")), spec.entity)
+            first = fresh.groupBy(*entity).agg(F.min(order()).alias("_first"))
+            late = first.join(last, _match(spec.entity)).where(F.col("_first") <= F.col("_last")).select(*spec.entity)
+            carried = tail.withColumn("_old", F.lit(None).cast("array<double>"))
+            if not late.isEmpty():
+                late = cut_lineage(late)
+                marked = _renamed(late, spec.entity)
+                written = lagged_rows(spark, path, spec, before=batch_id).withColumn(
+                    "_old", F.array(*[col(n).cast("double") for n in names])).select(*[col(c) for c in keep], "_old")
+                carried = carried.join(marked, _match(spec.entity), "left_anti").unionByName(
+                    written.join(marked, _match(spec.entity), "left_semi"))
+            rows = rows.unionByName(carried.withColumn("_new", F.lit(False)))
+        done = frames.lags([target], lags).apply(rows, spec)
+        now = F.array(*[col(n).cast("double") for n in names])
+        changed = F.col("_new") | (F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(now))
+        done.where(changed).drop("_new", "_old").write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        frames.last_rows(rows.drop("_new", "_old"), spec, depth).write.mode("overwrite").parquet(f"{path}/_tail/batch={batch_id}")
 
     return (
         source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def lagged_rows(spark: SparkSession, path: str, spec: PanelSpec, before: int | None = None) -> DataFrame:
+    """What ``lag_stream`` wrote (in batches ``before`` that one): of each row its last version."""
+    rows = spark.read.parquet(f"{path}/rows")
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    keys = [*spec.entity, *spec.order]
+    rest = F.struct(*[col(c) for c in rows.columns if c not in (*keys, "batch")])
+    return rows.groupBy(*[col(k) for k in keys]).agg(F.max_by(rest, F.col("batch")).alias("_r")).select(*[col(k) for k in keys], "_r.*")
+
+
+def _renamed(df: DataFrame, entity: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_e{i}" for i, c in enumerate(entity)})
+
+
+def _match(entity: Sequence[str]) -> Column:
+    """Entity columns equal to their ``_e{i}`` copies, a missing one to a missing one; always true for one series."""
+    return reduce(and_, [col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(entity)], F.lit(True))
+
+
 def _batches(spark: SparkSession, path: str) -> list[int]:
     return [int(n.removeprefix("batch=")) for n in folders(spark, path) if n.startswith("batch=")]
