@@ -9,7 +9,7 @@ from conftest import close
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, fill, frames
-from tidemark.operators.panel import PLAIN, probe_layout, with_neighbours
+from tidemark.operators.panel import _split, PLAIN, probe_layout, with_neighbours
 from tidemark.spec import PanelSpec
 
 
@@ -172,3 +172,14 @@ def test_entity_code_missing_and_unknown(spark):
     more = spark.createDataFrame([("a",), ("b",), ("zz",), (None,)], "n string")
     got = {r["n"]: r["c"] for r in features.add_entity_code(more, "n", "c", codes).collect()}
     assert got == {"a": 0, "b": 1, "zz": -1, None: -1}
+
+
+def test_every_entity_above_hot_rows_is_cut_to_its_own_size(spark):
+    sizes = {f"e{i}": 500 for i in range(20)} | {"big": 4000, "small": 90}
+    df = spark.createDataFrame([(k, j, j) for k, n in sizes.items() for j in range(n)], "k string, t long, id long")
+    spec = PanelSpec(("k",), "t", ("id",), targets=("id",), hot_rows=100)
+    layout = probe_layout(df, spec)
+    got = {r["k"]: len(r["_cuts"]) + 1 for r in layout.hot.collect()}
+    assert got == {f"e{i}": 10 for i in range(20)} | {"big": 80}
+    _, hot = _split(df, ["k"], layout, spec)
+    assert hot.groupBy("k", "_slot").count().agg({"count": "max"}).first()[0] <= spec.hot_rows

@@ -53,7 +53,7 @@ def test_grouped_quantiles(spark):
     rows = [(k, float(v)) for k, n in (("a", 900), ("b", 5)) for v in rng.normal(size=n)]
     df = spark.createDataFrame(rows, "k string, v double")
     for out in (ordering.quantiles(df, ["k"], "v", [0.25, 0.5]),
-                ordering.quantiles(df, ["k"], "v", [0.25, 0.5], one_task_rows=1, few_keys=False),
+                ordering.quantiles(df, ["k"], "v", [0.25, 0.5], one_task_rows=1),
                 ordering.bracketed_quantiles(df, ["k"], "v", [0.25, 0.5], accuracy=100)):
         for r in out.collect():
             want = np.quantile([v for k, v in rows if k == r["k"]], [0.25, 0.5])

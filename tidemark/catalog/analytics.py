@@ -98,7 +98,7 @@ def box_stats(spark, path):
 
 def box_by_country(spark, path):
     long = _located(spark, path).select("country", F.col("l_extendedprice").alias("value"))
-    out = analytics.box_stats(long, ["country"], few_keys=False)
+    out = analytics.box_stats(long, ["country"])
     return out.select("country", "n", "n_outliers", *[
         r(c, 4).alias(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")
     ])

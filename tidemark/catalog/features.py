@@ -153,7 +153,7 @@ def sequences(spark, path):
     seq_len, horizon = 5, 2
     out = frames.sequences(events(spark, path), USERS, ["value"], ["value"], seq_len, horizon)
     flat = F.transform(F.col("x"), lambda f: f[0].cast("double"))
-    total = F.aggregate(flat, F.lit(0.0), lambda a, v: a + v)
+    total = F.aggregate(F.transform(flat, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)  # the order counts
     return out.select("user_id", "event_id", r(total, 3).alias("x_sum"), F.size("x").cast("long").alias("x_len"),
                       r(F.col("y")[0].cast("double"), 3).alias("y"))
 
@@ -238,7 +238,7 @@ SQL = {
         coalesce(pv + (nv - pv) * (i - pi) / (ni - pi), pv) END''')} AS reading FROM q""",
     "fill_median": f"SELECT event_id, {sr(f'coalesce(reading, (SELECT median(reading) FROM {GAPPED}))')} AS reading "
                    f"FROM {GAPPED}",
-    "sequences": f"""SELECT user_id, event_id, {sr('list_sum(l)', 3)} AS x_sum, CAST(len(l) AS BIGINT) AS x_len,
+    "sequences": f"""SELECT user_id, event_id, {sr('l[1] + 2 * l[2] + 3 * l[3] + 4 * l[4] + 5 * l[5]', 3)} AS x_sum, CAST(len(l) AS BIGINT) AS x_len,
         {sr('CAST(CAST(value AS FLOAT) AS DOUBLE)', 3)} AS y FROM (SELECT user_id, event_id, value,
         list(CAST(CAST(value AS FLOAT) AS DOUBLE)) OVER ({PLAIN_W} ROWS BETWEEN 6 PRECEDING AND 2 PRECEDING) AS l
         FROM events) WHERE len(l) = 5""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col, to_long
 from tidemark.functions.stats import correlation
-from tidemark.operators.ordering import choose_bins, column_quantiles, cumulative, per_column, quantiles
+from tidemark.operators.ordering import choose_bins, column_quantiles, cumulative, measured, per_column, quantiles
 
 
 def locations(df: DataFrame, name: str, country: str, lat: str, lon: str, order: Sequence[str],
@@ -155,9 +155,9 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 
 def box_stats(long: DataFrame, by: Sequence[str] = ("feature",), value: str = "value", k: float = 1.5,
-              rows: int | None = None, few_keys: bool = True) -> DataFrame:
+              rows: int | None = None) -> DataFrame:
     """``by, n, q1, median, q3, whisker_lo, whisker_hi, n_outliers``: whiskers are the last values inside the fences."""
-    q = quantiles(long, by, value, [0.25, 0.5, 0.75], rows, few_keys=few_keys)
+    q = quantiles(long, by, value, [0.25, 0.5, 0.75], rows)
     iqr = F.col("q")[2] - F.col("q")[0]
     fences = q.select(
         *[col(b) for b in by], "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
@@ -165,8 +165,7 @@ def box_stats(long: DataFrame, by: Sequence[str] = ("feature",), value: str = "v
     )
     x = col(value)
     inside = (x >= F.col("_lo")) & (x <= F.col("_hi"))
-    small = F.broadcast if few_keys else (lambda d: d)
-    return long.join(small(fences), list(by)).groupBy(*[col(b) for b in by]).agg(
+    return long.join(measured(fences, "fences"), list(by)).groupBy(*[col(b) for b in by]).agg(
         *[F.max(c).alias(c) for c in ("n", "q1", "median", "q3")],
         F.min(F.when(inside, x)).alias("whisker_lo"),
         F.max(F.when(inside, x)).alias("whisker_hi"),
@@ -182,7 +181,7 @@ def outliers(long: DataFrame, by: Sequence[str] = ("feature",), value: str = "va
     fences = q.select(
         *[col(b) for b in by], (F.col("q")[0] - k * iqr).alias("_lo"), (F.col("q")[1] + k * iqr).alias("_hi")
     )
-    joined = long.join(F.broadcast(fences), list(by))
+    joined = long.join(measured(fences, "fences"), list(by))
     return joined.where((col(value) < F.col("_lo")) | (col(value) > F.col("_hi"))).drop("_lo", "_hi")
 
 

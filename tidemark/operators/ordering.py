@@ -11,6 +11,8 @@ from tidemark.functions.columns import col
 from tidemark.session import cut_lineage, stage
 
 ONE_TASK_ROWS = 5_000_000
+#: Groups whose statistics are broadcast to the rows at most.
+BROADCAST_GROUPS = 100_000
 #: Steps of the binary search: up to 2^17 - 1 cuts.
 STEPS = [1 << i for i in range(16, -1, -1)]
 
@@ -23,6 +25,16 @@ def bin_index(cuts: Column, x: Column) -> Column:
     )
 
 
+def hinted(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def measured(df: DataFrame, label: str) -> DataFrame:
+    """``df`` (one row per group), written once, and marked for a broadcast if it has at most ``BROADCAST_GROUPS`` rows."""
+    df = stage(df, label)
+    return hinted(df, df.count() <= BROADCAST_GROUPS)
+
+
 def choose_bins(rows: int, one_task_rows: int = ONE_TASK_ROWS) -> int:
     return max(1, -(-rows // one_task_rows))
 
@@ -63,7 +75,7 @@ def cumulative(steps: DataFrame, keys: Sequence[str], value: str, weights: Seque
 
 
 def quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], rows: int | None = None,
-              one_task_rows: int = ONE_TASK_ROWS, few_keys: bool = True) -> DataFrame:
+              one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Exact, linearly interpolated quantiles per key group: columns ``keys``, ``n``, ``q`` (array, as ``probs``).
 
     ``percentile`` keeps every distinct value of a group in one buffer, so it is used only when the whole
@@ -77,7 +89,7 @@ def quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
         return long.groupBy(*by).agg(
             F.count(F.lit(1)).alias("n"), F.percentile(col(value), F.array(*[F.lit(float(p)) for p in probs])).alias("q")
         )
-    return bracketed_quantiles(long, keys, value, probs, few_keys=few_keys)
+    return bracketed_quantiles(long, keys, value, probs)
 
 
 def per_column(df: DataFrame, cols: Sequence[str], stats: dict[str, Callable[[Column], Column]]) -> DataFrame:
@@ -159,8 +171,7 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 def bracketed_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                        accuracy: int = 100_000, few_keys: bool = True) -> DataFrame:
-    small = F.broadcast if few_keys else (lambda d: d)
+                        accuracy: int = 100_000) -> DataFrame:
     by = [col(k) for k in keys]
     slack = 3.0 / accuracy
     low = [max(0.0, p - slack) for p in probs]
@@ -172,6 +183,8 @@ def bracketed_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs:
         F.max(x).alias("_max"),
         F.percentile_approx(x, low + high, accuracy).alias("_e"),
     )
+    sketch = stage(sketch, "sketch")
+    few = sketch.count() <= BROADCAST_GROUPS
     tight = F.col("_n") * slack >= 2  # else the bracket is the whole group
     brackets = sketch.select(
         *by,
@@ -194,7 +207,7 @@ def bracketed_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs:
     # one row per group on the right, at most len(probs) brackets in it
     hits = (
         long.select(*by, x.alias("_x"))
-        .join(small(grouped.select(*by, "_bs")), list(keys))
+        .join(hinted(grouped.select(*by, "_bs"), few), list(keys))
         .select(*by, "_x", F.explode("_bs").alias("_b"))
         .where(F.col("_x") <= F.col("_b._hi"))
         .select(
@@ -208,7 +221,7 @@ def bracketed_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs:
     # everything below the bracket is the single NULL row, which sorts first
     run = Window.partitionBy(*by, "_i").orderBy(F.col("_x").asc_nulls_first())
     ranked = hits.withColumn("_cum", F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = ranked.join(small(brackets.select(*by, "_i", "_p", "_n")), [*keys, "_i"])
+    joined = ranked.join(hinted(brackets.select(*by, "_i", "_p", "_n"), few), [*keys, "_i"])
     spot = (F.col("_n") - 1) * F.col("_p")
     picked = joined.groupBy(*by, "_i").agg(
         F.max("_n").alias("n"),

@@ -2,8 +2,7 @@
 
 A plain ``Window.partitionBy(entity)`` puts a whole entity into one task. Before planning, the layout
 probe counts rows per entity (a map-side combined count). Entities that fit take the plain window.
-The few that do not (never more than 1,000, see ``probe_layout``) are cut into time slots of about equal
-depth, and results across slot borders are rebuilt exactly:
+Those that do not are cut into time slots of about equal depth (rows of one instant stay together), and results across slot borders are rebuilt exactly:
 
 * bounded frames (lag, rolling, sequences) need the ``reach`` rows before a slot, so only the first and last
   ``reach`` rows of each slot go through a second, small window;
@@ -23,17 +22,23 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import col
 from tidemark.operators.ordering import bin_index
+from tidemark.session import stage
 from tidemark.spec import PanelSpec
 
-MAX_HOT = 1000
+#: Slots of an entity at most; ``bin_index`` finds one of twice as many.
+MAX_PIECES = 65_536
+#: Cuts of all hot entities in a broadcast at most; beyond, rows meet their cuts by a shuffle.
+BROADCAST_CUTS = 1_000_000
 ALL = "_all"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """``hot`` holds one row per oversized entity with its time cuts, or is None when all entities fit."""
+    """``hot`` holds one row per oversized entity with its time cuts, or is None when all entities fit; ``few`` says that it
+    may be broadcast."""
 
     hot: DataFrame | None = None
+    few: bool = True
 
 
 PLAIN = Layout()
@@ -60,26 +65,30 @@ def micros(df: DataFrame, spec: PanelSpec) -> Column:
 def probe_layout(df: DataFrame, spec: PanelSpec) -> Layout:
     """Count rows per entity and, where an entity is too large for one task, choose its time cuts.
 
-    The driver sees one total row, and for hot entities at most ``MAX_HOT`` rows: an entity is hot
-    when it exceeds both ``hot_rows`` and a thousandth of the table.
+    An entity is hot when it exceeds ``hot_rows``, and gets two slots for each ``hot_rows`` of its rows. The driver sees one
+    total row; the cuts are a written table, broadcast only if it holds at most ``BROADCAST_CUTS`` numbers.
     """
     df, keys = entity_columns(df, spec)
     counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    total, top = counts.agg(F.sum("_n"), F.max("_n")).first()
+    top = counts.agg(F.max("_n")).first()[0]
     if top is None or top <= spec.hot_rows:
         return PLAIN
-    limit = max(spec.hot_rows, total // MAX_HOT)
-    hot = counts.where(F.col("_n") > limit).select(*[col(k) for k in keys])
-    pieces = min(2 * -(-top // limit), MAX_HOT)
+    pieces = min(2 * -(-top // spec.hot_rows), MAX_PIECES)
+    own = F.least(F.ceil(2 * F.col("_n") / spec.hot_rows), F.lit(pieces)).cast("int")
+    hot = stage(counts.where(F.col("_n") > spec.hot_rows).select(
+        *[col(k).alias(f"_h{i}") for i, k in enumerate(keys)], own.alias("_own")), "hot")
+    few = hot.agg(F.sum("_own")).first()[0] <= BROADCAST_CUTS
     probs = [i / pieces for i in range(1, pieces)]
     cuts = (
         df.select(*[col(k) for k in keys], micros(df, spec).alias("_t"))
-        .join(F.broadcast(hot.select(*[col(k).alias(f"_h{i}") for i, k in enumerate(keys)])), _same(keys), "left_semi")
+        .join(F.broadcast(hot) if few else hot, _same(keys))
         .groupBy(*[col(k) for k in keys])
-        .agg(F.array_distinct(F.percentile_approx("_t", probs, 10_000)).alias("_cuts"))
+        .agg(F.percentile_approx("_t", probs, max(10_000, 4 * pieces)).alias("_all_cuts"), F.first("_own").alias("_pieces"))
     )
-    rows = cuts.collect()
-    return Layout(df.sparkSession.createDataFrame(rows, cuts.schema) if rows else None)
+    # smaller entities take every so many of the cuts
+    mine = F.transform(F.sequence(F.lit(1), F.col("_pieces") - 1),
+                       lambda i: F.get("_all_cuts", F.floor(i * pieces / F.col("_pieces")).cast("int") - 1))
+    return Layout(stage(cuts.select(*[col(k) for k in keys], F.array_distinct(mine).alias("_cuts")), "cuts"), few)
 
 
 def _same(keys: Sequence[str]) -> Column:
@@ -94,7 +103,8 @@ def plain_window(keys: Sequence[str], spec: PanelSpec, descending: bool = False)
 
 def _split(df: DataFrame, keys: Sequence[str], layout: Layout, spec: PanelSpec) -> tuple[DataFrame, DataFrame]:
     """(rows of entities that fit, rows of hot entities with their ``_slot``)."""
-    table = F.broadcast(layout.hot.select(*[col(k).alias(f"_h{i}") for i, k in enumerate(keys)], "_cuts"))
+    table = layout.hot.select(*[col(k).alias(f"_h{i}") for i, k in enumerate(keys)], "_cuts")
+    table = F.broadcast(table) if layout.few else table
     cold = df.join(table, _same(keys), "left_anti")
     hot = df.join(table, _same(keys), "inner").withColumn("_slot", bin_index(F.col("_cuts"), micros(df, spec)))
     hot = hot.select(*[col(c) for c in df.columns], "_slot")
@@ -170,9 +180,9 @@ def with_neighbours(df: DataFrame, spec: PanelSpec, cols: Sequence[str], layout:
         **{f"_cn{i}": F.last(f"_f{i}", True).over(later) for i in range(len(cols))},
     })
     carry_cols = [f"_c{d}{i}" for i in range(len(cols)) for d in ("p", "n")]
-    # one row per slot of at most MAX_HOT entities: small by construction
-    carry = F.broadcast(slots.select(
-        *[col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("_slot").alias("_hs"), "_off", *carry_cols))
+    # one row per slot, never more than there are cuts and entities; many columns are left to the optimizer
+    carry = slots.select(*[col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("_slot").alias("_hs"), "_off", *carry_cols)
+    carry = F.broadcast(carry) if layout.few and len(cols) <= 4 else carry
     joined = local.join(carry, _same(keys) & (F.col("_slot") == F.col("_hs")), "left")
     joined = joined.withColumn("_pos", F.col("_local") + F.col("_off"))
     near = _nearest(joined, slot_keys, spec, cols).withColumns({
