@@ -74,6 +74,16 @@ def test_toxicity_without_labels(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, none).count() == 0
 
 
+def test_toxicity_curve_keeps_the_share_of_a_large_table(spark):
+    rng = np.random.default_rng(4)
+    say = lambda: " ".join(rng.choice(["stone", "water", "green", "house"], 6))
+    rows = [(say(), int(i % 21 == 0), i % 10 > 0) for i in range(7000)]  # texts say nothing about the label
+    learn = spark.createDataFrame(rows, "text string, toxic int, spare boolean")
+    asked = spark.createDataFrame([(say(),) for _ in range(200)], "text string")
+    score = np.array([r.score for r in toxicity.score(asked, learn).collect()])
+    assert abs(score.mean() - 1 / 21) < 0.02
+
+
 def test_toxicity_counts_match_brute_force(spark):
     learn = spark.createDataFrame([("abab ab", 1, False), ("abab", 0, True)], "text string, toxic int, spare boolean")
     got = toxicity.counts(learn).agg(*(F.sum(c) for c in ("fit_0", "fit_1", "all_0", "all_1"))).first()

@@ -6,7 +6,7 @@ sequence was seen). Letters instead of words let forms that never occurred be ju
 discount D, P(w | h) = max(c(hw) - D, 0) / c(h) + D * types(h) / c(h) * P_shared(w | h'), so where a class has not seen hw the
 two models differ by their weight of the shared distribution only. What a text is scored with is therefore one number for
 each sequence and one for each context: the difference of the log-likelihoods, whose sum over a text is divided by the
-square root of its length. A logistic curve, fitted on learning rows that the counting left out, turns it into a score.
+square root of its length. A logistic curve, fitted on all learning rows that the counting left out, turns it into a score.
 
 Sequences are counted by Spark over all learning rows and only their aggregate moves. Up to ``BROADCAST_GRAMS`` of them the
 tables are broadcast; beyond, the sequences of each text are counted and joined to the tables.
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import add_from, text_of
@@ -30,8 +30,6 @@ from tidemark.session import stage
 
 ORDER = 4
 BROADCAST_GRAMS = 4_000_000
-#: The bound of the sample that the logistic curve is fitted on: rows of each class.
-CALIBRATION_ROWS = 1500
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _STEP = np.uint64(1_099_511_628_211)
 
@@ -183,19 +181,22 @@ def joined_evidence(docs: DataFrame, llr: DataFrame, keep: list[str] | None = No
     return kept.join(summed, "_row", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0))).drop("_row")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset by Newton's method with a weak ridge."""
-    if len(np.unique(y)) < 2:
+def logistic(rows: DataFrame, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset by Newton's method with a weak ridge, over all rows of ``toxic, evidence``; a round is one sum over them."""
+    facts = rows.agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi"), F.stddev_pop("evidence").alias("scale")).first()
+    if facts["lo"] == facts["hi"]:
         return 0.0, 0.0
-    scale = x.std() or 1.0
-    z = np.stack([x / scale, np.ones_like(x)], axis=1)
-    share = np.ones_like(x)
-    w = np.zeros(2)
+    scale = facts["scale"] or 1.0
+    w, z = np.zeros(2), F.col("evidence") / scale
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (share * (p - y)) + 0.05 * w
-        step = np.linalg.solve(z.T @ (z * (share * p * (1 - p))[:, None]) + 0.05 * np.eye(2), grad)
-        w -= np.clip(step, -2, 2)
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z * float(w[0]) + float(w[1])))))
+        sums = rows.select(z.alias("z"), (p - F.col("toxic")).alias("e"), (p * (1 - p)).alias("v")).agg(
+            *(F.sum(F.expr(c)) for c in ("z * e", "e", "v * z * z", "v * z", "v"))).first()
+        grad = np.array(sums[:2]) + 0.05 * w
+        step = np.clip(np.linalg.solve(np.array([sums[2:4], sums[3:5]]) + 0.05 * np.eye(2), grad), -2, 2)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
     return float(w[0] / scale), float(w[1])
 
 
@@ -211,11 +212,7 @@ def score(docs: DataFrame, learn: DataFrame, limit: int = BROADCAST_GRAMS, keep:
     learn = learn.where("toxic IN (0, 1)")
     counted = stage(counts(learn), "counts")
     tried, final = stage(model(counted, "fit"), "trial"), stage(model(counted, "all"), "model")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("text"))
-    spare = learn.where("spare").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= CALIBRATION_ROWS)
-    # the documented bound: two numbers a row
-    got = evidence(spare, tried, limit, ["toxic"]).toPandas()
-    slope, offset = logistic(got["evidence"].to_numpy(float), got["toxic"].to_numpy(float))
+    slope, offset = logistic(stage(evidence(learn.where("spare"), tried, limit, ["toxic"]), "spare"))
     z = slope * F.col("evidence") + offset
     return (
         evidence(docs, final, limit, keep).withColumn("score", 1 / (1 + F.exp(-z)))
