@@ -274,7 +274,21 @@ def test_ann_reaches_its_recall_and_order(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
-# op9
+def test_ann_beside_a_few_very_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(4000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[[1, 2, 3]] *= np.array([10, 100, 1000])[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 4000, 20):
+        order = [i for i in np.argsort(-(v @ v[q]), kind="stable") if i != q][:20]
+        hits += len(got[q] & set(order))
+    assert hits / (200 * 20) >= 0.9
+
 
 def test_langid_sample_is_the_least_hashes(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"),

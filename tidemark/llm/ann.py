@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product along shifted space-filling curves.
 
-Vectors are turned into points of one sphere (a further coordinate makes up for shorter ones), so that the largest inner
-product is the nearest point. Each of ``CURVES`` curves projects the points on ``DIMS`` directions of its own random
+Vectors are dealt into bands of similar norm, and those of a band are turned into points of one sphere (a further coordinate
+makes up for shorter ones), so that the largest inner product in a band is the nearest point. Bands of few points are one
+together, which is compared whole. In each band, each of ``CURVES`` curves projects the points on ``DIMS`` directions of its own random
 rotation, shifts them and orders them along a Hilbert curve. The order is cut into cells of equally many points; a query is
 compared with the points of its cell and of the cells beside it, on every curve, and the finds are merged and reranked.
 
@@ -30,6 +31,12 @@ CURVES, DIMS, BITS = 8, 6, 9
 CELLS, WINDOW_CELLS = 25, 2
 CELL_ROWS = 4096
 LEAST_ROWS = 32
+#: The norms of a band differ by this factor at most; bands outside +-``MOST_BAND`` are the outermost ones.
+BAND, MOST_BAND = 1.25, 3000
+#: The band of all points whose own has fewer than two cells.
+FEW = MOST_BAND + 1
+#: Queries of a cell that are one group; a cell of more is compared in several, each with all its points.
+ASK_ROWS = 16_384
 SEED = 11
 #: Queries of a cell that are scored at once.
 STEP = 256
@@ -43,12 +50,16 @@ def usable(vector: str) -> Column:
 
 
 def points(vectors: DataFrame, is_query: Column, id_col: str, vector: str) -> DataFrame:
-    """``id, h1, h2, v, query`` of the vectors that take part; ``h1, h2`` name equal vectors."""
+    """``id, h1, h2, v, query, norm, band`` of the vectors that take part; ``h1, h2`` name equal vectors."""
     live = vectors.where(usable(vector)).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     common = live.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     live = live.where(F.size("v") == (common["n"] if common else 0))
-    return live.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(SEED))})
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    # rounded, so that unit norms are amid a band
+    band = F.round(F.log("norm") / math.log(BAND))
+    band = F.greatest(F.lit(-MOST_BAND), F.least(F.lit(MOST_BAND), F.coalesce(band, F.lit(-MOST_BAND)))).cast("int")
+    return live.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(SEED)), "norm": norm}).withColumn("band", band)
 
 
 def rotations(length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +70,12 @@ def rotations(length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([r[:, :DIMS] for r in each]), rng.random((CURVES, DIMS))
 
 
-def places(x: np.ndarray, largest: float) -> np.ndarray:
-    """Places of points on all curves, one row each; ``x`` lies on the sphere of radius ``largest``."""
+def places(x: np.ndarray) -> np.ndarray:
+    """Places of points on all curves, one row each; ``x`` lies on the unit sphere."""
     turn, shift = rotations(x.shape[1])
     out = np.empty((len(x), CURVES), np.int64)
     for c in range(CURVES):
-        cell = ((x @ turn[c]) / (largest or 1.0) * 0.5 + 0.5 + 0.5 * shift[c]) / 1.5
+        cell = (x @ turn[c] * 0.5 + 0.5 + 0.5 * shift[c]) / 1.5
         out[:, c] = hilbert_keys(np.clip(cell * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64), BITS)
     return out
 
@@ -74,49 +85,54 @@ def matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def with_places(reps: DataFrame, largest: float) -> DataFrame:
-    """``own`` and ``sought``: places of each vector as a candidate and as a query."""
+def with_places(reps: DataFrame) -> DataFrame:
+    """``own`` and ``sought``: places of each vector as a candidate, on the sphere of ``radius``, and as a query of any band."""
 
     def make_step():
         def step(column) -> dict:
-            v = matrix(column)
-            square = (v * v).sum(axis=1)
-            as_point = np.column_stack([v, np.sqrt(np.maximum(largest ** 2 - square, 0))])
-            as_query = np.column_stack([v * (largest / np.sqrt(square))[:, None], np.zeros(len(v))])
+            v, radius = matrix(column.field(0)), column.field(1).to_numpy(zero_copy_only=False)
+            as_point = v / np.where(radius > 0, radius, 1.0)[:, None]
+            as_point = np.column_stack([as_point, np.sqrt(np.maximum(1 - (as_point * as_point).sum(axis=1), 0))])
+            as_query = np.column_stack([v / np.sqrt((v * v).sum(axis=1))[:, None], np.zeros(len(v))])
             # a few bits of chance tell apart points in one place
             salt = (np.abs(v[:, 0]) * 1e9).astype(np.int64) & 127
             tie = lambda p: list((p << 7) | salt[:, None])
-            return {"own": tie(places(as_point, largest)), "sought": tie(places(as_query, largest))}
+            return {"own": tie(places(as_point)), "sought": tie(places(as_query))}
 
         return step
 
-    return add_from(reps, F.col("v"), make_step, "own array<long>, sought array<long>")
+    return add_from(reps, F.struct("v", "radius"), make_step, "own array<long>, sought array<long>")
 
 
-def routed(reps: DataFrame, bounds: list[list[int]], cells: int, window: int) -> DataFrame:
-    """A row per point and curve, and one per query, curve and cell of its window: ``curve, cell, rep, query, v``."""
-    edges = [np.array(b, np.int64) for b in bounds]
+def routed(reps: DataFrame, plans: dict[int, tuple[int, int, int]], bounds: dict[tuple[int, int], list[int]]) -> DataFrame:
+    """A row per point, curve and part, and one per query, band, curve and cell of its window: ``band, curve, cell, part, ask,
+    rep, v``. ``plans`` has the cells, the window and the parts of each band."""
+    edges = {at: np.array(b, np.int64) for at, b in bounds.items()}
+    none = np.zeros(0, np.int64)
 
     def make_step():
         def step(column) -> dict:
-            at = np.stack([np.searchsorted(e, column.field(0).flatten().to_numpy().reshape(-1, CURVES)[:, c], "right")
-                           for c, e in enumerate(edges)], axis=1)
-            to = np.stack([np.searchsorted(e, column.field(1).flatten().to_numpy().reshape(-1, CURVES)[:, c], "right")
-                           for c, e in enumerate(edges)], axis=1)
-            asks, out = column.field(2).to_pylist(), []
-            for i, ask in enumerate(asks):
-                rows = [(c, int(at[i, c]), False) for c in range(CURVES)]
-                if ask:
-                    rows += [(c, int(k), True) for c in range(CURVES)
-                             for k in range(max(0, to[i, c] - window), min(cells, to[i, c] + window + 1))]
-                out.append([{"curve": c, "cell": k, "ask": a} for c, k, a in rows])
+            own, sought = (column.field(i).flatten().to_numpy().reshape(-1, CURVES) for i in (0, 1))
+            asks, bands, reps = (column.field(i).to_pylist() for i in (2, 3, 4))
+            out = [[] for _ in asks]
+            for band, (cells, window, parts) in plans.items():
+                # one cell is the same on every curve
+                for c in range(CURVES if cells > 1 else 1):
+                    edge = edges.get((band, c), none)
+                    at, to = np.searchsorted(edge, own[:, c], "right").tolist(), np.searchsorted(edge, sought[:, c], "right").tolist()
+                    for i, ask in enumerate(asks):
+                        if bands[i] == band:
+                            out[i] += [{"band": band, "curve": c, "cell": at[i], "part": p, "ask": False} for p in range(parts)]
+                        if ask:
+                            out[i] += [{"band": band, "curve": c, "cell": k, "part": reps[i] * 40503 // 8 % parts, "ask": True}
+                                       for k in range(max(0, to[i] - window), min(cells, to[i] + window + 1))]
             return {"to": out}
 
         return step
 
-    way = add_from(reps.select("rep", "v", "own", "sought", "query"), F.struct("own", "sought", "query"), make_step,
-                   "to array<struct<curve: int, cell: int, ask: boolean>>")
-    return way.select("rep", "v", F.explode("to").alias("t")).select("t.curve", "t.cell", "t.ask", "rep", "v")
+    way = add_from(reps.select("rep", "v", "own", "sought", "query", "band"), F.struct("own", "sought", "query", "band", "rep"), make_step,
+                   "to array<struct<band: int, curve: int, cell: int, part: int, ask: boolean>>", ["rep", "v"])
+    return way.select("rep", "v", F.explode("to").alias("t")).select("t.*", "rep", "v")
 
 
 def cell_finds(table: pa.Table, count: int) -> pa.Table:
@@ -140,19 +156,33 @@ def cell_finds(table: pa.Table, count: int) -> pa.Table:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every query but itself."""
     live = stage(points(vectors, is_query, id_col, vector), "points")
-    reps = live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v"), F.max("query").alias("query"))
-    facts = live.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
-    placed = stage(with_places(reps, math.sqrt(facts["m"] or 0.0)), "places")
-    total = placed.count()
-    # a small table has fewer cells, a tiny one a single cell, which is exhaustive
-    cells = max(1, min(max(CELLS, math.ceil(total / CELL_ROWS)), total // LEAST_ROWS))
-    window = math.ceil(WINDOW_CELLS * cells / CELLS)
-    # one list of bounds per curve
-    steps = [i / cells for i in range(1, cells)]
-    cut = placed.select(F.posexplode("own").alias("curve", "at")).groupBy("curve").agg(
-        F.percentile_approx("at", steps, 20 * cells).alias("b")).collect() if steps else []
-    bounds = [next((r["b"] for r in cut if r["curve"] == c), []) for c in range(CURVES)]
-    found = routed(placed, bounds, cells, window).groupBy("curve", "cell").applyInArrow(
+    reps = live.groupBy("h1", "h2").agg(
+        F.min("id").alias("rep"), F.first("v").alias("v"), F.max("query").alias("query"), F.first("band").alias("own_band"))
+    # one row for each factor BAND between the norms
+    found_bands = live.groupBy("band", "h1", "h2").agg(F.max("norm").alias("norm"), F.max("query").alias("query")).groupBy("band").agg(
+        F.count("*").alias("n"), F.max("norm").alias("radius"), F.count_if("query").alias("asks")).collect()
+    asks = sum(r["asks"] for r in found_bands)
+    # a band too small to be cut goes to the common one
+    name = {r["band"]: r["band"] if r["n"] >= 2 * LEAST_ROWS else FEW for r in found_bands}
+    plans, radius = {}, {}
+    for band in sorted(set(name.values())):
+        members = [r for r in found_bands if name[r["band"]] == band]
+        total, radius[band] = sum(r["n"] for r in members), max(r["radius"] for r in members)
+        # a small band has fewer cells, the common one a single cell, which is exhaustive
+        cells = 1 if band == FEW else max(CELLS, math.ceil(total / CELL_ROWS))
+        cells = max(1, min(cells, total // LEAST_ROWS))
+        window = math.ceil(WINDOW_CELLS * cells / CELLS)
+        plans[band] = cells, window, max(1, math.ceil(asks * min(1, (2 * window + 1) / cells) / ASK_ROWS))
+    table = live.sparkSession.createDataFrame(
+        [(b, g, float(radius[g]), plans[g][0]) for b, g in name.items()], "own_band int, band int, radius double, cells int")
+    placed = stage(with_places(reps.join(F.broadcast(table), "own_band")), "places")
+    # one list of bounds per band and curve
+    sizes = sorted({cells for cells, *_ in plans.values()} - {1})
+    cut = placed.where("cells > 1").select("band", "cells", F.posexplode("own").alias("curve", "at")).groupBy("band", "curve").agg(
+        *(F.percentile_approx(F.when(F.col("cells") == n, F.col("at")), [i / n for i in range(1, n)], 20 * n).alias(f"b{n}")
+          for n in sizes)).collect() if sizes else []
+    bounds = {(r["band"], r["curve"]): r[f"b{plans[r['band']][0]}"] for r in cut}
+    found = routed(placed, plans, bounds).groupBy("band", "curve", "cell", "part").applyInArrow(
         lambda t: cell_finds(t, k + 1), "asker long, rep long, score double")
     itself = placed.where("query").select(F.col("rep").alias("asker"), "rep", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("score"))
     first = lambda *order: F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), *order))
