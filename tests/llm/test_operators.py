@@ -106,6 +106,12 @@ def test_pages(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_pages_keep_linked_lines_of_an_article():
+    links = "".join(f"<li><a href=x>Reference number {i}</a></li>" for i in range(4))
+    html = f"<article><h1><a href=x>Title</a></h1><p>{'A long text. ' * 40}</p><ul>{links}</ul><p>The end.</p></article><p>no</p>"
+    assert pages.extract(html).split("\n\n") == ["Title", ("A long text. " * 40).strip(), *(f"Reference number {i}" for i in range(4)), "The end."]
+
+
 # op4
 
 def plain_counts(text):
