@@ -192,6 +192,15 @@ def test_minhash_matches_all_pairs(spark, odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_minhash_finds_pairs_at_a_lower_threshold(spark):
+    rows = []
+    for i in range(2000):  # 80 shingles, and the same with 20 more
+        words = [f"w{i}x{j}" for j in range(104)]
+        rows += [(2 * i, " ".join(words[:84])), (2 * i + 1, " ".join(words))]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)
+    assert out.where("doc_id % 2 = 1 AND kept").count() == 0
+
+
 def test_one_per_group_keeps_columns(odd_docs):
     out = minhash.one_per_group(odd_docs)
     ids = [r.doc_id for r in out.collect()]
