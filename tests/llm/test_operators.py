@@ -365,3 +365,19 @@ def test_urls(spark):
     by = {r.page_id: (r.host, r.path) for r in out}
     assert by[0] == ("a.example.org", "/es/1") and by[7] == ("", "") and by[8] == ("", "") and by[10] == ("x.net", "")
     assert urls.judge(df.limit(0), labelled.limit(0)).count() == 0
+
+
+def test_urls_are_mined_whole(spark):
+    bad = ["http://h.net/a/b/c/casino/{}", "http://h.net/?a=1&b=2&c=3&affid={}", "http://x{}.bad.co.a.b.c.net/"]
+    good = ["http://h.net/a/b/c/other/{}", "http://h.net/?a=1&b=2&c=3&d={}", "http://x{}.good.co.a.b.c.net/"]
+    labelled = spark.createDataFrame([(u.format(i), u in bad) for u in bad + good for i in range(20)], "url string, bad boolean")
+    asked = spark.createDataFrame([(u.format("new"),) for u in bad + good], "url string")
+    got = {r.url: r.verdict for r in urls.judge(asked, labelled).collect()}
+    assert got == {u.format("new"): "block" if u in bad else "allow" for u in bad + good}
+
+
+def test_url_rules_outlast_the_growth_of_the_table(spark):
+    labelled = spark.range(10_000).select(F.concat(F.lit("http://good.net/"), "id").alias("url"), F.lit(False).alias("bad")).union(
+        spark.range(12).select(F.concat(F.lit("http://bad.net/"), "id"), F.lit(True)))
+    asked = spark.createDataFrame([("http://bad.net/new",), ("http://good.net/new",)], "url string")
+    assert {r.url: r.verdict for r in urls.judge(asked, labelled).collect()} == {"http://bad.net/new": "block", "http://good.net/new": "allow"}

@@ -23,11 +23,8 @@ from tidemark.session import stage
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-SUPPORT = 0.002
-#: A combination is seen so often at least, however small the table.
-LEAST = 10
-#: What a token is made of: so many path parts and query keys from the front, and parent domains from the end.
-PATH_PARTS, QUERY_KEYS, PARENTS = 3, 3, 3
+#: A combination is seen in so many rows at least, and in a share of them: none, so that a table that grows loses no rule.
+LEAST, SUPPORT = 10, 0.0
 CONFIDENCE = 0.6
 BLOCK = "label=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,15 +51,15 @@ def tokens(url: Column) -> Column:
     keys = F.filter(F.transform(query, lambda v: F.regexp_extract(v, r"^([^=]*)", 1)), lambda v: v != "")
     one = lambda name, v: F.when(v != "", F.array(F.concat(F.lit(name + "="), v))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(
-        tag("site", F.reverse(F.slice(F.reverse(parents(F.col("host"))), 1, PARENTS))), one("first", F.regexp_extract("host", r"^([^.]+)\.", 1)), tag("path", F.slice(pieces, 1, PATH_PARTS)),
-        one("ending", F.regexp_extract("path", r"\.([A-Za-z0-9]{1,5})$", 1)), tag("key", F.slice(keys, 1, QUERY_KEYS)),
+        tag("site", parents(F.col("host"))), one("first", F.regexp_extract("host", r"^([^.]+)\.", 1)), tag("path", pieces),
+        one("ending", F.regexp_extract("path", r"\.([A-Za-z0-9]{1,5})$", 1)), tag("key", keys),
         one("fragment", F.regexp_extract(url, r"(?s)#(.*)$", 1)), one("scheme", F.regexp_extract(url, r"(?s)^(.*?)://", 1))))
 
 
 def mine(baskets: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """``rule, size, confidence, support``: token sets that imply the block label, from ``items``, tokens and label."""
     rows = baskets.count()
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST / max(1, rows))), minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, (LEAST - 0.5) / max(1, rows))), minConfidence=confidence).fit(baskets)
     sure = model.associationRules.where(F.array_contains("consequent", BLOCK)).select(
         F.sort_array("antecedent").alias("rule"), F.size("antecedent").alias("size"), "confidence", "support")
     sure = stage(sure, "rules")
