@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, minhash, mixing, pages, quality, toxicity, unigram, urls
+from tidemark.llm import ann, audit, bpe, langid, minhash, mixing, pages, quality, toxicity, unigram, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -77,8 +77,12 @@ def op10_urls(spark: SparkSession, path: str) -> DataFrame:
     return urls.judge(pages_, labelled).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_audit(spark: SparkSession, path: str) -> DataFrame:
+    return audit.audit(read(spark, path, "documents"), read(spark, path, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_html, op4_quality, op5_minhash, op6_unigram, op7_mixing,
-                                op8_ann, op9_langid, op10_urls)}
+                                op8_ann, op9_langid, op10_urls, op12_audit)}
 _UP = "ORDER BY 2.0 * ss / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 #: What SQL can state. The others are tested against brute force, the libraries or held-out rows in tests/llm.
@@ -94,4 +98,31 @@ SQL: dict[str, str] = {"op7_mixing": rf"""
         ORDER BY turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS b
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
     SELECT doc_id, size, ss AS source_size, target,
-      least(b + size, f) - least(b, f) + least(b + ss + size, f) - least(b + ss, f) AS taken FROM p"""}
+      least(b + size, f) - least(b, f) + least(b + ss + size, f) - least(b + ss, f) AS taken FROM p""", "op12_audit": r"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+      w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+      first AS (SELECT text, min(doc_id) AS least FROM t GROUP BY 1),
+      l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY 1),
+      f AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, len(words) < 100 AS a,
+          100 * len(list_distinct(words)) < 80 * len(words) AS b,
+          100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 10 * length(w.text) AS c,
+          regexp_matches(w.text, '[#$%&*|]') AS d, coalesce(w.doc_id > least, false) AS e
+        FROM w JOIN first ON w.text = first.text LEFT JOIN l ON l.doc_id = w.doc_id),
+      s AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END)
+          || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails, count(*) AS n,
+          count(*) FILTER (good) AS g, count(*) FILTER (bad) AS x FROM f GROUP BY 1, 2),
+      k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+      o AS (SELECT p.k || q.k || r.k || u.k || v.k AS filter_order FROM k p, k q, k r, k u, k v
+        WHERE len(list_distinct([p.k, q.k, r.k, u.k, v.k])) = 5),
+      z AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
+        FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+      h AS (SELECT part, filter_order, step, f, fails, n, g, x, contains(fails, f) AS hit,
+          length(before) > 0 AND length(translate(fails, before, '')) < length(fails) AS gone FROM z, s),
+      c AS (SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS BIGINT) AS kept,
+          CAST(coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed,
+          CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant,
+          CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails,
+          CAST(coalesce(sum(g) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost,
+          CAST(coalesce(sum(x) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM h GROUP BY 1, 2, 3, 4)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+      CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM c"""}
