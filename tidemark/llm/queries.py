@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, audit, bpe, langid, minhash, mixing, pages, quality, toxicity, unigram, urls
+from tidemark.llm import ann, audit, bpe, langid, lexical, minhash, mixing, pages, quality, toxicity, unigram, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -81,8 +81,12 @@ def op12_audit(spark: SparkSession, path: str) -> DataFrame:
     return audit.audit(read(spark, path, "documents"), read(spark, path, "labels"))
 
 
+def op13_lexical(spark: SparkSession, path: str) -> DataFrame:
+    return lexical.rank(read(spark, path, "documents"), read(spark, path, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_html, op4_quality, op5_minhash, op6_unigram, op7_mixing,
-                                op8_ann, op9_langid, op10_urls, op12_audit)}
+                                op8_ann, op9_langid, op10_urls, op12_audit, op13_lexical)}
 _UP = "ORDER BY 2.0 * ss / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 #: What SQL can state. The others are tested against brute force, the libraries or held-out rows in tests/llm.
@@ -125,4 +129,21 @@ SQL: dict[str, str] = {"op7_mixing": rf"""
           CAST(coalesce(sum(g) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost,
           CAST(coalesce(sum(x) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM h GROUP BY 1, 2, 3, 4)
     SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
-      CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM c"""}
+      CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM c""", "op13_lexical": r"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+      s AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(terms)) AS BIGINT) AS ll FROM d WHERE len(terms) > 0),
+      i AS (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark),
+      q AS (SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i),
+      qt AS (SELECT item_id, text, term, count(*) AS qtf FROM q GROUP BY 1, 2, 3),
+      t AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d)
+        WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3, 4),
+      w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+        FROM (SELECT term, count(*) AS df FROM t GROUP BY 1), s),
+      x AS (SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)) AS x FROM t, s),
+      r AS (SELECT item_id, text, row, doc_id, CAST(sum(qtf * w * x) AS BIGINT) AS score FROM qt JOIN w USING (term) JOIN x USING (term)
+        GROUP BY 1, 2, 3, 4),
+      o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank,
+        doc_id, score FROM r WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20"""}
