@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, audit, bpe, langid, lexical, minhash, mixing, pages, quality, toxicity, unigram, urls
+from tidemark.llm import ann, audit, bpe, langid, lexical, minhash, mixing, pages, passages, quality, toxicity, unigram, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -77,6 +77,13 @@ def op10_urls(spark: SparkSession, path: str) -> DataFrame:
     return urls.judge(pages_, labelled).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_passages(spark: SparkSession, path: str) -> DataFrame:
+    done = passages.remove_repeats(read(spark, path, "documents"), keep=["doc_id"])
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_audit(spark: SparkSession, path: str) -> DataFrame:
     return audit.audit(read(spark, path, "documents"), read(spark, path, "labels"))
 
@@ -86,7 +93,7 @@ def op13_lexical(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_html, op4_quality, op5_minhash, op6_unigram, op7_mixing,
-                                op8_ann, op9_langid, op10_urls, op12_audit, op13_lexical)}
+                                op8_ann, op9_langid, op10_urls, op11_passages, op12_audit, op13_lexical)}
 _UP = "ORDER BY 2.0 * ss / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 #: What SQL can state. The others are tested against brute force, the libraries or held-out rows in tests/llm.
