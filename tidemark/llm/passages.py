@@ -10,7 +10,7 @@ strings meet. Neighbouring strings mostly share that least hash; such a run of t
 3. A part sorts its positions by the next ``length`` bytes, takes the Burrows-Wheeler transform and finds the longest common
    prefixes of neighbours by increasing value: backward extension maps the intervals of all strings of length l to those of
    l + 1, breadth first, and an interval whose end is known already is not followed. It stops at ``length``: what has no end yet
-   shares that much. The least doc_id of each such interval decides on its strings.
+   shares that much. The least doc_id of each such interval decides on its strings. Stretches that equal each other are one there.
 4. The batch puts the ranges found together and cuts them out.
 
 A hash that very many documents have (estimated from a sample of documents, see ``frequent``) would fill one part. Its stretches
@@ -304,27 +304,49 @@ def repeated(strings: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: in
     return out
 
 
+def fold(pieces: list[bytes], ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different pieces, the least id of each, and which of them every piece is."""
+    place: dict[bytes, int] = {}
+    which = np.array([place.setdefault(p, len(place)) for p in pieces], np.int64)
+    lowest = np.full(len(place), NO_ID)
+    np.minimum.at(lowest, which, ids)
+    return list(place), lowest, which
+
+
 def find(table: dict[str, list], length: int) -> list[np.ndarray]:
-    """Per row of a part, the ranges ``document, start, end`` to remove."""
+    """Per row of a part, the ranges ``document, start, end`` to remove.
+
+    Equal stretches enter the transform once, under their least id; where that id is beaten all are removed, and those of
+    larger ids are removed whole.
+    """
     numbers = lambda c, kind: [np.frombuffer(v, kind) for v in table[c]]
     sizes, document, start, ids = (numbers(c, k) for c, k in (("sizes", np.int32), ("document", np.int32), ("start", np.int32), ("id", np.int64)))
-    live = [i for i, s in enumerate(table["strings"]) if s]
     out = [np.stack([d, s, s + z], axis=1) for d, s, z in zip(document, start, sizes, strict=True)]
-    if live:
-        join = lambda parts: np.concatenate([parts[i] for i in live]).astype(np.int64)
-        size, doc, at = join(sizes), join(document), join(start)
-        hit = repeated(np.frombuffer(b"".join(table["strings"][i] for i in live), np.uint8), size, join(ids), length)
-        # the last positions of a string are never hits, so no run of hits leaves its string
-        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        offset = np.concatenate([[0], np.cumsum(size)])
-        piece = np.searchsorted(offset, begin, "right") - 1
-        base = at[piece] - offset[piece]
-        ranges = np.stack([doc[piece], begin + base, end + base + length - 1], axis=1)
-        row = np.searchsorted(np.cumsum([len(sizes[i]) for i in live]), piece, "right")
-        cuts = np.searchsorted(row, np.arange(len(live) + 1))
-        for k, i in enumerate(live):
-            out[i] = ranges[cuts[k]:cuts[k + 1]]
+    live = [i for i, s in enumerate(table["strings"]) if s]
+    if not live:
+        return out
+    join = lambda parts: np.concatenate([parts[i] for i in live]).astype(np.int64)
+    size, doc, at, own = join(sizes), join(document), join(start), join(ids)
+    text, ends = b"".join(table["strings"][i] for i in live), np.cumsum(size).tolist()
+    strings, lowest, which = fold([text[a:b] for a, b in zip([0, *ends], ends, strict=False)], own)
+    offset = np.cumsum([0, *map(len, strings)])
+    hit = repeated(np.frombuffer(b"".join(strings), np.uint8), np.diff(offset), lowest, length)
+    # the last positions of a string are never hits, so no run of hits leaves its string
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    cuts = np.searchsorted(begin, offset)
+    later = own > lowest[which]
+    runs = np.where(later, 1, np.diff(cuts)[which])
+    last = np.cumsum(runs)
+    one = np.repeat(np.arange(len(own)), runs)
+    run = np.minimum(np.arange(len(one)) - np.repeat(last - runs - cuts[which], runs), max(0, len(begin) - 1))
+    whole, base = later[one], at[one]
+    begin, end = (np.append(begin, 0)[run] - offset[which[one]], np.append(end, 0)[run] - offset[which[one]] + length - 1)
+    ranges = np.stack([doc[one], base + np.where(whole, 0, begin), base + np.where(whole, size[one], end)], axis=1)
+    rows = np.cumsum([0, *(len(sizes[i]) for i in live)])
+    edges = np.concatenate([[0], last])[rows]
+    for k, i in enumerate(live):
+        out[i] = ranges[edges[k]:edges[k + 1]]
     return out
 
 
