@@ -36,6 +36,7 @@ from tidemark.llm.minhash import mix
 LENGTH = 50
 #: Bytes of text in a batch, and of text per part (a part gets some 0.6 bytes of stretches for each).
 BATCH_BYTES, PART_BYTES = 12_000_000, 2_500_000
+LEAST_BATCH = 1_000_000
 #: Different hashes of a bucket in which batches compare them.
 BUCKET_HASHES = 1_000_000
 #: Documents in the sample for frequent hashes: so many, or one of so many; occurrences there; documents they must stand for.
@@ -411,7 +412,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None
     data = text_of().cast("binary")
     total = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length(data)).alias("bytes")).first()
     size = total["bytes"] or 0
-    batches, parts = 1 + size // batch_bytes, 1 + size // part_bytes
+    # small tables are dealt to all cores
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    batches, parts = 1 + max(size // batch_bytes, min(4 * cores, size // LEAST_BATCH)), 1 + size // part_bytes
     buckets = 1 + size // (16 * BUCKET_HASHES)  # a key for every 16 bytes or so
     plain = docs.select("doc_id", data.alias("data"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     often = frequent(plain, total["rows"], length, least_docs)
