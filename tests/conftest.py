@@ -51,13 +51,3 @@ def panel(spark, panel_pdf):
         for r in panel_pdf.itertuples(index=False)
     ]
     return spark.createDataFrame(rows, "who string, at timestamp, id long, x double, z double").repartition(4).cache()
-
-
-def rows_of(df, *order):
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple(str(v) for v in r))
-
-
-def close(a, b, tol=1e-9):
-    if a is None or b is None:
-        return a is None and b is None
-    return abs(a - b) <= tol * max(1.0, abs(a), abs(b))

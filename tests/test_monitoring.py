@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import close
+from helpers import close
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import close
+from helpers import close
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, fill, frames

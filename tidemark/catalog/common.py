@@ -60,5 +60,16 @@ def sr(expression: str, digits: int = 6) -> str:
     return f"(round({expression}, {digits}) + 0.0)"
 
 
+def even_sql(expression: str, digits: int) -> str:
+    """Rounding of halves to even in SQL."""
+    y = f"(({expression}) * CAST(1e{digits} AS DOUBLE))"
+    return f"((CASE WHEN abs({y} - trunc({y})) = 0.5 THEN 2 * round({y} / 2) ELSE round({y}) END) / CAST(1e{digits} AS DOUBLE) + 0.0)"
+
+
+def steady_sql(expression: str) -> str:
+    """An average by an exact sum of ten decimal digits in SQL."""
+    return f"(CAST(sum(CAST({expression} AS DECIMAL(28, 10))) AS DOUBLE) / count({expression}))"
+
+
 def long_sql(cols=TARGETS, source: str = "lineitem") -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM {source}" for c in cols)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.catalog.common import CUT, GAPPED, TARGETS, USERS, W, events, gapped, r, sr, table
+from tidemark.catalog.common import CUT, GAPPED, TARGETS, USERS, W, even_sql, events, gapped, r, sr, steady_sql, table
+from tidemark.functions.stats import half_even
 from tidemark.operators import drift, frames, metrics, quality
 
 SHIP_CUT = "1998-06-01"
@@ -173,7 +174,7 @@ def metrics_ranked(spark, path):
     """Metrics as a map per model and back to a table."""
     maps = metrics.metrics_map(metrics.regression_metrics(_log(spark, path)))
     out = metrics.metrics_table(maps, "model")
-    return out.select("model", "target", *[r(c, 5).alias(c) for c in ("MAE", "RMSE", "R2")])
+    return out.select("model", "target", *[half_even(F.col(c), 5).alias(c) for c in ("MAE", "RMSE", "R2")])
 
 
 def champion(spark, path):
@@ -252,12 +253,12 @@ _WASS = f"""SELECT feature AS "column", {sr('d')} AS distance, {sr('d / sd')} AS
   (SELECT feature, sum(abs(rc / n1 - cc / n2) * (nx - value)) AS d FROM {_steps(SIDES)} GROUP BY feature)
   JOIN (SELECT feature, stddev_pop(value) AS sd FROM ({SIDES}) WHERE NOT cur GROUP BY feature) USING (feature)"""
 _QUALITY = ", ".join(
-    f"{sr(x, 4)} AS {n}" for n, x in (
-        ("MAE", "avg(absolute_error)"), ("RMSE", "sqrt(avg(squared_error))"), ("mean_y_true", "avg(y_true)"),
-        ("mean_y_pred", "avg(y_pred)"), ("mean_inference_ms", "avg(inference_time_ms)"))
+    f"{even_sql(x, 4)} AS {n}" for n, x in (
+        ("MAE", steady_sql("absolute_error")), ("RMSE", f"sqrt({steady_sql('squared_error')})"), ("mean_y_true", steady_sql("y_true")),
+        ("mean_y_pred", steady_sql("y_pred")), ("mean_inference_ms", steady_sql("inference_time_ms")))
 ) + ", count(*) AS count"
-_METRICS = f"""(SELECT model, target, count(*) AS n, avg(absolute_error) AS MAE, avg(squared_error) AS MSE,
-  sqrt(avg(squared_error)) AS RMSE, 1 - sum(squared_error) / (var_pop(y_true) * count(*)) AS R2 FROM {LOG}
+_METRICS = f"""(SELECT model, target, count(*) AS n, {steady_sql('absolute_error')} AS MAE, {steady_sql('squared_error')} AS MSE,
+  sqrt({steady_sql('squared_error')}) AS RMSE, 1 - sum(squared_error) / (var_pop(y_true) * count(*)) AS R2 FROM {LOG}
   GROUP BY model, target)"""
 _SUMMARY = f"(SELECT model, avg(MAE) AS avg_mae, avg(RMSE) AS avg_rmse, avg(R2) AS avg_r2 FROM {_METRICS} GROUP BY model)"
 _TYPES = f"""(SELECT event_type, count(*) FILTER (ts < TIMESTAMP '{CUT}') AS r, count(*) FILTER (ts >= TIMESTAMP '{CUT}') AS c
@@ -377,7 +378,7 @@ SQL = {
       GROUP BY GROUPING SETS ((model), (model, location), (model, target))""",
     "reg_metrics": f"SELECT model, target, n, {_round_list(('MAE', 'MSE', 'RMSE', 'R2'), 5)} FROM {_METRICS}",
     "reg_summary": f"SELECT model, {_round_list(('avg_mae', 'avg_rmse', 'avg_r2'), 5)} FROM {_SUMMARY}",
-    "metrics_ranked": f"SELECT model, target, {_round_list(('MAE', 'RMSE', 'R2'), 5)} FROM {_METRICS}",
+    "metrics_ranked": f"SELECT model, target, {', '.join(f'{even_sql(c, 5)} AS {c}' for c in ('MAE', 'RMSE', 'R2'))} FROM {_METRICS}",
     "champion": f"""SELECT true AS success, arg_max(model, avg_r2) AS best_model, {sr('max(avg_r2)', 5)} AS best_r2,
       max(avg_r2) >= 0.7 AS meets_threshold, CAST(0.7 AS DOUBLE) AS threshold, 'ok' AS reason FROM {_SUMMARY}""",
     "performance_split": f"""SELECT CASE WHEN ts >= TIMESTAMP '{CUT}' THEN 'current' ELSE 'reference' END AS side,

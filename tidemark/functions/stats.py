@@ -6,6 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded to ``digits``, halves to the even neighbour of the scaled value."""
+    return F.rint(x * 10.0 ** digits) / 10.0 ** digits
+
+
+def steady_avg(x: Column) -> Column:
+    """The average by an exact sum of ten decimal digits, which no order of the rows changes in its last bits.
+
+    Where a value doesn't fit (1e18 and more, not finite) it is the plain average.
+    """
+    exact = x.try_cast("decimal(28,10)")
+    return F.when(F.count(exact) == F.count(x), F.try_sum(exact).cast("double") / F.count(x)).otherwise(F.avg(x))
+
+
 def sample_skewness(x: Column) -> Column:
     n = F.count(x).cast("double")
     return F.when(n > 2, F.coalesce(F.skewness(x), F.lit(0.0)) * F.sqrt(n * (n - 1)) / (n - 2))

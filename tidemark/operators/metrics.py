@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
-from tidemark.functions.stats import r_squared
+from tidemark.functions.stats import half_even, r_squared, steady_avg
 
 MIN_SAMPLES = 50
 
@@ -36,18 +36,19 @@ def prediction_rows(df: DataFrame, targets: Sequence[str], y_true: str = "y_true
 
 
 def _quality() -> list[Column]:
+    mean = lambda c: half_even(steady_avg(F.col(c)), 4)
     return [
-        F.round(F.avg("absolute_error"), 4).alias("MAE"),
-        F.round(F.sqrt(F.avg("squared_error")), 4).alias("RMSE"),
+        mean("absolute_error").alias("MAE"),
+        half_even(F.sqrt(steady_avg(F.col("squared_error"))), 4).alias("RMSE"),
         F.count("absolute_error").alias("count"),
-        F.round(F.avg("y_true"), 4).alias("mean_y_true"),
-        F.round(F.avg("y_pred"), 4).alias("mean_y_pred"),
-        F.round(F.avg("inference_time_ms"), 4).alias("mean_inference_ms"),
+        mean("y_true").alias("mean_y_true"),
+        mean("y_pred").alias("mean_y_pred"),
+        mean("inference_time_ms").alias("mean_inference_ms"),
     ]
 
 
 def quality_summary(log: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """MAE, RMSE, count, means per key list, rounded to 4."""
+    """MAE, RMSE, count, means per key list, rounded to 4 (halves to even); sums don't depend on the order of rows."""
     return log.groupBy(*[col(b) for b in by]).agg(*_quality())
 
 
@@ -74,8 +75,8 @@ def regression_metrics(long: DataFrame, by: Sequence[str] = ("model", "target"),
     both = long.where(col(y_true).isNotNull() & col(y_pred).isNotNull())
     one = both.groupBy(*[col(b) for b in by]).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(F.abs(e)).alias("MAE"),
-        F.avg(e * e).alias("MSE"),
+        steady_avg(F.abs(e)).alias("MAE"),
+        steady_avg(e * e).alias("MSE"),
         F.sum(e * e).alias("_sse"),
         F.var_pop(col(y_true)).alias("_var"),
     )
