@@ -141,14 +141,38 @@ def test_quality_counts_and_verdict(spark, odd_docs, no_docs):
 
 
 def test_quality_sketch_merges(spark):
-    rows = [("en", "a" if i % 3 else "b", 10 + i % 7, 10, i % 2, 0, 0, False) for i in range(300)]
+    rows = [("en", "a" if i % 3 else "b", 10 + i % 7, 10 + i % 3, i % 2, 0, 0, False) for i in range(300)]
     df = spark.createDataFrame(rows, "lang string, source string, word_chars long, n_words long, n_symbols long, n_dup_lines long, "
                                      "n_repeat_words long, base_failed boolean")
-    one = quality.fences(quality.sketches(df), "lang").first().fence
-    values = sorted((10 + i % 7) / 10 for i in range(300))
-    q1, q3 = values[74], values[224]
-    spread = quality.FENCE * (q3 - q1) + quality.SLACK["mean_word"]
-    assert abs(one.mean_word_hi - (q3 + spread)) < 0.1 and abs(one.mean_word_lo - (q1 - spread)) < 0.1
+    one = quality.quantiles(quality.sketches(df), "lang").first()["at"]
+    values = sorted((10 + i % 7) / (10 + i % 3) for i in range(300))
+    assert abs(one.mean_word_q1 / values[74] - 1) < 0.02 and abs(one.mean_word_q3 / values[224] - 1) < 0.02
+    assert abs(one.length / 11 - 1) < 0.02 and one.symbols_q1 == 0 and one.dup_lines_top == 0
+
+
+def test_quality_verdict_against_exact_quantiles(spark):
+    """The verdict of every document whose measures aren't within the sketch's error of a fence, and what each measure rejects."""
+    got = quality.assess(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    live = got[~got.base_failed]
+    assert not got[got.base_failed].kept.any()
+    x = {"mean_word": live.word_chars / live.n_words, "symbols": live.n_symbols / live.n_words, "dup_lines": live.n_dup_lines / live.n_words}
+    least = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+    rejected, near = {m: np.zeros(len(live), bool) for m in x}, np.zeros(len(live), bool)
+    for (lang, _), rows in live.groupby(["lang", "source"], dropna=False).groups.items():
+        at = live.index.isin(rows)
+        of_lang = (live.lang == lang).to_numpy()
+        wide = of_lang if of_lang.sum() >= quality.MIN_DOCS else np.ones(len(live), bool)
+        own = at if at.sum() >= quality.MIN_DOCS else wide
+        short = np.sqrt(np.maximum(1, least(live.n_words[own], 0.5) / live.n_words[at]))
+        for m, v in x.items():
+            q1, q3, top = least(v[own], 0.25), least(v[own], 0.75), least(v[wide], quality.PASS[m])
+            lo, hi = q1 - 3 * (q3 - q1) * short, np.maximum(q3 + 3 * (q3 - q1) * short, top)
+            rejected[m][at] = (v[at] < lo) | (v[at] > hi)
+            slack = (quality.GAMMA - 1) * np.maximum(top, q3 + 3 * (q1 + q3) * short) * 1.01
+            near[at] |= ((np.abs(v[at] - lo) < slack * (q1 > 0)) | (np.abs(v[at] - hi) < slack) & (v[at] != top)).to_numpy()
+    want = ~np.logical_or.reduce(list(rejected.values()))
+    assert (live.kept.to_numpy() == want)[~near].all() and near.mean() < 0.1
+    assert all(r.any() for r in rejected.values())
 
 
 # op5

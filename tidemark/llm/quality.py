@@ -1,9 +1,13 @@
 """Quality rules with thresholds that adapt to language and source.
 
 Fixed rules judge what a single text shows (too few words, repeated passages). The other measures have no fixed cutoff:
-a quantile sketch per language and source gives their quartiles, and a text is rejected beyond ``FENCE`` interquartile
-ranges. The sketch counts documents in logarithmic buckets (1 % relative error), so sketches merge by adding counts: the
-sketches of a language, and of the whole table, are sums of those of its sources, and serve sources of few documents.
+quantile sketches per language and source give their quartiles, and a text is rejected beyond ``FENCE`` interquartile ranges
+of them. Two things widen a fence, both read from the sketches. A share over few words varies more, by the root of their
+number, so a text shorter than the median of its group has a fence that much wider. And where most texts have the same value,
+as of symbols and repeated lines, quartiles say nothing: ``PASS`` of the documents of the language pass by such a measure.
+
+A sketch counts documents in logarithmic buckets (0.25 % relative error), so sketches merge by adding counts: the sketches of a
+language, and of the whole table, are sums of those of its sources, and serve sources of few documents.
 """
 
 from __future__ import annotations
@@ -23,12 +27,13 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-#: Measures per word, each with what counts as no difference: a spread of zero must not make a fence of zero width.
-SLACK = {"mean_word": 4.0, "symbols": 0.1, "dup_lines": 0.05}
+#: Measures per word, each with the share of a language's documents that its upper fence spares at least (none: quartiles only).
+PASS = {"mean_word": 0.0, "symbols": 0.9, "dup_lines": 0.995}
+LENGTH = "n_words"
 FENCE = 3.0
 #: Fewer documents than this borrow the sketch of the language, then of the table.
 MIN_DOCS = 50
-GAMMA = 1.02
+GAMMA = 1.005
 ZERO = -1_000_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
@@ -99,10 +104,11 @@ def rates() -> dict[str, Column]:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Documents per language, source, measure and bucket, of those that pass the fixed rules."""
+    """Documents per language, source, measure and bucket, of those that pass the fixed rules; also of their lengths."""
     x = F.col("_r")["x"]
     bucket = F.when(x <= 0, F.lit(ZERO)).otherwise(F.ceil(F.log(x) / math.log(GAMMA)))
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), r.alias("x")) for n, r in rates().items())))
+    values = {**rates(), LENGTH: F.col("n_words").cast("double")}
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), r.alias("x")) for n, r in values.items())))
     return (
         measured.where(~F.col("base_failed")).select("lang", "source", each.alias("_r"))
         .groupBy("lang", "source", F.col("_r")["measure"].alias("measure"), bucket.cast("long").alias("bucket"))
@@ -110,8 +116,9 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Per ``keys``: documents ``n`` and, for each measure, the lowest and highest accepted value."""
+def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """Per ``keys``: documents ``n`` and the struct ``at`` with the quartiles and the spared value (``top``) of each measure, and
+    the median length."""
     # at most some thousand buckets a group
     w = Window.partitionBy(*keys, "measure")
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
@@ -119,36 +126,43 @@ def fences(sketch: DataFrame, *keys: str) -> DataFrame:
                            F.sum("n").over(w).alias("n"))
     value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(
         2 * F.pow(F.lit(GAMMA), F.col("bucket").cast("double")) / (1 + GAMMA))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), value))
-    quartiles = ranked.groupBy(*keys, "measure").agg(F.max("n").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
-    spread, slack = FENCE * (F.col("q3") - F.col("q1")), F.create_map(*(F.lit(v) for kv in SLACK.items() for v in kv))[F.col("measure")]
-    wide = quartiles.select(*keys, "measure", "n", (F.col("q1") - spread - slack).alias("lo"), (F.col("q3") + spread + slack).alias("hi"))
+    # a bucket ends at its largest value, which the spared share takes in
+    end = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket").cast("double")) * (1 + 1e-12))
+    at = lambda q, v=value: F.min(F.when(F.col("upto") >= q * F.col("n"), v))
+    spared = F.create_map(*(F.lit(v) for kv in {**PASS, LENGTH: 0.0}.items() for v in kv))[F.col("measure")]
+    each = ranked.withColumn("_pass", spared).groupBy(*keys, "measure").agg(
+        F.max("n").alias("n"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), at(F.col("_pass"), end).alias("top"))
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
-    return wide.groupBy(*keys).agg(
+    return each.groupBy(*keys).agg(
         F.max("n").alias("n"),
-        F.struct(*(pick(m, c).alias(f"{m}_{c}") for m in SLACK for c in ("lo", "hi"))).alias("fence"))
+        F.struct(*(pick(m, c).alias(f"{m}_{c}") for m in PASS for c in ("q1", "q3", "top")), pick(LENGTH, "q2").alias("length")).alias("at"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """The ``fence`` of every language and source: its own, or that of the language or the table if it has few documents."""
-    own = fences(sketch, "lang", "source")
-    lang = fences(sketch, "lang").select(F.col("lang").alias("_l"), F.col("n").alias("_ln"), F.col("fence").alias("_lf"))
-    all_ = fences(sketch.withColumn("_all", F.lit(1)), "_all").select("_all", F.col("fence").alias("_af"))
+    """What judges every language and source: its own quantiles, or those of the language or the table if it has few documents,
+    and the wide ones of the language, or of the table."""
+    own = quantiles(sketch, "lang", "source")
+    lang = quantiles(sketch, "lang").select(F.col("lang").alias("_l"), F.col("n").alias("_ln"), F.col("at").alias("_la"))
+    all_ = quantiles(sketch.withColumn("_all", F.lit(1)), "_all").select("_all", F.col("at").alias("_aa"))
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("_l"))).withColumn("_all", F.lit(1)).join(all_, "_all")
-    fence = F.when(F.col("n") >= MIN_DOCS, F.col("fence")).when(F.col("_ln") >= MIN_DOCS, F.col("_lf")).otherwise(F.col("_af"))
-    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), fence.alias("fence"))
+    wide = F.when(F.col("_ln") >= MIN_DOCS, F.col("_la")).otherwise(F.col("_aa"))
+    return joined.select(F.col("lang").alias("_t_lang"), F.col("source").alias("_t_source"),
+                         F.when(F.col("n") >= MIN_DOCS, F.col("at")).otherwise(wide).alias("_t_own"), wide.alias("_t_wide"))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """``measured`` with ``kept``: it passes the fixed rules and lies within the fences of its language and source."""
     inside = F.lit(True)
+    short = F.sqrt(F.greatest(F.lit(1.0), F.col("_t_own.length") / F.col("n_words")))
     for name, rate in rates().items():
-        inside &= rate.between(F.col(f"fence.{name}_lo"), F.col(f"fence.{name}_hi"))
-    same = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
+        q1, q3 = F.col(f"_t_own.{name}_q1"), F.col(f"_t_own.{name}_q3")
+        width = FENCE * (q3 - q1) * short
+        inside &= rate.between(q1 - width, F.greatest(q3 + width, F.col(f"_t_wide.{name}_top")))
+    same = F.col("lang").eqNullSafe(F.col("_t_lang")) & F.col("source").eqNullSafe(F.col("_t_source"))
     return (
         measured.join(small(limits), same, "left")
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.when(~F.col("base_failed"), inside), F.lit(False)))
-        .drop("t_lang", "t_source", "fence")
+        .drop("_t_lang", "_t_source", "_t_own", "_t_wide")
     )
 
 
