@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -112,6 +113,32 @@ def test_pages_keep_linked_lines_of_an_article():
     assert pages.extract(html).split("\n\n") == ["Title", ("A long text. " * 40).strip(), *(f"Reference number {i}" for i in range(4)), "The end."]
 
 
+def test_pages_by_line_blocks():
+    text = "A paragraph of the story that is long enough to be one. " * 6
+    story = [f"{text}{i}" for i in range(8)]
+    body = "".join(f"<p>{p}</p>" for p in story)
+    for html in (f"<div>{body}</div><article class='comment'><p>First! great post</p></article>", f"<form>{body}</form>",
+                 f"<form><div class=nav>menu</div><article>{body}</article></form>", f"<header>{body}",
+                 f"<p>Our newsletter is free of charge.</p><article>{body}</article><p>Other words after it all, and more of them here.</p>",
+                 f"<div><a href=x>Home and away</a></div>{body}<ul>{'<li><a href=x>another story</a>' * 9}</ul>"):
+        assert pages.extract(html).split("\n\n") == story, html
+    assert pages.extract(f"<article><header><h1>Title</h1></header>{body}<p>x</p></article>").split("\n\n") == ["Title", *story, "x"]
+    # a page whose only article is a teaser without a mark doesn't lose its text
+    assert pages.extract(f"<div>{body}</div><article>Other story</article>").split("\n\n")[:8] == story
+    assert pages.extract("<nav>menu</nav><footer>imprint</footer>") == ""
+
+
+def test_pages_in_linear_time():
+    start = time.time()
+    pages.extract("<div><b>" * 100_000 + "x" + "</i></u>" * 100_000)
+    assert time.time() - start < 20
+
+
+def test_windows_rise_and_fall():
+    assert pages.runs([5, 9, 0, 0, 0, 0, 8, 0, 9, 0, 0, 0, 1], [5, 9, 0, 0, 0, 0, 8, 0, 9, 0, 0, 0, 1]) == [(0, 2), (6, 9)]
+    assert pages.runs([], []) == [] and pages.runs([0, 0], [0, 0]) == []
+
+
 # op4
 
 def plain_counts(text):
