@@ -222,7 +222,8 @@ def plain_components(rows, percent):
             root[max(top(i), top(j))] = min(top(i), top(j))
     least = {}
     for i, (d, _) in enumerate(rows):
-        least[top(i)] = min(least.get(top(i), d), d)
+        known = [x for x in (least.get(top(i)), d) if x is not None]
+        least[top(i)] = min(known) if known else None
     return [(d, len(sets[i]), least[top(i)], d == least[top(i)]) for i, (d, _) in enumerate(rows)]
 
 
@@ -235,7 +236,8 @@ def test_minhash_matches_all_pairs(spark, odd_docs, no_docs):
         for at in rng.integers(0, 150, rng.integers(0, 5)):
             words[at] = f"n{i}_{at}"
         rows.append((2000 + i, " ".join(words)))
-    docs = odd_docs.where("doc_id is not null and doc_id <> 111").select("doc_id", "text").union(
+    rows += [(None, " ".join(base) + " x"), (None, " ".join(base) + " y"), (None, "a copy without any id " * 3), (None, "a copy without any id " * 3)]
+    docs = odd_docs.where("doc_id is null or doc_id <> 111").select("doc_id", "text").union(
         spark.createDataFrame(rows, "doc_id long, text string"))
     plain = [(r.doc_id, r.text) for r in docs.collect()]
     got = minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()
@@ -258,6 +260,20 @@ def test_one_per_group_keeps_columns(odd_docs):
     assert out.columns == odd_docs.columns and 100 in ids and 101 not in ids and 104 in ids and 105 in ids
 
 
+def test_one_per_group_decides_by_row(spark):
+    """Near copies with missing, equal and repeated ids: one row of each group stays, with its columns."""
+    words = [f"w{i}" for i in range(100)]
+    near = lambda i: " ".join([*words[:i], f"z{i}", *words[i + 1:]])
+    rows = [(3, near(1), 1), (None, near(2), 2), (None, near(3), 3), (None, "only here without id and long enough", 4), (None, "only here without id and long enough", 5),
+            (7, "one text of a repeated id that is here", 6), (7, "another text of the same id, not alike", 7), (8, "the same row twice is here in full", 8),
+            (8, "the same row twice is here in full", 8), (9, None, 9), (9, None, 10), (None, "", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _ref int")
+    out = minhash.one_per_group(docs, 80)
+    assert out.columns == docs.columns
+    got = sorted(r._ref for r in out.collect())
+    assert got in ([1, 4, 6, 7, 8, 9, 10, 11], [1, 5, 6, 7, 8, 9, 10, 11])
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)], "a binary, b binary")
     assert {bytes(r.label) for r in minhash.components(links).collect()} == {bytes([0])}
@@ -363,10 +379,19 @@ def test_langid_sample_is_the_least_hashes(spark):
     for r in langid.sample(docs, 50).collect():
         got[r.lang].add(int(r.text))
     for lang, ids in got.items():
-        first = docs.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id")).limit(50).collect()
+        first = docs.where(F.col("lang") == lang).orderBy(F.xxhash64("text")).limit(50).collect()
         assert ids == {r.doc_id for r in first}
 
 
+def test_langid_sample_with_repeated_and_missing_ids(spark):
+    rows = [(1, f"text {i}", "a") for i in range(3000)] + [(None, f"other {i}", "b") for i in range(600)] + [(2, "the same", "c")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for limit, want in ((50, {"a": 50, "b": 50, "c": 1}), (5000, {"a": 3000, "b": 600, "c": 1})):
+        got = langid.sample(docs, limit).collect()
+        assert {k: sum(r.lang == k for r in got) for k in "abc"} == want
+    assert langid.train(docs).languages == ["a", "b", "c"]
+
+
 def test_langid(spark, odd_docs, no_docs):
     net = langid.train(odd_docs.where("doc_id % 4 <> 2"))
     out = langid.identify(odd_docs, net).collect()
@@ -384,7 +409,7 @@ def test_langid(spark, odd_docs, no_docs):
 
 def test_folded_tables_equal_the_convolution():
     rng = np.random.default_rng(0)
-    net = langid.fit(["abc def" * 9, "xyz uvw" * 9], ["a", "b"], epochs=1)
+    net = langid.fit([langid.cut("abc def" * 9), langid.cut("xyz uvw" * 9)], ["a", "b"], epochs=1)
     text = "".join(chr(c) for c in rng.integers(97, 122, 256))
     x = langid.windows(text.encode()).astype(int)
     top = np.concatenate([langid.convolve(x, t, b).max(axis=1) for t, b in zip(net.filters, net.biases, strict=True)], axis=1)

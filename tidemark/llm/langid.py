@@ -4,8 +4,9 @@ The text is cut into windows of ``WINDOW`` bytes. Filters of two, three and four
 through a softmax, and the log-probabilities of all windows of a text, weighted by their length, are added. A filter is a
 table of 256 rows per byte it covers, so applying it is a look-up: a pair of bytes needs one.
 
-The network is fitted on the driver, on windows of at most ``PER_LANGUAGE`` documents of each language, chosen by a hash of
-the doc_id. A null text or one without a letter is ``und`` with score 0, as is every text if there is nothing to learn from.
+The network is fitted on the driver, on windows of at most ``PER_LANGUAGE`` different texts of each language, chosen by a hash
+of the text; windows are cut where the texts are. Rows that repeat a text or a doc_id, or have none, count by their texts. A
+null text or one without a letter is ``und`` with score 0, as is every text if there is nothing to learn from.
 """
 
 from __future__ import annotations
@@ -50,21 +51,24 @@ def held_out(key: Column, buckets: int, rest: int) -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """``lang, text`` of the chosen learning rows: those of each language whose doc_id has the least hash.
+    """``lang, text`` of the chosen learning rows: the different texts of each language that have the least hashes.
 
-    Hashes are uniform, so the count of a language tells below which hash its chosen rows lie, but for a chance of less than
-    1e-9; only rows below that are ranked, however large the table.
+    Hashes are uniform, so the number of a language's texts tells below which hash its chosen ones lie, but for a chance of less
+    than 1e-9; only texts below that are ranked, however large the table. Copies of a text have one hash and are combined
+    before they meet, so a language gives ``per_language`` rows at most.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    place = F.xxhash64("doc_id") / 2.0 ** 64 + 0.5
-    least = usable.groupBy(F.col("lang").alias("_lang")).agg(
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", F.xxhash64(text_of()).alias("_hash"))
+    place = F.col("_hash") / 2.0 ** 64 + 0.5
+    texts = usable.select("lang", "_hash").distinct()
+    least = texts.groupBy(F.col("lang").alias("_lang")).agg(
         ((per_language + 8 * per_language ** 0.5 + 32) / F.count("*")).alias("_below"))
-    order = Window.partitionBy("lang").orderBy("_place", "doc_id")
-    chosen = (usable.select("doc_id", "lang", place.alias("_place")).join(small(stage(least, "languages")), F.col("lang") == F.col("_lang"))
-              .where("_place <= _below").withColumn("_n", F.row_number().over(order))
-              .where(F.col("_n") <= per_language).select("doc_id", "lang"))
-    # at most per_language rows a language
-    return usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    order = Window.partitionBy("lang").orderBy("_hash")
+    chosen = (texts.join(small(stage(least, "languages")), F.col("lang") == F.col("_lang"))
+              .where(place <= F.col("_below")).withColumn("_n", F.row_number().over(order))
+              .where(F.col("_n") <= per_language).select("lang", "_hash"))
+    found = usable.join(small(stage(chosen, "chosen")), ["lang", "_hash"], "left_semi")
+    return found.groupBy("lang", "_hash").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def windows(data: bytes) -> np.ndarray:
@@ -75,6 +79,14 @@ def windows(data: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
+def cut(text: str) -> list[bytes]:
+    """The windows of a text that are learnt from: ``PER_DOCUMENT``, evenly spread; none if it has no letter."""
+    if not _LETTER.search(text):
+        return []
+    w = windows(text.encode("utf-8", "surrogatepass"))
+    return [w[i].tobytes() for i in np.unique(np.linspace(0, len(w) - 1, min(PER_DOCUMENT, len(w))).astype(int))]
+
+
 def convolve(x: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Filter values at every place of every window."""
     n = x.shape[1] - len(table) + 1
@@ -89,18 +101,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], languages: list[str], seed: int = 7, epochs: int = EPOCHS) -> Network:
-    """The network for labelled texts, by Adam on cross-entropy with equal weight for each language."""
+def fit(parts: list[list[bytes]], languages: list[str], seed: int = 7, epochs: int = EPOCHS) -> Network:
+    """The network for the windows of labelled texts, by Adam on cross-entropy with equal weight for each language."""
     rng = np.random.default_rng(seed)
     names = sorted(set(languages))
-    xs, ys = [], []
-    for text, lang in zip(texts, languages, strict=True):
-        if not _LETTER.search(text):
-            continue
-        w = windows(text.encode("utf-8", "surrogatepass"))
-        pick = np.unique(np.linspace(0, len(w) - 1, min(PER_DOCUMENT, len(w))).astype(int))
-        xs.append(w[pick])
-        ys.append(np.full(len(pick), names.index(lang)))
+    xs = [np.frombuffer(w, np.uint8)[None, :] for part in parts for w in part]
+    ys = [np.full(1, names.index(lang)) for part, lang in zip(parts, languages, strict=True) for _ in part]
     net = Network(
         names, [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS],
         [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
@@ -143,9 +149,14 @@ def fit(texts: list[str], languages: list[str], seed: int = 7, epochs: int = EPO
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
     """A network from the sample of ``docs``; its text and lang only."""
-    # the documented bound: per_language rows a language
-    rows = sorted(sample(docs, per_language).collect(), key=lambda r: (r.lang, r.text))
-    return fit([r.text for r in rows], [r.lang for r in rows])
+
+    def make_step():
+        return lambda texts: {"windows": [cut(t) for t in texts.to_pylist()]}
+
+    # the documented bound: per_language rows a language, and PER_DOCUMENT windows of each
+    rows = add_from(sample(docs, per_language), text_of(), make_step, "windows array<binary>", ["lang"]).collect()
+    rows = sorted((r.lang, [bytes(w) for w in r.windows]) for r in rows)
+    return fit([w for _, w in rows], [lang for lang, _ in rows])
 
 
 def scorer(net: Network):

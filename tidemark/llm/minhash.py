@@ -11,7 +11,9 @@ coordinates are the buckets in which candidates meet.
 * Components are the least label, spread by hooking and pointer jumping over the links. Nothing is collected.
 
 Nulls and texts without a word have an empty set and no link. Fewer than five words are one shingle. Rows that repeat a
-doc_id are judged one by one; rows of equal text belong to one class whatever their doc_id.
+doc_id are judged one by one; rows of equal text belong to one class whatever their doc_id, also without one. A component's
+id is its least doc_id; if none of its rows has one it is null. ``one_per_group`` keeps one row of each component all the same.
+A text of very many shingles (the domain has 2^20 places) shares buckets with other such texts; that costs comparisons only.
 """
 
 from __future__ import annotations
@@ -111,7 +113,7 @@ def bands(sig: np.ndarray, count: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, key, n_shingles, bands``: the class key of the word sequence and the bucket keys of its set."""
+    """``doc_id, ref, key, n_shingles, bands``: the class key of the word sequence and the bucket keys of its set."""
     count, width = banding(percent)
 
     def make_step():
@@ -129,7 +131,12 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
 
         return step
 
-    return add_from(docs, text_of(), make_step, "key binary, n_shingles long, bands array<long>", keep=["doc_id"])
+    return add_from(docs, text_of(), make_step, "key binary, n_shingles long, bands array<long>", keep=["doc_id", "ref"])
+
+
+def referenced(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, ref`` of the rows; a hash of the text is the reference."""
+    return docs.select("doc_id", "text", F.xxhash64(text_of()).alias("ref"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -141,7 +148,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out = {"key": [], "set": []}
             for text, key in zip(rows["text"], rows["want"], strict=True):
                 words = words_of(text)
-                if xxhash.xxh3_128_digest(b" ".join(words)) != key:  # another text under the same doc_id
+                if xxhash.xxh3_128_digest(b" ".join(words)) != key:  # another text of the same reference
                     continue
                 out["key"].append(key)
                 out["set"].append(shingles(words, hashes).astype(np.int64))
@@ -149,8 +156,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return step
 
-    rows = docs.select("doc_id", text_of().alias("text")).join(
-        small(wanted.select(F.col("rep").alias("doc_id"), F.col("key").alias("want"))), "doc_id")
+    rows = referenced(docs).select("ref", text_of().alias("text")).join(
+        small(wanted.select("ref", F.col("key").alias("want"))), "ref")
     # a repeated row gives its class twice
     return map_batches(rows, make_step, "key binary, set array<long>").dropDuplicates(["key"])
 
@@ -268,21 +275,16 @@ def residual_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return grouped.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
-
-    Texts are linked when their sets of five-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
-    The bands follow from it: a pair at 0.85 is missed with a chance of 2.6e-5 (40 bands of 9 coordinates), one at 0.80 with
-    2.8e-5 (57 bands of 8).
-    """
-    rows = stage(sketch(docs, percent), "minhash")
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, ref, n_shingles, label, component_id`` for every row; ``label`` names its component (null: an empty set)."""
+    rows = stage(sketch(referenced(docs), percent), "minhash")
     classes = rows.where("n_shingles > 0").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("rep"), F.min("ref").alias("ref"), F.first("bands").alias("bands"))
     # bucket rows of classes, kept because stars and leftovers both read them
-    buckets = stage(classes.select("key", "rep", F.explode("bands").alias("bucket")), "buckets")
+    buckets = stage(classes.select("key", "ref", F.explode("bands").alias("bucket")), "buckets")
     buckets = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket")
     buckets = stage(buckets, "shared")
-    sets = stage(sets_of(docs, buckets.groupBy("key").agg(F.first("rep").alias("rep"))), "sets")
+    sets = stage(sets_of(docs, buckets.groupBy("key").agg(F.first("ref").alias("ref"))), "sets")
     pairs = buckets.select("key", "bucket")
     links = cut_lineage(verified(stars(pairs), sets, percent))
     label = cut_lineage(components(links).withColumnRenamed("node", "key"))
@@ -295,16 +297,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = reps.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     # only classes with a link need their component's least doc_id looked up
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    owner = named.join(least, "label").select("key", "component_id")
+    owner = named.join(least, "label").select("key", "label", "component_id")
+    return rows.select("doc_id", "ref", "key", "n_shingles").join(owner, "key", "left").drop("key")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Texts are linked when their sets of five-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
+    The bands follow from it: a pair at 0.85 is missed with a chance of 2.6e-5 (40 bands of 9 coordinates), one at 0.80 with
+    2.8e-5 (57 bands of 8).
+    """
     return (
-        rows.select("doc_id", "key", "n_shingles").join(owner, "key", "left")
+        grouped(docs, percent)
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
 def one_per_group(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents whose group is represented by them, with their columns."""
-    gone = near_duplicates(docs, percent).where(~F.coalesce("kept", F.lit(True))).select("doc_id").distinct()
-    gone = stage(gone, "copies")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group, that of the least doc_id (then text hash), and all rows without words; with their columns."""
+    rows = stage(grouped(docs, percent).where("label IS NOT NULL"), "groups")
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ref")).alias("b"))
+    won = rows.groupBy("label", "doc_id", "ref").agg(F.count("*").alias("n")).join(best, "label").withColumn(
+        "won", F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("ref") == F.col("b.ref")))
+    # a row that loses or occurs several times
+    judged = stage(won.where("NOT won OR n > 1").select(F.col("doc_id").alias("_judged_id"), F.col("ref").alias("_judged_ref"), F.col("won").alias("_judged_won")), "copies")
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text_of()))
+    same = F.col("doc_id").eqNullSafe(F.col("_judged_id")) & (F.col("_text_hash") == F.col("_judged_ref"))
+    left = keyed.join(small(judged), same, "left_anti")
+    again = judged.where("_judged_won")
+    if not again.isEmpty():
+        repeated = keyed.join(small(again), same, "left_semi")
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        one = repeated.groupBy("doc_id", "_text_hash").agg(F.first(F.struct(*columns)).alias("_row"))
+        left = left.select(*columns).union(one.select("_row.*"))
+    return left.select(docs.columns)
