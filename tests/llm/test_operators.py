@@ -457,3 +457,46 @@ def test_url_rules_outlast_the_growth_of_the_table(spark):
         spark.range(12).select(F.concat(F.lit("http://bad.net/"), "id"), F.lit(True)))
     asked = spark.createDataFrame([("http://bad.net/new",), ("http://good.net/new",)], "url string")
     assert {r.url: r.verdict for r in urls.judge(asked, labelled).collect()} == {"http://bad.net/new": "block", "http://good.net/new": "allow"}
+
+
+def plain_rules(labelled):
+    """Minimal sure token sets by looking at all sets of tokens that bad URLs share."""
+    sets = [(frozenset(t), b) for t, b in labelled]
+    tried, sure = set(), {}
+    for t, b in sets:
+        for k in range(1, len(t) + 1):
+            for c in itertools.combinations(sorted(t), k) if b else ():
+                tried.add(frozenset(c))
+    for c in tried:
+        n, bad = sum(c <= t for t, _ in sets), sum(c <= t for t, b in sets if b)
+        if bad >= urls.LEAST and bad / n >= urls.CONFIDENCE:
+            sure[c] = bad / n
+    return sure
+
+
+def test_url_rules_against_all_token_sets(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(400):
+        host = rng.choice(["a.net", "b.net", "c.d.net"])
+        path = "/".join(rng.choice(["p", "q", "r"], rng.integers(0, 3)))
+        key = "?k=1" if rng.random() < 0.4 else ""
+        rows.append((f"http://{host}/{path}{key}", bool(rng.random() < (0.85 if ("q" in path and key) or host == "c.d.net" else 0.15))))
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    split = labelled.withColumn("key", F.col("url")).withColumns(urls.parts("key"))
+    tokens = [(r.t, r.bad) for r in split.select(urls.tokens(F.col("key")).alias("t"), "bad").collect()]
+    sure = plain_rules(tokens)
+    asked = labelled.select("url").distinct()
+    own = {r.url: r.t for r in split.select("url", urls.tokens(F.col("key")).alias("t")).distinct().collect()}
+    for r in urls.judge(asked, labelled, rules=()).collect():
+        assert (r.verdict == "block") == any(c <= set(own[r.url]) for c in sure), r.url
+
+
+def test_url_rules_of_a_long_shared_path(spark):
+    path = "/".join(f"part{i}" for i in range(25))
+    rows = [(f"http://site.net/{path}/{i}", i % 4 != 0) for i in range(16)] + [(f"http://ok.net/{i}", False) for i in range(50)]
+    start = time.time()
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    asked = spark.createDataFrame([(f"http://site.net/{path}/new",), ("http://ok.net/new",)], "url string")
+    assert {r.verdict for r in urls.judge(asked, labelled).collect()} == {"block", "allow"}
+    assert time.time() - start < 60

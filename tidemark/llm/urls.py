@@ -5,6 +5,11 @@ FP-growth mines token combinations from the labelled URLs together with their la
 confidence and support are the rules. A rule with a smaller rule inside it that is as sure is left out. Rules are found by an
 inverted index: each is filed under one of its tokens, the rarest, joined there with the URLs, and then checked whole.
 
+FP-growth lists every subset of what occurs together, so three things are settled before it. A token of too few bad URLs is in
+no rule. A token of bad URLs only is a rule by itself, and no combination with it is surer. Tokens that always occur together
+(the parts of one long path) are one item, which a URL has if it has any of them: their combinations are equally sure, so the
+smallest, each token alone, would be the rules. What is left grows with the number of tokens of mixed URLs that nest.
+
 A given rule fits its host and every sub-domain, and paths that start with its path; the longest one wins. They are filed
 under their host, and URLs look up all parents of theirs.
 
@@ -56,19 +61,47 @@ def tokens(url: Column) -> Column:
         one("fragment", F.regexp_extract(url, r"(?s)#(.*)$", 1)), one("scheme", F.regexp_extract(url, r"(?s)^(.*?)://", 1))))
 
 
-def mine(baskets: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """``rule, size, confidence, support``: token sets that imply the block label, from ``items``, tokens and label."""
-    rows = baskets.count()
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, (LEAST - 0.5) / max(1, rows))), minConfidence=confidence).fit(baskets)
+def items_of(baskets: DataFrame) -> DataFrame:
+    """``token, item, pure``: the tokens that can be in a rule, the item they are part of, and whether it is a rule by itself."""
+    row = F.struct("row")
+    each = baskets.select(F.explode("tokens").alias("token"), F.col("bad").cast("long").alias("bad"),
+                          F.xxhash64(row).alias("x"), F.xxhash64(row, F.lit(1)).alias("y"))
+    # tokens of equal counts and sums of row hashes occur in the same rows
+    seen = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("b"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    seen = stage(seen.where(F.col("b") >= LEAST), "tokens")
+    same = ["n", "b", "x", "y"]
+    return seen.join(seen.groupBy(*same).agg(F.min("token").alias("item")), same).select(
+        "token", "item", (F.col("b") == F.col("n")).alias("pure"))
+
+
+def as_items(rows: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+    """``keys, items`` of the rows with ``tokens`` that have some of the items."""
+    each = rows.select(*keys, F.explode("tokens").alias("token")).join(small(items), "token")
+    return each.groupBy(*keys).agg(F.collect_set("item").alias("items"))
+
+
+def mine(baskets: DataFrame, items: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """``rule, size, confidence, support``: sets of items that imply the block label, from ``row, tokens, bad``."""
+    rows = max(1, baskets.count())
+    least = max(support, (LEAST - 0.5) / rows)
+    pure = items.where("pure").select("item").distinct()
+    mixed = as_items(baskets, items.where("NOT pure"), "row", "bad").select(
+        F.when(F.col("bad"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
+    mixed = stage(mixed, "baskets")
+    # shares are of the rows that have an item
+    some = max(1, mixed.count())
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least * rows / some), minConfidence=confidence).fit(mixed)
     sure = model.associationRules.where(F.array_contains("consequent", BLOCK)).select(
-        F.sort_array("antecedent").alias("rule"), F.size("antecedent").alias("size"), "confidence", "support")
+        F.sort_array("antecedent").alias("rule"), F.size("antecedent").alias("size"), "confidence",
+        (F.col("support") * some / rows).alias("support"))
     sure = stage(sure, "rules")
-    # a rule that holds a smaller one which is as sure adds nothing; rules meet at each of their tokens
+    # a rule that holds a smaller one which is as sure adds nothing; rules meet at each of their items
     each = sure.select("rule", "size", "confidence", F.explode("rule").alias("token"))
     lesser = each.select(F.col("rule").alias("r"), F.col("size").alias("s"), F.col("confidence").alias("c"), "token")
     spare = each.join(lesser, "token").where("s < size AND c >= confidence").where(
         F.size(F.array_except("r", "rule")) == 0).select("rule").distinct()
-    return sure.join(spare, "rule", "left_anti")
+    alone = pure.select(F.array("item").alias("rule"), F.lit(1).alias("size"), F.lit(1.0).alias("confidence"), F.lit(None).cast("double").alias("support"))
+    return sure.join(spare, "rule", "left_anti").select("rule", "size", "confidence", "support").union(alone)
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -94,11 +127,13 @@ def given(urls: DataFrame, rules=RULES) -> DataFrame:
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``; ``labelled`` has ``url`` and ``bad`` (boolean)."""
     split = lambda df: df.withColumn("key", F.coalesce("url", F.lit(""))).withColumns(parts("key"))
-    label = F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
-    baskets = split(labelled.select("url", "bad")).select(F.concat(tokens(F.col("key")), label).alias("items"))
-    mined = mine(stage(baskets, "baskets"), support, confidence)
+    baskets = split(labelled.select("url", "bad")).select(
+        F.monotonically_increasing_id().alias("row"), tokens(F.col("key")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad"))
+    baskets = stage(baskets, "labelled")
+    items = stage(items_of(baskets), "items")
+    mined = stage(mine(baskets, items, support, confidence), "mined")
     urls = stage(split(pages.select("url").distinct()).select("key", "host", "path", tokens(F.col("key")).alias("tokens")).distinct(), "urls")
-    found = match(urls, mined).withColumn("_hit", F.lit(True))
+    found = match(as_items(urls, items, "key").withColumnRenamed("items", "tokens"), mined).withColumn("_hit", F.lit(True))
     known = urls.select("key", "host", "path").join(given(urls, rules), "key", "left").join(found, "key", "left").select(
         "key", "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("_hit"), "block"), F.lit("allow")).alias("verdict"))
