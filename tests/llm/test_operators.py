@@ -91,6 +91,51 @@ def test_toxicity_counts_match_brute_force(spark):
     assert tuple(got) == (0, len(" abab ab ") - 3, len(" abab ") - 3, len(" abab ab ") - 3)
 
 
+def plain_evidence(learn, text):
+    """The difference of class-conditional log-likelihoods by dictionaries of strings, over the root of the length."""
+    from collections import Counter, defaultdict
+
+    spell = lambda t: "".join(map(chr, toxicity.letters(t).tolist()))
+    split = lambda t: [spell(t)[i:i + 4] for i in range(len(spell(t)) - 3)]
+    c = [Counter(g for t, k in learn if k == kind for g in split(t)) for kind in (0, 1)]
+    grams = set(c[0]) | set(c[1])
+    left = defaultdict(set)
+    for g in grams:
+        left[g[1:]].add(g[0])
+    follow = Counter()
+    for lower, before in left.items():
+        follow[lower[:2]] += len(before)
+    d = []
+    for k in (0, 1):
+        n1, n2 = (sum(n == i for n in c[k].values()) for i in (1, 2))
+        d.append(n1 / max(1, n1 + 2 * n2) if n1 else 0.5)
+    total, types = [Counter(), Counter()], [Counter(), Counter()]
+    for k in (0, 1):
+        for g, n in c[k].items():
+            total[k][g[:3]] += n
+            types[k][g[:3]] += 1
+    weight = lambda k, h: d[k] * types[k][h] / total[k][h] if total[k][h] else 1.0
+    out = 0.0
+    for g in split(text):
+        h = g[:3]
+        if g in grams:
+            p = [(max(c[k][g] - d[k], 0) / total[k][h] if total[k][h] else 0) + weight(k, h) * len(left[g[1:]]) / follow[g[1:3]] for k in (0, 1)]
+            out += np.log(p[1]) - np.log(p[0])
+        elif total[0][h] or total[1][h]:
+            out += np.log(weight(1, h)) - np.log(weight(0, h))
+    return out / np.sqrt(max(1, len(split(text))))
+
+
+def test_toxicity_evidence_is_plain_kneser_ney(spark):
+    rows = [(r.text, r.toxic) for r in toxic_rows(spark, 60).collect()]
+    learn = spark.createDataFrame([(t, k, False) for t, k in rows], "text string, toxic int, spare boolean")
+    llr = toxicity.model(toxicity.counts(learn), "all")
+    asked = ["the stone zorgken water", "zorgk", "entirely unseen wörds", "", "green green house zorgka that", "a"]
+    df = spark.createDataFrame([(t,) for t in asked], "text string")
+    for r in toxicity.evidence(df, llr, 10_000).collect() + toxicity.evidence(df, llr, 0).collect():
+        assert abs(r.evidence - plain_evidence(rows, r.text)) < 1e-4, r.text
+
+
 # op3
 
 def test_pages(spark):

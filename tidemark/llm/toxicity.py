@@ -221,7 +221,10 @@ def score(docs: DataFrame, learn: DataFrame, limit: int = BROADCAST_GRAMS, keep:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, fold: Column) -> DataFrame:
-    """``text, toxic, spare`` of the labelled documents whose ``fold`` isn't 0; fold 1 is spare."""
+    """``text, toxic, spare`` of the labelled documents whose ``fold`` isn't 0; fold 1 is spare.
+
+    Labels grow with the documents, so the join is by a shuffle at every size: texts move once, about their own size.
+    """
     named = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_toxic IN (0, 1)").distinct()
-    return docs.where(fold != 0).join(named, F.col("doc_id") == F.col("_id")).select(
+    return docs.where(fold != 0).join(named.hint("merge"), F.col("doc_id") == F.col("_id")).select(
         "text", F.col("_toxic").cast("int").alias("toxic"), (fold == 1).alias("spare"))
