@@ -66,8 +66,8 @@ def test_reads_skip_or_miss(spark):
         with pytest.raises(FileNotFoundError):
             miss()
     assert lake.pending(RAW, CLEAN) == lake.dates(RAW)
-    plan = lake.read_date(RAW, "2024-01-02")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(date" in plan
+    opened = lake.read_date(RAW, "2024-01-02").inputFiles()
+    assert opened and all("/date=2024-01-02/" in f for f in opened)
 
 
 def test_time_column_named_date(spark):
@@ -257,5 +257,90 @@ def test_read_joins_the_columns_of_all_partitions(spark, tmp_path):
     lake = Lake(spark, str(tmp_path / "lake"))
     spark.createDataFrame([(1,)], "a int").write.parquet(f"{lake.path('raw')}/date=2024-01-01")
     spark.createDataFrame([(2, "x")], "a int, b string").write.parquet(f"{lake.path('raw')}/date=2024-01-02")
+    with pytest.raises(FileNotFoundError):
+        lake.read("raw")  # files that no commit has entered
+    assert lake.log("raw").adopt() == 2 and lake.log("raw").adopt() == 0
     got = {(r["a"], r["b"]) for r in lake.read("raw").collect()}
     assert got == {(1, None), (2, "x")}
+
+
+def dated(spark, rows):
+    return spark.createDataFrame(rows, "date date, who string, x long")
+
+
+def test_file_table(spark, tmp_path):
+    """Commits, replaced and emptied dates, columns that widen, and files of writers that are not done."""
+    log = Lake(spark, str(tmp_path / "lake")).log("clean")
+    one, two = date(2024, 1, 1), date(2024, 1, 2)
+    first, counts = log.write(dated(spark, [(one, "a", 1), (one, "b", 2), (two, "a", 3)]), "append")
+    assert counts == [(one, 2), (two, 1)] and log.dates() == [one, two]
+    # a writer that has put its files but not committed them
+    dated(spark, [(one, "z", 9)]).withColumn("commit", F.lit("9-dead")).write.mode("append").partitionBy("date", "commit").parquet(log.layer)
+    assert log.read([one]).count() == 2 and log.read().count() == 3
+    log.write(dated(spark, [(one, "c", 4)]), "replace", [one, two])
+    assert log.dates() == [one] and [r.who for r in log.read().collect()] == ["c"]
+    assert log.dates(first) == [one, two] and log.read(upto=first).count() == 3  # as it was
+    log.write(dated(spark, [(two, "d", 5)]).withColumn("y", F.lit(1.5)), "append")
+    assert {(r.who, r.x, r.y) for r in log.read().collect()} == {("c", 4, None), ("d", 5, 1.5)}
+    assert {(r.date, r.rows) for r in log.counts().collect()} == {(one, 1), (two, 1)}
+    assert log.write(dated(spark, []), "append")[1] == []
+    with pytest.raises(ValueError):
+        log.write(dated(spark, []), "upsert")
+
+
+def test_columns_of_different_types():
+    from pyspark.sql.types import StructType
+
+    from tidemark.sources.filelog import merged
+
+    assert merged([StructType.fromDDL("a int, b string"), StructType.fromDDL("a bigint, c double")]).simpleString() == "struct<a:bigint,b:string,c:double>"
+    with pytest.raises(ValueError):
+        merged([StructType.fromDDL("a int"), StructType.fromDDL("a string")])
+
+
+def days(spark, who, first, n, value=1.0, start=0):
+    rows = [(who, START + timedelta(days=first + i), start + i, value + i % 7) for i in range(n)]
+    return spark.createDataFrame(rows, SPEC_SCHEMA)
+
+
+def replaced_dates(work):
+    """The dates of the last write of features."""
+    entries = work.lake.log(FEATURES).entries()
+    last = entries.agg(F.max("commit")).first()[0]
+    return sorted({r.date for r in entries.where(F.col("commit") == last).collect()})
+
+
+def test_a_late_row_rewrites_only_the_dates_it_reaches(spark):
+    """A dense and a sparse entity; rows that come weeks late change the next k rows of their entity."""
+    build = lambda: LakeJob(spark, scratch_path(spark, "job"), SPEC, ("x",), lags=(1, 3), windows=(2,))
+    gap = days(spark, "dense", 10, 1, start=500)
+    sparse = spark.createDataFrame([("sparse", START + timedelta(days=12 * i), 900 + i, float(i)) for i in range(6)], SPEC_SCHEMA)
+    dense = days(spark, "dense", 0, 10).union(days(spark, "dense", 11, 51, start=20))
+    late = spark.createDataFrame([("sparse", START + timedelta(days=13), 950, 7.5)], SPEC_SCHEMA)
+    work, full = build(), build()
+    work.run(dense.union(sparse))
+    work.ingest(gap)
+    work.clean()
+    done = work.features(lookback="rows")
+    near = [(START + timedelta(days=10 + i)).date() for i in range(4)]
+    assert replaced_dates(work) == near and set(done) <= set(near)
+    work.ingest(late)
+    work.clean()
+    work.features(lookback="rows")
+    assert replaced_dates(work) == [(START + timedelta(days=d)).date() for d in (13, 24, 36, 48)]
+    full.ingest(dense.union(sparse).union(gap).union(late))
+    full.clean()
+    full.features(lookback="rows")
+    assert content(work.lake.read(FEATURES)) == content(full.lake.read(FEATURES))
+
+
+def test_history_is_read_backwards_until_it_suffices(spark):
+    from tidemark.plans.lake_job import date_groups, tail_rows
+
+    lake = Lake(spark, scratch_path(spark, "lake"))
+    rows = days(spark, "a", 0, 40).union(spark.createDataFrame([("b", START + timedelta(days=i), 700 + i, 1.0) for i in (0, 2, 5, 39)], SPEC_SCHEMA))
+    lake.write(rows, CLEAN, "at")
+    dates = lake.dates(CLEAN)
+    tail = tail_rows(lake, CLEAN, SPEC, lake.read_date(CLEAN, dates[39]), dates[:39], 3)
+    assert sorted((r.who, r.id) for r in tail.collect()) == [("a", 36), ("a", 37), ("a", 38), ("b", 700), ("b", 702), ("b", 705)]
+    assert date_groups([dates[0], dates[3], dates[9]], dates, 4) == [[dates[0], dates[3]], [dates[9]]]

@@ -8,6 +8,7 @@ from tidemark.session import scratch_path
 from tidemark.sources.lake import RAW
 from tidemark.spec import PanelSpec
 from tidemark.streaming import ingest, serving
+from tidemark.streaming.predictions import PredictionSink
 
 SPEC = PanelSpec(("who",), "at", ("id",), targets=("x",))
 SCHEMA = "who string, at timestamp, id long, x double"
@@ -95,3 +96,59 @@ def test_bucket_quantiles(spark):
     assert row["p20"] == 0.005  # all of the first bucket
     assert abs(row["p50"] - (0.01 + 0.015 * (2.5 - 1) / 2)) < 1e-12
     assert row["p99"] == 10.0  # beyond the last bound
+
+
+def test_a_batch_touches_the_buckets_of_its_entities_only(spark):
+    land, out, check = (scratch_path(spark, n) for n in ("land", "out", "ck"))
+    many = [(f"e{i}", START + timedelta(hours=h), 100 * i + h, float(h)) for i in range(30) for h in range(3)]
+    one = [("e7", START + timedelta(hours=1, minutes=30), 5000, 9.0), ("e7", START + timedelta(hours=9), 5001, 8.0)]
+    for rows in (many, one):
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(land)
+        run(ingest.lag_stream(ingest.file_stream(spark, land, SCHEMA), SPEC, "x", (1, 2), out, check, buckets=8))
+    places = ingest.tail_places(spark, out, 9)
+    assert sorted(places.values()).count(1) == 1 and len(places) > 3
+    assert spark.read.parquet(f"{out}/_tail").where("batch = 1").select("bucket").distinct().count() == 1
+    got = {r["id"]: (r["x_lag_1"], r["x_lag_2"]) for r in ingest.lagged_rows(spark, out, SPEC).collect()}
+    assert len(got) == 92 and got[5000] == (1.0, 0.0) and got[702] == (9.0, 1.0) and got[5001] == (2.0, 9.0) and got[802] == (1.0, 0.0)
+
+
+def predictions(spark, ids):
+    return spark.createDataFrame([(START + timedelta(hours=i), "m", "l", "t", float(i), i + 0.5, 0.5, 0.25, 1.0) for i in ids],
+                                 "timestamp timestamp, model string, location string, target string, y_true double, y_pred double, "
+                                 "absolute_error double, squared_error double, inference_time_ms double")
+
+
+def test_prediction_sink_replays_and_crashes(spark, monkeypatch):
+    sink = PredictionSink(spark, scratch_path(spark, "sink"), 10)
+    values = lambda: sorted(r["y_true"] for r in sink.read().collect())
+    assert sink.read() is None and sink.seal() == 0
+    sink.write(predictions(spark, range(0, 4)), 0)
+    sink.write(predictions(spark, range(4, 8)), 1)
+    assert values() == list(range(8)) and sink.sealed().count() == 0
+    sink.write(predictions(spark, range(4, 8)), 1)  # replayed
+    assert values() == list(range(8))
+    note = sink._note
+
+    def dies(step, *rest):
+        if step == "sealed":
+            raise RuntimeError("killed")
+        note(step, *rest)
+
+    monkeypatch.setattr(sink, "_note", dies)
+    with pytest.raises(RuntimeError):  # files are written, the ledger doesn't have them
+        sink.write(predictions(spark, range(8, 25)), 2)
+    assert values() == list(range(25)) and sink.sealed().count() == 0
+    monkeypatch.setattr(sink, "_note", note)
+    sink.write(predictions(spark, range(8, 25)), 2)
+    assert values() == list(range(25)) and [tuple(r) for r in sink.sealed().collect()] == [(0, 2, 25)]
+    files = spark.read.parquet(f"{sink.path}/files/upto=2").inputFiles()
+    assert len(files) == 3
+    monkeypatch.setattr(sink, "_note", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):  # landed, not noted
+        sink.write(predictions(spark, [77]), 3)
+    assert values() == list(range(25))
+    monkeypatch.setattr(sink, "_note", note)
+    sink.write(predictions(spark, [25]), 3)
+    assert values() == list(range(26)) and sink.seal(1) == 1 and values() == list(range(26))
+    sink.write(predictions(spark, []), 4)
+    assert values() == list(range(26))

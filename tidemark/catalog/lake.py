@@ -74,6 +74,23 @@ def lookback_features_query(spark, path):
     return _rounded(out.drop("ts", "event_type", "date"))
 
 
+def lookback_partitions(spark, path):
+    """The same with a history of whole partitions: the last seven dates before the mark, and no row earlier than that."""
+    lake = _lake(spark, path, (CLEAN,))
+    dates = [d for d in lake.dates(CLEAN) if d.isoformat() >= MARK]
+    out = lookback_features(lake, USERS, ["value"], dates, (1, 3, 7), (3, 7), lookback="partitions")
+    return _rounded(out.drop("ts", "event_type", "date"))
+
+
+def layer_files(spark, path):
+    """A layer written twice: rows by date from its file table, beside those that a read of the layer gives."""
+    lake = _lake(spark, path, (CLEAN,))
+    late = _slim(spark, path).where((F.col("ts") >= CUT) & (F.col("event_type") != "error"))
+    lake.write(late, CLEAN, "ts")
+    read = lake.read(CLEAN).groupBy("date").agg(F.count(F.lit(1)).alias("read"), F.sum("event_id").alias("ids"))
+    return lake.counts(CLEAN).join(read, "date")
+
+
 def _job(spark, **options):
     return LakeJob(spark, scratch_path(spark, "lake"), USERS, ("value",), lags=(1, 3, 7), windows=(3, 7), **options)
 
@@ -96,6 +113,20 @@ def lake_incremental(spark, path):
     return _rounded(job.lake.read(FEATURES).drop("ts", "event_type", "date"))
 
 
+def lake_late_rows(spark, path):
+    """Errors of three days arrive weeks late: their dates and the dates of their users' next rows are built again."""
+    job = _job(spark)
+    rows = _slim(spark, path)
+    late = (F.col("event_type") == "error") & (F.to_date("ts").between("2024-01-04", "2024-01-06"))
+    job.ingest(rows.where(~late))
+    job.clean()
+    job.features(lookback="rows")
+    job.ingest(rows)
+    job.clean()
+    job.features(lookback="rows")
+    return _rounded(job.lake.read(FEATURES).drop("ts", "event_type", "date"))
+
+
 def inference_table(spark, path):
     """Model-ready features straight from the raw layer: fill, clip, build."""
     from tidemark.plans.lake_job import inference_features
@@ -238,7 +269,7 @@ QUERIES = {
     "lookback_features": lookback_features_query,
     **{f.__name__: f for f in (
         partition_counts, manifest_doc, list_dates, pending_dates, date_range_scan, date_scan, dates_scan, layer_snapshot,
-        lake_features, lake_incremental, inference_table, late_append, late_before_mark, reject_rows, lake_new_column,
+        lookback_partitions, layer_files, lake_late_rows, lake_features, lake_incremental, inference_table, late_append, late_before_mark, reject_rows, lake_new_column,
         late_side_table, watermark_state, csv_round_trip, csv_folder,
         json_pages, reference_snapshot, prediction_log_store, dataset_registry)},
 }
@@ -263,6 +294,12 @@ SQL = {
     "layer_snapshot": "SELECT event_id, ts, value FROM events",
     "lookback_features": f"""SELECT * EXCLUDE (ts) FROM (SELECT ts, user_id, event_id, value, {CYCLE_SQL}, {LAG_SQL},
       {ROLL_SQL} FROM events) WHERE value_lag_7 IS NOT NULL AND ts >= TIMESTAMP '{MARK}'""",
+    "lookback_partitions": f"""SELECT * EXCLUDE (ts) FROM (SELECT ts, user_id, event_id, value, {CYCLE_SQL}, {LAG_SQL},
+      {ROLL_SQL} FROM (SELECT * FROM events WHERE CAST(ts AS DATE) >= (SELECT min(d) FROM (SELECT DISTINCT CAST(ts AS DATE) AS d
+      FROM events WHERE ts < TIMESTAMP '{MARK}' ORDER BY d DESC LIMIT 7)))) WHERE value_lag_7 IS NOT NULL AND ts >= TIMESTAMP '{MARK}'""",
+    "layer_files": f"""SELECT CAST(ts AS DATE) AS date, count(*) AS rows, count(*) AS read, CAST(sum(event_id) AS BIGINT) AS ids
+      FROM events WHERE ts < TIMESTAMP '{CUT}' OR event_type <> 'error' GROUP BY 1""",
+    "lake_late_rows": _FEATURES.replace("SRC", _CLEAN),
     "lake_features": _FEATURES.replace("SRC", _CLEAN),
     "lake_incremental": _FEATURES.replace("SRC", _CLEAN),
     "inference_table": None,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.common import CUT, USERS, W, events, r, sr, table
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, stage
 from tidemark.streaming import ingest, serving
 
 
@@ -172,6 +172,22 @@ def stream_lags_late(spark, path):
     return ingest.lagged_rows(spark, target, USERS).select("user_id", "event_id", "value_lag_1", "value_lag_3")
 
 
+def stream_predictions(spark, path):
+    """Predictions that come in many small batches, gathered into files of 3,000 rows, with the last batch replayed."""
+    from tidemark.catalog.monitoring import _log
+    from tidemark.streaming.predictions import PredictionSink
+
+    log = stage(_log(spark, path).withColumn("timestamp", F.col("ts")).drop("ts"), "log")
+    root = scratch_path(spark, "predictions")
+    for day in range(6):
+        log.where(F.dayofmonth("timestamp") % 6 == day).coalesce(1).write.mode("append").parquet(root)
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    sink = PredictionSink(spark, scratch_path(spark, "sink"), 3_000)
+    _finish(sink.start(source, scratch_path(spark, "ck")))
+    sink.write(log.where("false"), 5)  # the ledger has it
+    return sink.read().select("event_id", "model", "location", "target", "y_true", *[r(c).alias(c) for c in ("y_pred", "absolute_error", "squared_error")])
+
+
 def stream_dedup_late(spark, path):
     """The later half first, then everything: repeated rows are kept once, late ones are not lost."""
     job = _stream_job(spark)
@@ -187,7 +203,7 @@ def stream_dedup_late(spark, path):
 QUERIES = {f.__name__: f for f in (
     serving_rate, serving_rate_sliding, serving_latency, inference_latency, preprocessing_latency, status_counts,
     success_pct, mean_prediction, drift_detections, stream_daily, stream_latency, stream_dedup, stream_incremental,
-    stream_late, stream_lags, stream_lags_late, stream_dedup_late,
+    stream_late, stream_lags, stream_lags_late, stream_predictions, stream_dedup_late,
 )}
 
 
@@ -246,3 +262,12 @@ def _incremental() -> str:
 
 SQL["stream_incremental"] = _incremental()
 SQL["stream_lags_late"], SQL["stream_dedup_late"] = SQL["stream_lags"], SQL["stream_dedup"]
+
+
+def _predictions() -> str:
+    from tidemark.catalog import monitoring
+
+    return monitoring.SQL["prediction_log"]
+
+
+SQL["stream_predictions"] = _predictions()

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +17,8 @@ from tidemark.operators import features, fill, frames, rows
 from tidemark.operators.panel import probe_layout
 from tidemark.operators.preprocess import clean_panel
 from tidemark.operators.quality import null_profile
+from tidemark.session import stage
+from tidemark.sources.filelog import new_commit
 from tidemark.sources.lake import CLEAN, DATE, FEATURES, RAW, Lake, with_date
 from tidemark.sources.manifest import Manifest
 from tidemark.sources.state import Watermark, WatermarkTable
@@ -131,24 +135,73 @@ class LakeJob:
         out = rows.dedup(df, self.spec.time, tiebreak=self.spec.tiebreak)
         out = fill.interpolate(out, daily, self.measures, self.fill_limit, layout)
         out = rows.drop_any_missing(out)
-        written = [d for d, _ in self.lake.write(out, CLEAN, self.spec.time)]
+        before = new_commit()
+        written = [d for d, _ in self.lake.write(out, CLEAN, self.spec.time, replaced=todo)]
         self.mark(CLEAN, todo, "done")
-        self.mark(FEATURES, written, "dirty")
+        later = [d for d in self.lake.dates(CLEAN) if d > min(todo) and d not in set(todo)]
+        touched = self.reached(self.changed(todo, before), later) if later else []
+        self.mark(FEATURES, sorted({*todo, *touched}), "dirty")
         return written
 
+    def changed(self, dates: Sequence[date], before: str) -> DataFrame:
+        """The entities (``_e0``, ...) and dates whose clean rows differ from those before that commit."""
+        log = self.lake.log(CLEAN)
+        new, held = log.read(dates), set(log.dates(before))
+        old = [d for d in dates if d in held]
+        if old:
+            was = log.read(old, before)
+            was = was.select(*[col(c) if c in was.columns else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns])
+            now = new.where(F.col(DATE).isin(old))
+            differs = now.exceptAll(was).union(was.exceptAll(now)).union(new.where(~F.col(DATE).isin(old)))
+        else:
+            differs = new
+        return differs.select(*_entity(self.spec), DATE).distinct()
+
+    def reached(self, changes: DataFrame, later: Sequence[date]) -> list[date]:
+        """Which of the sorted ``later`` dates have one of the next max(lag, window) rows after a change (entity and date).
+
+        Rows are counted per entity and date, over so many dates at a time as an entity needs, twice as many in each step;
+        entities that have found their rows leave.
+        """
+        k, found, at, step = max(*self.lags, *self.windows), set(), 0, 0
+        open_ = stage(changes.withColumns({"_from": F.col(DATE), "_have": F.lit(0).cast("long")}).drop(DATE), "changes")
+        names = [c for c in open_.columns if c.startswith("_e")]
+        match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names], F.lit(True)) if names else F.lit(True)
+        while at < len(later) and not open_.isEmpty():
+            step = max(2 * step, 2 * k)
+            days, at = later[at:at + step], at + step
+            seen = self.lake.log(CLEAN).read(days).select(*_entity(self.spec), DATE).groupBy(*names, DATE).agg(F.count(F.lit(1)).alias("_n"))
+            seen = seen.withColumnsRenamed({c: f"{c}_" for c in names})
+            each = Window.partitionBy(*names, "_from").orderBy(DATE)
+            after = stage(open_.join(seen, match & (F.col(DATE) > F.col("_from"))).withColumns({
+                "_before": F.col("_have") + F.coalesce(F.sum("_n").over(each.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                "_upto": F.col("_have") + F.sum("_n").over(each.rowsBetween(Window.unboundedPreceding, 0))}), "after")
+            # one row per date
+            found |= {r[DATE] for r in after.where(F.col("_before") < k).select(DATE).distinct().collect()}
+            far = after.groupBy(*[F.col(c).alias(f"{c}_") for c in names], F.col("_from").alias("_from_")).agg(F.max("_upto").alias("_upto"))
+            left = open_.join(far, match & (F.col("_from") == F.col("_from_")), "left").where(F.coalesce("_upto", "_have") < k)
+            open_ = stage(left.select(*names, "_from", F.coalesce("_upto", "_have").alias("_have")), "changes")
+        return sorted(found)
+
     def features(self, dates: Sequence[date] | None = None, lookback: str = "partitions",
                  following: bool = True) -> list[date]:
         """Features of the given (or pending) dates, computed with the history before them.
 
-        ``following`` also rebuilds the existing dates after the earliest one, whose lags reach into it.
+        What ``clean`` changes it notes together with the dates that the changes reach, so pending dates are complete. For
+        given dates, ``following`` adds those that their rows reach: the dates of each entity's next max(lag, window) rows.
         """
         todo = sorted(dates or self.pending(CLEAN, FEATURES))
         if not todo:
             return []
-        if following:
-            todo = [d for d in self.lake.dates(CLEAN) if d >= todo[0]]
-        out = lookback_features(self.lake, self.spec, self.measures, todo, self.lags, self.windows, lookback)
-        written = [d for d, _ in self.lake.write(out, FEATURES, self.spec.time)]
+        have = self.lake.dates(CLEAN)
+        if following and dates:
+            given = self.lake.log(CLEAN).read(todo).select(*_entity(self.spec), DATE).distinct()
+            todo = sorted({*todo, *self.reached(given, [d for d in have if d > todo[0] and d not in set(todo)])})
+        real = sorted(set(todo) & set(have))
+        written = []
+        if real:
+            out = lookback_features(self.lake, self.spec, self.measures, real, self.lags, self.windows, lookback)
+            written = [d for d, _ in self.lake.write(out, FEATURES, self.spec.time, replaced=todo)]
         self.mark(FEATURES, todo, "done")
         return written
 
@@ -168,7 +221,8 @@ class LakeJob:
             done["clean"] = self.clean(_with_pending(dates, self.pending(RAW, CLEAN)))
             dates = done["clean"] if stage == "all" else dates
         if stage in ("all", "features"):
-            done["features"] = self.features(_with_pending(dates, self.pending(CLEAN, FEATURES)))
+            # dates that were cleaned just now are pending with all that they reach
+            done["features"] = self.features(_with_pending(dates, self.pending(CLEAN, FEATURES)), following=stage == "features" and bool(dates))
         return done
 
 
@@ -213,19 +267,64 @@ def lookback_features(lake: Lake, spec: PanelSpec, measures: Sequence[str], date
     """Lags, rolling statistics and calendar encodings of ``dates``.
 
     ``partitions`` reads the last max(lags, windows) existing dates before them; ``rows`` takes exactly that many
-    rows per entity, which is exact for sparse entities and reads further back.
+    rows per entity, which is exact for sparse entities and reads further back for those. Dates far apart are computed on
+    their own, each with its history; dates between near ones are read, not returned.
     """
     if lookback not in ("partitions", "rows"):
         raise ValueError("lookback is 'partitions' or 'rows'")
-    k = max(*lags, *windows)
-    first = min(dates)
-    target = lake.read_dates(layer, dates)
-    layout = probe_layout(target, spec)
-    if lookback == "partitions":
-        df = lake.read_dates(layer, [*lake.before(layer, first, k), *dates])
-    else:
-        history = lake.read(layer).where(F.col(DATE) < F.lit(first))
-        df = frames.last_rows(history, spec, k).unionByName(target)
-    built = features.build_features(df, spec, measures, measures, lags, windows, layout=layout)
-    return built.where(F.col(DATE).isin(list(dates)))
-
+    k, have, parts = max(*lags, *windows), lake.dates(layer), []
+    for group in date_groups(sorted(set(dates)), have, 2 * k):
+        target = lake.read_dates(layer, [d for d in have if group[0] <= d <= group[-1]] or group)
+        layout = probe_layout(target, spec)
+        earlier = [d for d in have if d < group[0]]
+        if lookback == "partitions":
+            history = lake.log(layer).read(earlier[-k:])
+        else:
+            history = tail_rows(lake, layer, spec, target, earlier, k)
+        df = history.unionByName(target, allowMissingColumns=True)
+        built = features.build_features(df, spec, measures, measures, lags, windows, layout=layout)
+        parts.append(built.where(F.col(DATE).isin(group)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def date_groups(dates: Sequence[date], have: Sequence[date], gap: int) -> list[list[date]]:
+    """The sorted dates in runs between which more than ``gap`` of the existing dates lie."""
+    place = {d: i for i, d in enumerate(have)}
+    groups: list[list[date]] = []
+    for d in dates:
+        near = groups and place.get(d, 0) - place.get(groups[-1][-1], 0) <= gap
+        if near:
+            groups[-1].append(d)
+        else:
+            groups.append([d])
+    return groups
+
+
+def tail_rows(lake: Lake, layer: str, spec: PanelSpec, target: DataFrame, earlier: Sequence[date], k: int) -> DataFrame:
+    """The last ``k`` rows of ``target``'s entities on the sorted ``earlier`` dates.
+
+    Dates are read backwards, twice as many in each step, and only for the entities that still lack rows.
+    """
+    who = _entity(spec)
+    names = [f"_e{i}" for i in range(len(spec.entity))]
+    match = reduce(and_, [col(c).eqNullSafe(F.col(n)) for c, n in zip(spec.entity, names, strict=True)], F.lit(True))
+    open_ = stage(target.select(*who).distinct().withColumn("_lack", F.lit(k).cast("long")) if names
+                  else target.limit(1).select(F.lit(k).cast("long").alias("_lack")), "lacking")
+    found, at, step = lake.log(layer).read([]), len(earlier), 0
+    while at > 0 and not open_.isEmpty():
+        step = max(2 * step, 2 * k)
+        days, at = earlier[max(0, at - step):at], max(0, at - step)
+        rows_ = lake.log(layer).read(days)
+        near = frames.last_rows(rows_.join(open_.drop("_lack"), match, "left_semi") if names else rows_, spec, k)
+        found = stage(found.unionByName(near, allowMissingColumns=True), "tail")
+        counted = near.select(*[c.alias(f"{n}_") for c, n in zip(map(col, spec.entity), names, strict=True)]).groupBy(
+            *[f"{n}_" for n in names]).agg(F.count(F.lit(1)).alias("_n"))
+        same = reduce(and_, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names], F.lit(True))
+        left = open_.join(counted, same, "left").withColumn("_lack", F.col("_lack") - F.coalesce("_n", F.lit(0))).where("_lack > 0")
+        open_ = stage(left.select(*names, "_lack"), "lacking")
+    return frames.last_rows(found, spec, k)
+
+
+def _entity(spec: PanelSpec) -> list[Column]:
+    """The entity columns under the names ``_e0``, ``_e1``, ..."""
+    return [col(c).alias(f"_e{i}") for i, c in enumerate(spec.entity)]

@@ -1,4 +1,8 @@
-"""The date-partitioned lake: ``raw`` is append-only, ``clean`` and ``features`` can be rebuilt."""
+"""The date-partitioned lake: ``raw`` is append-only, ``clean`` and ``features`` can be rebuilt.
+
+Which files a layer has, with their rows and columns, says its file table (``filelog``): a read of some dates opens their
+files and nothing else, and a write knows what it wrote without looking at what was there.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import col
-from tidemark.sources.storage import exists, files, partition_dates
+from tidemark.sources.filelog import FileLog
+from tidemark.sources.storage import exists, files
 
 RAW, CLEAN, FEATURES = "raw", "clean", "features"
 LATE = "late_rows"
@@ -42,31 +47,46 @@ class Lake:
 
     # reading
 
+    def log(self, layer: str) -> FileLog:
+        return FileLog(self.spark, self.root, layer)
+
     def dates(self, layer: str) -> list[date]:
-        """Partition dates, sorted, from folder names alone."""
-        return partition_dates(self.spark, self.path(layer))
+        """Dates that have rows, sorted, from the layer's file table alone."""
+        return self.log(layer).dates()
 
     def date_table(self, layer: str) -> DataFrame:
         return self.spark.createDataFrame([(d,) for d in self.dates(layer)], "date date")
 
+    def counts(self, layer: str) -> DataFrame:
+        """Rows per date, from the layer's file table alone."""
+        return self.log(layer).counts()
+
     def read(self, layer: str) -> DataFrame:
         """The whole layer, with the columns of all its partitions; a partition without one of them holds nulls."""
-        if not exists(self.spark, self.path(layer)):
+        if layer == REJECTED:
+            return self._rejected()
+        if not exists(self.spark, self.log(layer).table):
             raise FileNotFoundError(f"layer {layer} is empty: {self.path(layer)}")
-        return self.spark.read.option("mergeSchema", "true").parquet(self.path(layer))
+        return self.log(layer).read()
+
+    def _rejected(self) -> DataFrame:
+        if not exists(self.spark, self.path(REJECTED)):
+            raise FileNotFoundError(f"no rejected rows: {self.path(REJECTED)}")
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path(REJECTED))
 
     def read_date(self, layer: str, day: date | str) -> DataFrame:
         day = date.fromisoformat(str(day))
         if day not in set(self.dates(layer)):
             raise FileNotFoundError(f"no {layer} partition for {day}")
-        return self.read(layer).where(F.col(DATE) == F.lit(day))
+        return self.log(layer).read([day])
 
     def read_range(self, layer: str, start: date | str, end: date | str) -> DataFrame:
         """Dates from start to end inclusive; missing dates are skipped, none at all is an error."""
         start, end = date.fromisoformat(str(start)), date.fromisoformat(str(end))
-        if not any(start <= d <= end for d in self.dates(layer)):
+        days = [d for d in self.dates(layer) if start <= d <= end]
+        if not days:
             raise FileNotFoundError(f"no {layer} partitions between {start} and {end}")
-        return self.read(layer).where(F.col(DATE).between(F.lit(start), F.lit(end)))
+        return self.log(layer).read(days)
 
     def read_dates(self, layer: str, days: Sequence[date | str]) -> DataFrame:
         wanted = [date.fromisoformat(str(d)) for d in days]
@@ -74,7 +94,7 @@ class Lake:
         found = [d for d in wanted if d in have]
         if not found:
             raise FileNotFoundError(f"none of the {len(wanted)} dates exist in {layer}")
-        return self.read(layer).where(F.col(DATE).isin(found))
+        return self.log(layer).read(found)
 
     def pending(self, source: str, target: str) -> list[date]:
         """Dates of ``source`` that ``target`` does not have yet."""
@@ -96,7 +116,7 @@ class Lake:
         have = set(self.dates(layer)) if DATE in df.columns else set()
         # one row per date
         old = [r[DATE] for r in df.select(DATE).distinct().collect() if r[DATE] in have] if have else []
-        return self._not_in(df, self.read(layer).where(F.col(DATE).isin(old)), key) if old else df
+        return self._not_in(df, self.log(layer).read(old), key) if old else df
 
     def _not_in(self, df: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
         names = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
@@ -108,8 +128,8 @@ class Lake:
         return df.join(right, reduce(and_, [*same, *[col(n).isNull() for n in names if n not in held]]), "left_anti")
 
     def write(self, df: DataFrame, layer: str, time: str, policy: str = "append", key: Sequence[str] = (),
-              overwrite: bool = False, once: bool = False, note: Callable[[date | None, str, int], None] | None = None
-              ) -> list[tuple[date, int]]:
+              overwrite: bool = False, once: bool = False, note: Callable[[date | None, str, int], None] | None = None,
+              replaced: Sequence[date] = ()) -> list[tuple[date, int]]:
         """Write one partition per date and return (date, rows written) of the dates touched.
 
         ``raw`` is immutable. Rows for a date that already exists follow ``policy``: ``append`` adds a file to
@@ -117,7 +137,7 @@ class Lake:
         readable time go to the ``rejected_rows`` table. The counts hold only rows really written to the layer; ``note``
         gets date, table and rows of what went elsewhere. With ``key`` or ``once``, rows already there (see
         ``unknown``) are dropped, so a job that died before moving its watermark can run again. The other layers
-        replace whole partitions.
+        replace whole partitions: those with rows in ``df``, and those in ``replaced``, which may become empty.
         """
         if policy not in POLICIES:
             raise ValueError(f"unknown policy {policy!r}; choose one of {POLICIES}")
@@ -126,7 +146,7 @@ class Lake:
         dated = df if DATE in df.columns and time != DATE else with_date(df, time)
         bad, dated = dated.where(F.col(DATE).isNull()).drop(DATE), dated.where(F.col(DATE).isNotNull())
         if layer != RAW:
-            return self._save(dated, layer, time, "overwrite")
+            return self._save(dated, layer, time, "replace", replaced)
         note = note or (lambda *_: None)
         rejected = self._reject(bad, key)
         if rejected:
@@ -159,24 +179,16 @@ class Lake:
     def append_late(self, df: DataFrame, time: str, batch: int, key: Sequence[str]) -> None:
         """Rows too late for their partition; a replayed batch adds nothing twice."""
         dated = with_date(df, time).withColumn("batch", F.lit(batch))
-        if exists(self.spark, self.path(LATE)):
+        if exists(self.spark, self.log(LATE).table):
             known = self.read(LATE).where(F.col("batch") == batch).select(*[col(k) for k in key])
             dated = dated.join(known, list(key), "left_anti").select(*[col(c) for c in dated.columns])
         self._save(dated, LATE, time, "append")
 
-    def _save(self, df: DataFrame, layer: str, time: str, mode: str) -> list[tuple[date, int]]:
+    def _save(self, df: DataFrame, layer: str, time: str, op: str, replaced: Sequence[date] = ()) -> list[tuple[date, int]]:
         # REBALANCE gathers a date into few files and splits a date that is too large for one task
         time = "event_time" if time == DATE else time
-        path = self.path(layer)
-        before = set(files(self.spark, path, ".parquet"))
         laid = df.hint("rebalance", DATE).sortWithinPartitions(DATE, col(time))
-        laid.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(path)
-        # the rows really written, counted from the footers of the new files rather than by running the job again
-        new = [f for f in files(self.spark, path, ".parquet") if f not in before]
-        if not new:
-            return []
-        counts = date_counts(self.spark.read.option("basePath", path).parquet(*new))
-        return sorted((r[DATE], r["rows"]) for r in counts.collect())
+        return self.log(layer).write(laid, op, replaced)[1]
 
     def snapshot(self, layer: str, path: str) -> DataFrame:
         """All partitions as one unpartitioned copy."""

@@ -89,58 +89,92 @@ def late_rows(job: LakeJob) -> DataFrame:
     return job.lake.read(LATE)
 
 
-def lag_stream(source: DataFrame, spec: PanelSpec, target: str, lags: Sequence[int], path: str, checkpoint: str
-               ) -> StreamingQuery:
+def lag_stream(source: DataFrame, spec: PanelSpec, target: str, lags: Sequence[int], path: str, checkpoint: str,
+               buckets: int = 64) -> StreamingQuery:
     """Lags on a stream: the last max(lags) rows of every entity carry over from micro-batch to micro-batch.
 
-    Each batch reads the tail the batch before it left, adds the lags with the ordinary (skew-safe) window, and writes
-    its rows and the new tail under its own batch id, so a replayed batch overwrites its own output and nothing else.
-    For entities with a late row (one that does not come after all rows before its batch) the rows written so far take the
-    tail's place, and those whose lags change are written again under the new batch id: ``lagged_rows`` reads the valid ones.
-    Rows are told apart by entity, time and tiebreak; a missing time sorts first and so is late.
+    Entities are dealt into ``buckets`` by a hash. A batch reads the tails of the buckets that its entities are in, adds the lags
+    with the ordinary (skew-safe) window, and writes its rows and those buckets' new tails under its own batch id, so it costs
+    what it touches, and a replayed batch overwrites its own output and nothing else. A small table per batch says which batch
+    wrote each bucket last.
+
+    For entities with a late row (one that does not come after all rows before its batch) the rows written so far to their
+    buckets take the tail's place, and those whose lags change are written again under the new batch id: ``lagged_rows`` reads
+    the valid ones. Rows are told apart by entity, time and tiebreak; a missing time sorts first and so is late.
     """
     spark = source.sparkSession
     depth, keys, keep = max(lags), [*spec.entity, *spec.order], [*spec.entity, *spec.order, target]
     names = [f"{target}_lag_{n}" for n in lags]
     order = lambda: F.struct(*[col(c) for c in spec.order])
+    bucket = F.pmod(F.xxhash64(*[col(c) for c in spec.entity]), F.lit(buckets)).cast("int") if spec.entity else F.lit(0)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select(*[col(c) for c in keep])
+        fresh = batch.select(*[col(c) for c in keep], bucket.alias("bucket"))
+        # one row per bucket
+        touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
+        if not touched:
+            return
         rows = fresh.withColumns({"_new": F.lit(True), "_old": F.lit(None).cast("array<double>")})
-        earlier = [b for b in _batches(spark, f"{path}/_tail") if b < batch_id]
-        if earlier:
-            tail = spark.read.parquet(f"{path}/_tail/batch={max(earlier)}")
+        place = tail_places(spark, path, batch_id)
+        have = {b: place[b] for b in touched if b in place}
+        if have:
+            tail = read_tail(spark, path, have)
             entity = list(spec.entity) or [F.lit(0).alias("_all")]
             last = _renamed(tail.groupBy(*entity).agg(F.max(order()).alias("_last")), spec.entity)
-            first = fresh.groupBy(*entity).agg(F.min(order()).alias("_first"))
-            late = first.join(last, _match(spec.entity)).where(F.col("_first") <= F.col("_last")).select(*spec.entity)
+            first = fresh.groupBy(*entity).agg(F.min(order()).alias("_first"), F.first("bucket").alias("bucket"))
+            late = first.join(last, _match(spec.entity)).where(F.col("_first") <= F.col("_last")).select(*spec.entity, "bucket")
             carried = tail.withColumn("_old", F.lit(None).cast("array<double>"))
             if not late.isEmpty():
                 late = cut_lineage(late)
-                marked = _renamed(late, spec.entity)
-                written = lagged_rows(spark, path, spec, before=batch_id).withColumn(
-                    "_old", F.array(*[col(n).cast("double") for n in names])).select(*[col(c) for c in keep], "_old")
+                theirs = [r["bucket"] for r in late.select("bucket").distinct().collect()]
+                marked = _renamed(late.drop("bucket"), spec.entity)
+                written = lagged_rows(spark, path, spec, before=batch_id, buckets=theirs).withColumns({
+                    "_old": F.array(*[col(n).cast("double") for n in names]), "bucket": bucket}).select(*[col(c) for c in keep], "bucket", "_old")
                 carried = carried.join(marked, _match(spec.entity), "left_anti").unionByName(
                     written.join(marked, _match(spec.entity), "left_semi"))
             rows = rows.unionByName(carried.withColumn("_new", F.lit(False)))
         done = frames.lags([target], lags).apply(rows, spec)
         now = F.array(*[col(n).cast("double") for n in names])
         changed = F.col("_new") | (F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(now))
-        done.where(changed).drop("_new", "_old").write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-        frames.last_rows(rows.drop("_new", "_old"), spec, depth).write.mode("overwrite").parquet(f"{path}/_tail/batch={batch_id}")
+        done.where(changed).drop("_new", "_old").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={batch_id}")
+        frames.last_rows(rows.drop("_new", "_old"), spec, depth).write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{path}/_tail/batch={batch_id}")
+        # written last: a batch that died before has no place and is done again
+        now_at = [(b, n) for b, n in {**place, **dict.fromkeys(touched, batch_id)}.items()]
+        spark.createDataFrame(now_at, PLACES).coalesce(1).write.mode("overwrite").parquet(f"{path}/_places/batch={batch_id}")
 
     return (
         source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def lagged_rows(spark: SparkSession, path: str, spec: PanelSpec, before: int | None = None) -> DataFrame:
-    """What ``lag_stream`` wrote (in batches ``before`` that one): of each row its last version."""
+PLACES = "bucket int, written long"
+
+
+def tail_places(spark: SparkSession, path: str, before: int) -> dict[int, int]:
+    """Which batch before that one wrote each bucket's tail last: one row per bucket."""
+    earlier = [b for b in _batches(spark, f"{path}/_places") if b < before]
+    if not earlier:
+        return {}
+    return {r["bucket"]: r["written"] for r in spark.read.schema(PLACES).parquet(f"{path}/_places/batch={max(earlier)}").collect()}
+
+
+def read_tail(spark: SparkSession, path: str, places: dict[int, int]) -> DataFrame:
+    """The tails of the buckets, each from the folder of its batch alone."""
+    folders_ = [f"{path}/_tail/batch={n}/bucket={b}" for b, n in sorted(places.items())]
+    return spark.read.option("basePath", f"{path}/_tail").parquet(*folders_).drop("batch")
+
+
+def lagged_rows(spark: SparkSession, path: str, spec: PanelSpec, before: int | None = None,
+                buckets: Sequence[int] | None = None) -> DataFrame:
+    """What ``lag_stream`` wrote (in batches ``before`` that one, of some ``buckets``): of each row its last version."""
     rows = spark.read.parquet(f"{path}/rows")
     if before is not None:
         rows = rows.where(F.col("batch") < before)
+    if buckets is not None:
+        rows = rows.where(F.col("bucket").isin(list(buckets)))
     keys = [*spec.entity, *spec.order]
-    rest = F.struct(*[col(c) for c in rows.columns if c not in (*keys, "batch")])
+    rest = F.struct(*[col(c) for c in rows.columns if c not in (*keys, "batch", "bucket")])
     return rows.groupBy(*[col(k) for k in keys]).agg(F.max_by(rest, F.col("batch")).alias("_r")).select(*[col(k) for k in keys], "_r.*")
 
 
