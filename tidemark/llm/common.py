@@ -23,8 +23,8 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 500_000
 #: Characters handed to one step of a Python task at once, so that a batch of long texts stays small.
 STEP_CHARS = 1_000_000
-#: Rows of an Arrow batch at most: texts are long, and batches are held on both sides.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch at most: texts are long, and batches are held on both sides.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def text_of(name: str = "text") -> Column:
@@ -76,10 +76,14 @@ def add_from(df: DataFrame, column: Column, make_step: Callable[[], Callable[[pa
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS`` if it is larger."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` and ``BATCH_BYTES`` if it is larger."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            now = int(spark.conf.get(name))
+        except ValueError:  # written with a unit: not yet set here
+            now = 0
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def slices(batch: pa.RecordBatch, step_bytes: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
