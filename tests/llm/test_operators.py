@@ -37,6 +37,16 @@ def test_bpe_matches_the_library_and_decodes(odd_docs, spread, size, overlap):
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_bpe_of_a_long_text_in_linear_time(spark):
+    v = vocabulary()
+    text = "der Müller und the 123 thing's  end\n" * 120_000  # 4.4 million characters
+    start = time.time()
+    got = bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), v).first().ids
+    library = tiktoken.Encoding("o", pat_str=v.pattern, mergeable_ranks=v.ranks(), special_tokens={})
+    taken = time.time() - start
+    assert got == library.encode_ordinary(text) and taken < 60
+
+
 def test_bpe_of_nothing(no_docs):
     v = vocabulary()
     assert bpe.decode(bpe.encode(no_docs, v), v).count() == 0

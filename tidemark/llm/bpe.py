@@ -154,8 +154,8 @@ def spread_encode(docs: DataFrame, box, size: int, overlap: int) -> DataFrame:
     spark = docs.sparkSession
     tasks = max(8, spark.sparkContext.defaultParallelism * 2)
     texts = stage(docs.select(F.sha2("x", 256).alias("h"), F.col("x").alias("t")).dropDuplicates(["h"]), "long")
-    chunks = texts.select("h", F.posexplode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(size))).alias("k", "start"),
-                          "t").select("h", "k", "start", F.expr(f"substring(t, start + 1, {size + overlap})").alias("part"))
+    starts = texts.select("h", "t", F.sequence(F.lit(0), F.length("t") - 1, F.lit(size)).alias("a"))
+    chunks = cut(starts.withColumn("b", F.transform("a", lambda a: a + F.lit(size + overlap))))
 
     def make_scan():
         split = regex.compile(box.value[1]).findall
@@ -181,10 +181,9 @@ def spread_encode(docs: DataFrame, box, size: int, overlap: int) -> DataFrame:
     whole = texts.join(cuts, "h", "left").select(
         "h", "t", F.col("n").isNotNull() & (F.size("cuts") < F.col("n")), F.coalesce("cuts", F.array().cast("array<int>")).alias("cuts"))
     whole = whole.toDF("h", "t", "torn", "cuts")
-    spans = whole.select("h", "t", F.posexplode(F.arrays_zip(
-        F.when(F.col("torn"), F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), "cuts")).alias("a"),
-        F.when(F.col("torn"), F.array(F.length("t"))).otherwise(F.concat("cuts", F.array(F.length("t")))).alias("b"))).alias("k", "s"))
-    spans = spans.select("h", "k", F.expr("substring(t, s.a + 1, s.b - s.a)").alias("part"))
+    spans = cut(whole.select(
+        "h", "t", F.when(F.col("torn"), F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), "cuts")).alias("a"),
+        F.when(F.col("torn"), F.array(F.length("t"))).otherwise(F.concat("cuts", F.array(F.length("t")))).alias("b")))
 
     def make_encode():
         encoder = Encoder(Vocabulary(*box.value), size, overlap)
@@ -197,6 +196,24 @@ def spread_encode(docs: DataFrame, box, size: int, overlap: int) -> DataFrame:
     return docs.withColumn("h", F.sha2("x", 256)).join(joined, "h")
 
 
+def cut(texts: DataFrame) -> DataFrame:
+    """``h, k, start, part``: the pieces of each text ``t`` between its places ``a`` and ``b``, in one pass over it."""
+
+    def make_step():
+        def step(rows: dict) -> dict:
+            out = {"h": [], "k": [], "start": [], "part": []}
+            for h, t, a, b in zip(rows["h"], rows["t"], rows["a"], rows["b"], strict=True):
+                out["h"] += [h] * len(a)
+                out["k"] += range(len(a))
+                out["start"] += a
+                out["part"] += [t[i:j] for i, j in zip(a, b, strict=True)]
+            return out
+
+        return step
+
+    return map_batches(texts, make_step, "h string, k int, start int, part string")
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = None) -> DataFrame:
     """``encoded`` (its columns ``keep``, or all) with ``decoded binary``, the bytes of ``ids`` one after another (null: none)."""
     box = encoded.sparkSession.sparkContext.broadcast((vocabulary.data, vocabulary.pattern))
