@@ -35,6 +35,25 @@ def test_column_quantiles_match_numpy(spark, accuracy):
         assert all(close(g, w, 1e-12) for g, w in zip(got[name][1], want)), (name, got[name][1], want)
 
 
+def test_brackets_narrow_until_small(spark, monkeypatch):
+    """No pass gathers more than ``small`` values, also beside a value that holds most rows."""
+    rng = np.random.default_rng(9)
+    n, small = 100_000, 1_000
+    data = {"wide": np.exp(rng.normal(0, 40, n)), "hot": np.where(rng.random(n) < 0.7, 3.0, rng.normal(3, 1, n))}
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(*data.values())], "wide double, hot double").repartition(4).cache()
+    gather = F.collect_list
+    monkeypatch.setattr(ordering.F, "collect_list", lambda x: F.when(
+        F.count(x) > small, F.raise_error(F.lit("too many values"))).otherwise(gather(x)))
+    probs = [0.0, 0.15, 0.1501, 0.5, 0.85, 1.0]
+    got = quant(df, list(data), probs, accuracy=100, small=small)
+    long = df.selectExpr("explode(array(struct('wide' as k, wide as v), struct(null as k, hot as v))) as r").select("r.*")
+    grouped = {r["k"]: (r["n"], r["q"]) for r in ordering.bracketed_quantiles(long, ["k"], "v", probs, 100, small).collect()}
+    for name, values in data.items():
+        want = np.quantile(values, probs)
+        for count, q in (got[name], grouped[name if name == "wide" else None]):
+            assert count == n and all(close(g, w, 1e-12) for g, w in zip(q, want)), (name, q, want)
+
+
 def test_column_quantiles_missing_and_empty(spark):
     df = table(spark, {"x": [1, None, float("nan"), 4], "void": [None] * 4})
     assert quant(df, ["x", "void"], [0.5]) == {"x": (2, [2.5]), "void": (0, None)}

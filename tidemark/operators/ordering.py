@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,10 @@ ONE_TASK_ROWS = 5_000_000
 BROADCAST_GROUPS = 100_000
 #: Steps of the binary search: up to 2^17 - 1 cuts.
 STEPS = [1 << i for i in range(16, -1, -1)]
+#: Values that are left in a bracket when they are gathered and sorted.
+SMALL = 20_000
+#: Cuts of a bracket in one round of narrowing, and the accuracy of their sketch.
+GRID, GRID_ACCURACY = 500, 10_000
 
 
 def bin_index(cuts: Column, x: Column) -> Column:
@@ -79,8 +85,7 @@ def quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
     """Exact, linearly interpolated quantiles per key group: columns ``keys``, ``n``, ``q`` (array, as ``probs``).
 
     ``percentile`` keeps every distinct value of a group in one buffer, so it is used only when the whole
-    input is small. Otherwise a sketch brackets each quantile, and only the values inside the bracket
-    are counted and ordered; the rank arithmetic then picks the exact values.
+    input is small. Otherwise ``bracketed_quantiles`` narrows brackets until few values are left.
     """
     long = long.where(col(value).isNotNull())
     rows = long.count() if rows is None else rows
@@ -101,141 +106,179 @@ def per_column(df: DataFrame, cols: Sequence[str], stats: dict[str, Callable[[Co
     return one.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+def _inside(x: Column, lo: Column, hi: Column) -> Column:
+    return F.when((x > lo) & (x < hi), x)
+
+
+def _tally(x: Column, lo: Column, hi: Column) -> Column:
+    """How many values lie below, at the lower end, strictly inside and at the upper end of a bracket."""
+    return F.struct(
+        F.count_if(x < lo).alias("below"), F.count_if(x == lo).alias("at_lo"),
+        F.count(_inside(x, lo, hi)).alias("inside"), F.count_if((x == hi) & (lo < hi)).alias("at_hi"),
+    )
+
+
+def _gathered(x: Column, lo: Column, hi: Column) -> Column:
+    return F.sort_array(F.collect_list(_inside(x, lo, hi)))
+
+
+def _grid(x: Column, lo: Column, hi: Column) -> Column:
+    return F.percentile_approx(_inside(x, lo, hi), [i / GRID for i in range(1, GRID)], GRID_ACCURACY)
+
+
+def _narrowed(b: Column, tally: Column, grid: Column) -> Column:
+    """The part of a bracket that holds its two ranks, one cut of the grid wider on either side."""
+    n = tally["inside"]
+    first, last = b["t"] - tally["below"] - tally["at_lo"], b["u"] - tally["below"] - tally["at_lo"]
+    left = (F.floor(first * GRID / n) - 1).cast("int")
+    right = (F.ceil((last + 1) * GRID / n) + 1).cast("int")
+    low = F.when(first >= n, b["hi"]).when((first < 0) | (left < 1), b["lo"]).otherwise(F.get(grid, left - 1))
+    high = F.when(last < 0, b["lo"]).when((last >= n) | (right >= GRID), b["hi"]).otherwise(F.get(grid, right - 1))
+    share = (F.least(right, F.lit(GRID)) - F.greatest(left, F.lit(0))) / GRID + 2 / GRID_ACCURACY
+    most = F.when((first >= n) | (last < 0), 0.0).otherwise(F.least(share, F.lit(1.0)) * n)
+    return F.struct(b["t"].alias("t"), b["u"].alias("u"), low.alias("lo"), high.alias("hi"), most.alias("most"))
+
+
+def _picked(b: Column, tally: Column, values: Column, frac: Column) -> Column:
+    """The value at a rank between two rows, from the tally and the sorted inner values of its bracket."""
+    def at(rank: Column) -> Column:
+        start = tally["below"] + tally["at_lo"]
+        missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
+        return (
+            F.when(rank < tally["below"], missed).when(rank < start, b["lo"])
+            .when(rank < start + tally["inside"], F.get(values, (rank - start).cast("int")))
+            .when(rank < start + tally["inside"] + tally["at_hi"], b["hi"]).otherwise(missed)
+        )
+
+    return at(b["t"]) + (at(b["u"]) - at(b["t"])) * frac
+
+
+def _first_brackets(n: Column, ends: Column, probs: Sequence[float], slack: float) -> list[Column]:
+    """Brackets from a sketch: ``ends`` holds the least value, the lower and upper ends as ``probs``, the largest value.
+
+    A short column, where the slack is less than a row wide, is its own bracket.
+    """
+    k = len(probs)
+    tight = n * slack >= 2
+    out = []
+    for j, p in enumerate(probs):
+        spot = (n - 1) * F.lit(float(p))
+        lo = F.when(tight, F.get(ends, F.lit(1 + j))).otherwise(F.get(ends, F.lit(0)))
+        hi = F.when(tight, F.get(ends, F.lit(1 + k + j))).otherwise(F.get(ends, F.lit(1 + 2 * k)))
+        most = F.when(tight, n * min(1.0, slack * 8 / 3)).otherwise(n.cast("double"))
+        out.append(F.struct(F.floor(spot).cast("long").alias("t"), F.ceil(spot).cast("long").alias("u"), lo.alias("lo"),
+                            hi.alias("hi"), most.alias("most")))
+    return out
+
+
+def _ends(x: Column, probs: Sequence[float], accuracy: int) -> Column:
+    slack = 3.0 / accuracy
+    low, high = [max(0.0, p - slack) for p in probs], [min(1.0, p + slack) for p in probs]
+    return F.percentile_approx(x, [0.0, *low, *high, 1.0], accuracy)
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10_000,
+                     small: int = SMALL) -> DataFrame:
     """Exact, linearly interpolated quantiles of whole columns: ``feature, n, q`` (array, as ``probs``).
 
-    A sketch brackets every quantile (its ends, a few numbers per column, come to the driver). The rows below each
-    bracket are counted, and only the values inside one (about ``6 / accuracy`` of the rows, plus ties) are grouped
-    and ordered, so no column is ever sorted or held whole. Missing values (NULL, NaN) do not count.
+    A sketch brackets every quantile. A pass then counts the values below, at the ends of and strictly inside each
+    bracket; where at most ``small`` lie inside, they are gathered, else they are bracketed again by a sketch of their own,
+    which leaves less than a thousandth of them whatever their distribution. Copies of a bracket's ends are counted, never
+    gathered. That is three scans up to some 25 million rows and two more for each factor of a thousand; no column is
+    sorted or held, and the driver sees a few numbers per column and pass. Missing values (NULL, NaN) do not count.
     """
-    k, slack = len(probs), 3.0 / accuracy
-    low = [max(0.0, p - slack) for p in probs]
-    high = [min(1.0, p + slack) for p in probs]
-    names = {f"c{i}": c for i, c in enumerate(cols)}
     base = df.select(*[
-        F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")).alias(n) for n, c in names.items()
+        F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)
     ])
-    sketch = base.agg(*[
-        e for n in names for e in (
-            F.count(n).alias(f"n_{n}"), F.percentile_approx(n, [0.0, *low, *high, 1.0], accuracy).alias(f"e_{n}")
-        )
-    ]).first()
-    spots = []
-    for n in names:
-        count, ends = sketch[f"n_{n}"], sketch[f"e_{n}"]
-        # in a short column the slack is less than a row wide, so the bracket is the column
-        tight = count * slack >= 2
-        spots += [(n, j, ends[1 + j] if tight else ends[0], ends[1 + k + j] if tight else ends[-1])
-                  for j in range(k) if count]
     spark = df.sparkSession
-    empty = spark.createDataFrame(
-        [(names[n], 0, None) for n in names if not sketch[f"n_{n}"]], "feature string, n long, q array<double>")
-    if not spots:
-        return empty
-    below = base.agg(*[F.count_if(F.col(n) < lo).alias(f"{n}_{j}") for n, j, lo, _ in spots]).select(
-        F.explode(F.array(*[
-            F.struct(F.lit(n).alias("name"), F.lit(j).alias("j"), F.lit(None).cast("double").alias("x"),
-                     F.col(f"{n}_{j}").alias("c")) for n, j, _, _ in spots
-        ])).alias("r")).select("r.*")
-    some = F.lit(False)
-    for n, _, lo, hi in spots:
-        some = some | F.col(n).between(lo, hi)
-    hits = base.where(some).select(
-        F.explode(F.array(*[
-            F.when(F.col(n).between(lo, hi), F.struct(F.lit(n).alias("name"), F.lit(j).alias("j"), F.col(n).alias("x")))
-            for n, j, lo, hi in spots
-        ])).alias("r")
-    ).where(F.col("r").isNotNull()).select("r.*").groupBy("name", "j", "x").agg(F.count(F.lit(1)).alias("c"))
-    # what lies below the bracket is the one NULL row, which sorts first
-    run = Window.partitionBy("name", "j").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    # a few rows per column: where to read
-    reads = spark.createDataFrame(
-        [(n, names[n], j, sketch[f"n_{n}"], (sketch[f"n_{n}"] - 1) * probs[j]) for n, j, _, _ in spots],
-        "name string, feature string, j int, n long, spot double")
-    ranked = below.unionByName(hits).withColumn("cum", F.sum("c").over(run))
-    known = F.col("x").isNotNull()
-    per_spot = ranked.join(F.broadcast(reads), ["name", "j"]).groupBy("feature", "j").agg(
-        F.max("n").alias("n"),
-        F.max(F.col("spot") - F.floor("spot")).alias("frac"),
-        F.min(F.when(known & (F.col("cum") > F.floor("spot")), F.col("x"))).alias("a"),
-        F.min(F.when(known & (F.col("cum") > F.ceil("spot")), F.col("x"))).alias("z"),
-        F.coalesce(F.max(F.when(~known, F.col("cum") > F.floor("spot"))), F.lit(False)).alias("missed"),
-    )
-    value = F.when(
-        F.col("missed") | F.col("z").isNull(), F.raise_error(F.lit("quantile outside its bracket"))
-    ).otherwise(F.col("a") + (F.col("z") - F.col("a")) * F.col("frac")).cast("double")
-    return per_spot.groupBy("feature").agg(
-        F.max("n").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("j", value.alias("v")))), lambda e: e["v"]).alias("q"),
-    ).unionByName(empty)
+    sketch = base.agg(*[e for i in range(len(cols)) for e in (
+        F.count(f"c{i}").alias(f"n{i}"), _ends(F.col(f"c{i}"), probs, accuracy).alias(f"e{i}"))])
+    first = sketch.select(*[F.col(f"n{i}") for i in range(len(cols))], *[
+        b.alias(f"b{i}_{j}") for i in range(len(cols))
+        for j, b in enumerate(_first_brackets(F.col(f"n{i}"), F.col(f"e{i}"), probs, 3.0 / accuracy))
+    ]).first()
+    counts = [first[f"n{i}"] for i in range(len(cols))]
+    open_ = {(i, j): first[f"b{i}_{j}"] for i, n in enumerate(counts) for j in range(len(probs)) if n}
+    ends = {at: (r["lo"], r["hi"]) for at, r in open_.items()}
+    found: dict[tuple[int, int], list[float]] = {}
+    while ends:
+        tallies = base.agg(*[_tally(F.col(f"c{i}"), F.lit(lo), F.lit(hi)).alias(f"t{i}_{j}") for (i, j), (lo, hi) in ends.items()]).first()
+        reads, some = {}, F.lit(False)
+        for (i, j), (lo, hi) in ends.items():
+            below, at_lo, inside, at_hi = tallies[f"t{i}_{j}"]
+            first_, last = (open_[i, j][rank] - below - at_lo for rank in ("t", "u"))
+            if first_ < -at_lo or last >= inside + at_hi:
+                raise RuntimeError("quantile outside its bracket")
+            x = _inside(F.col(f"c{i}"), F.lit(lo), F.lit(hi))
+            if last < 0 or first_ >= inside or inside <= small:
+                found[i, j] = [lo if k < 0 else hi if k >= inside else None for k in (first_, last)]
+                if None in found[i, j]:
+                    values = F.sort_array(F.collect_list(x))
+                    reads[i, j] = F.array(*[F.get(values, F.lit(min(max(k, 0), inside - 1))) for k in (first_, last)])
+            else:
+                slack = 3 / GRID_ACCURACY
+                reads[i, j] = F.percentile_approx(
+                    x, [max(0.0, (first_ - 1) / inside - slack), min(1.0, (last + 2) / inside + slack)], GRID_ACCURACY)
+            if (i, j) in reads:
+                some = some | x.isNotNull()
+        row = base.where(some).agg(*[v.alias(f"r{i}_{j}") for (i, j), v in reads.items()]).first() if reads else {}
+        closer = {}
+        for i, j in reads:
+            got = row[f"r{i}_{j}"]
+            if (i, j) in found:
+                found[i, j] = [g if f is None else f for f, g in zip(found[i, j], got)]
+            else:
+                below, at_lo, inside, _ = tallies[f"t{i}_{j}"]
+                first_, last = (open_[i, j][rank] - below - at_lo for rank in ("t", "u"))
+                closer[i, j] = (ends[i, j][0] if first_ < 0 else got[0], ends[i, j][1] if last >= inside else got[1])
+        ends = closer
+
+    def between(i: int, j: int) -> float:
+        spot, (a, z) = (counts[i] - 1) * probs[j], found[i, j]
+        return a + (z - a) * (spot - spot // 1)
+
+    rows = [(c, counts[i], [between(i, j) for j in range(len(probs))] if counts[i] else None) for i, c in enumerate(cols)]
+    return spark.createDataFrame(rows, "feature string, n long, q array<double>")
 
 
 def bracketed_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                        accuracy: int = 100_000) -> DataFrame:
-    by = [col(k) for k in keys]
-    slack = 3.0 / accuracy
-    low = [max(0.0, p - slack) for p in probs]
-    high = [min(1.0, p + slack) for p in probs]
+                        accuracy: int = 100_000, small: int = SMALL) -> DataFrame:
+    """As ``column_quantiles``, per key group (missing keys are a group): columns ``keys``, ``n``, ``q``.
+
+    The brackets are a written table, one row per group; only groups that still have a wide bracket are read again.
+    """
+    small = max(small, 2 * GRID)
+    spots = range(len(probs))
     x = col(value).cast("double")
-    sketch = long.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(x).alias("_min"),
-        F.max(x).alias("_max"),
-        F.percentile_approx(x, low + high, accuracy).alias("_e"),
-    )
-    sketch = stage(sketch, "sketch")
-    few = sketch.count() <= BROADCAST_GROUPS
-    tight = F.col("_n") * slack >= 2  # else the bracket is the whole group
-    brackets = sketch.select(
-        *by,
-        "_n",
-        F.explode(
-            F.array(*[
-                F.struct(
-                    F.lit(i).alias("_i"),
-                    F.lit(float(p)).alias("_p"),
-                    F.when(tight, F.col("_e")[i]).otherwise(F.col("_min")).alias("_lo"),
-                    F.when(tight, F.col("_e")[len(probs) + i]).otherwise(F.col("_max")).alias("_hi"),
-                )
-                for i, p in enumerate(probs)
-            ])
-        ).alias("_b"),
-    ).select(*by, "_n", "_b.*")
-    grouped = brackets.groupBy(*by).agg(
-        F.max("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_i", "_p", "_lo", "_hi"))).alias("_bs")
-    )
-    # one row per group on the right, at most len(probs) brackets in it
-    hits = (
-        long.select(*by, x.alias("_x"))
-        .join(hinted(grouped.select(*by, "_bs"), few), list(keys))
-        .select(*by, "_x", F.explode("_bs").alias("_b"))
-        .where(F.col("_x") <= F.col("_b._hi"))
-        .select(
-            *by,
-            F.col("_b._i").alias("_i"),
-            F.when(F.col("_x") >= F.col("_b._lo"), F.col("_x")).alias("_x"),
+    rows = long.select(*[col(k) for k in keys], x.alias("_x")).where(F.col("_x").isNotNull())
+    renamed = [f"_k{i}" for i in range(len(keys))]
+    sketch = rows.groupBy(*[col(k).alias(r) for k, r in zip(keys, renamed)]).agg(
+        F.count(F.lit(1)).alias("n"), _ends(F.col("_x"), probs, accuracy).alias("_e"))
+    brackets = _first_brackets(F.col("n"), F.col("_e"), probs, 3.0 / accuracy)
+    state = stage(sketch.select(*renamed, "n", *[b.alias(f"_b{j}") for j, b in enumerate(brackets)]), "brackets")
+    few = state.count() <= BROADCAST_GROUPS
+    most = F.greatest(*[F.col(f"_b{j}.most") for j in spots], F.lit(0.0))
+
+    def passed(groups: DataFrame, read: Callable[[Column, Column, Column], Column]) -> DataFrame:
+        """The groups with the tally ``_t{j}`` and the reading ``_v{j}`` of each bracket."""
+        same = reduce(and_, [col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, renamed)], F.lit(True))
+        # one row per group on the right
+        met = rows.join(hinted(groups, few), same)
+        return met.groupBy(*renamed).agg(
+            F.first("n").alias("n"), *[F.first(f"_b{j}").alias(f"_b{j}") for j in spots],
+            *[_tally(F.col("_x"), F.col(f"_b{j}.lo"), F.col(f"_b{j}.hi")).alias(f"_t{j}") for j in spots],
+            *[read(F.col("_x"), F.col(f"_b{j}.lo"), F.col(f"_b{j}.hi")).alias(f"_v{j}") for j in spots],
         )
-        .groupBy(*by, "_i", "_x")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    # everything below the bracket is the single NULL row, which sorts first
-    run = Window.partitionBy(*by, "_i").orderBy(F.col("_x").asc_nulls_first())
-    ranked = hits.withColumn("_cum", F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = ranked.join(hinted(brackets.select(*by, "_i", "_p", "_n"), few), [*keys, "_i"])
-    spot = (F.col("_n") - 1) * F.col("_p")
-    picked = joined.groupBy(*by, "_i").agg(
-        F.max("_n").alias("n"),
-        F.max(spot - F.floor(spot)).alias("_frac"),
-        F.min(F.when(F.col("_cum") > F.floor(spot), F.col("_x"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.ceil(spot), F.col("_x"))).alias("_z"),
-        F.coalesce(F.max(F.when(F.col("_x").isNull(), F.col("_cum") > F.floor(spot))), F.lit(False)).alias("_missed"),
-    )
-    value_at = F.when(
-        F.col("_missed") | F.col("_z").isNull(), F.raise_error(F.lit("quantile outside its bracket"))
-    ).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_frac")).cast("double")
-    return picked.groupBy(*by).agg(
-        F.max("n").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", value_at.alias("_v")))), lambda s: s["_v"]).alias("q"),
+
+    while (state.agg(F.max(most)).first()[0] or 0) > small:
+        closer = passed(state.where(most > small), _grid).select(*renamed, "n", *[
+            F.when(F.col(f"_b{j}.most") > small, _narrowed(F.col(f"_b{j}"), F.col(f"_t{j}"), F.col(f"_v{j}")))
+            .otherwise(F.col(f"_b{j}")).alias(f"_b{j}") for j in spots])
+        state = stage(state.where(most <= small).unionByName(closer), "brackets")
+    spot = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    return passed(state, _gathered).select(
+        *[F.col(r).alias(k) for k, r in zip(keys, renamed)], "n",
+        F.array(*[_picked(F.col(f"_b{j}"), F.col(f"_t{j}"), F.col(f"_v{j}"), spot[j] - F.floor(spot[j])) for j in spots]).alias("q"),
     )
 
 
