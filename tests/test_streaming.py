@@ -152,3 +152,11 @@ def test_prediction_sink_replays_and_crashes(spark, monkeypatch):
     assert values() == list(range(26)) and sink.seal(1) == 1 and values() == list(range(26))
     sink.write(predictions(spark, []), 4)
     assert values() == list(range(26))
+
+
+def test_small_files_are_cut_by_few_tasks(spark):
+    sink = PredictionSink(spark, scratch_path(spark, "sink"), 10)
+    sink.write(predictions(spark, range(1000)), 0)
+    files = spark.read.parquet(f"{sink.path}/files/upto=0").inputFiles()
+    assert len(files) == 100 and len({f.rpartition("/")[2].split("-")[1] for f in files}) == 1
+    assert sink.sealed().count() == 1 and sorted(r["y_true"] for r in sink.read().collect()) == list(range(1000))

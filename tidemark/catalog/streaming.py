@@ -178,12 +178,11 @@ def stream_predictions(spark, path):
     from tidemark.streaming.predictions import PredictionSink
 
     log = stage(_log(spark, path).withColumn("timestamp", F.col("ts")).drop("ts"), "log")
-    root = scratch_path(spark, "predictions")
-    for day in range(6):
-        log.where(F.dayofmonth("timestamp") % 6 == day).coalesce(1).write.mode("append").parquet(root)
-    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    root, check = scratch_path(spark, "predictions"), scratch_path(spark, "ck")
     sink = PredictionSink(spark, scratch_path(spark, "sink"), 3_000)
-    _finish(sink.start(source, scratch_path(spark, "ck")))
+    for day in range(6):  # a delivery is as many files as tasks wrote it, and one micro-batch
+        log.where(F.dayofmonth("timestamp") % 6 == day).write.mode("append").parquet(root)
+        _finish(sink.start(spark.readStream.schema(log.schema).parquet(root), check))
     sink.write(log.where("false"), 5)  # the ledger has it
     return sink.read().select("event_id", "model", "location", "target", "y_true", *[r(c).alias(c) for c in ("y_pred", "absolute_error", "squared_error")])
 

@@ -19,6 +19,8 @@ from tidemark.functions.columns import col
 from tidemark.sources.storage import exists
 from tidemark.sources.stores import PredictionLog
 
+#: A task that seals writes so many rows, or one file of more.
+TASK_ROWS = 50_000
 LEDGER = "step string, first long, last long, rows long, at timestamp"
 
 
@@ -82,8 +84,10 @@ class PredictionSink:
             return 0
         first, last = waiting[0][0], waiting[-1][0]
         rows = self.spark.read.parquet(*[f"{self.path}/pending/batch={b}" for b, n in waiting if n])
-        files = -(-total // self.rows_per_file)
-        rows.repartition(files).write.mode("overwrite").parquet(f"{self.path}/files/upto={last}")
+        # small files are cut by their writer: a task for each would cost more than its rows
+        tasks = -(-total // (self.rows_per_file * max(1, TASK_ROWS // self.rows_per_file)))
+        rows.repartition(tasks).write.mode("overwrite").option("maxRecordsPerFile", self.rows_per_file).parquet(
+            f"{self.path}/files/upto={last}")
         self._note("sealed", first, last, total)
         return total
 
