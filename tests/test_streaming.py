@@ -160,3 +160,18 @@ def test_small_files_are_cut_by_few_tasks(spark):
     files = spark.read.parquet(f"{sink.path}/files/upto=0").inputFiles()
     assert len(files) == 100 and len({f.rpartition("/")[2].split("-")[1] for f in files}) == 1
     assert sink.sealed().count() == 1 and sorted(r["y_true"] for r in sink.read().collect()) == list(range(1000))
+
+
+def test_a_batch_is_deduplicated_once(spark):
+    land, seen = scratch_path(spark, "land"), spark.sparkContext.accumulator(0)
+
+    def count(i):
+        seen.add(1)
+        return i
+
+    job = LakeJob(spark, scratch_path(spark, "lake"), SPEC, ("x",))
+    hours(spark, [*range(0, 40), *range(0, 10)]).write.parquet(land)
+    source = ingest.file_stream(spark, land, SCHEMA).withColumn("id", F.udf(count, "long")("id"))
+    run(ingest.ingest_stream(source, job, scratch_path(spark, "ck"), ["id"]))
+    # one pass for the latest time, one for all else
+    assert seen.value == 100 and sorted(r["id"] for r in job.lake.read(RAW).collect()) == list(range(40))

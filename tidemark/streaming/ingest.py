@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.columns import col
 from tidemark.operators import frames
 from tidemark.plans.lake_job import LakeJob, batch_dates
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, stage
 from tidemark.sources.lake import CLEAN, LATE, RAW
 from tidemark.sources.state import Watermark
 from tidemark.sources.storage import folders
@@ -65,7 +65,8 @@ def ingest_stream(source: DataFrame, job: LakeJob, checkpoint: str, key: Sequenc
         high = batch.agg(F.max(col(time))).first()[0]
         if high is None and batch.isEmpty():
             return
-        fresh = batch.dropDuplicates(list(key))
+        # written once: the checks, the write and the dates below would each de-duplicate the batch again
+        fresh = stage(batch.dropDuplicates(list(key)), "fresh")
         if mark.last_success_at is not None and late == "side":
             edge = F.lit(mark.last_success_at - delay).cast(batch.schema[time].dataType)
             tardy = fresh.where(col(time) <= edge)
