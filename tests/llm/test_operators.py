@@ -15,6 +15,7 @@ from tokenizers import Tokenizer, models
 
 from tidemark.llm import ann, bpe, langid, minhash, mixing, pages, quality, toxicity, unigram, urls
 from tidemark.llm.queries import vocabulary
+from tidemark.session import cut_lineage
 
 DATA = "/root/testdata/sf0.001"
 
@@ -334,6 +335,31 @@ def test_components_of_a_long_chain(spark):
     assert {bytes(r.label) for r in minhash.components(links).collect()} == {bytes([0])}
 
 
+def test_component_rounds_write_few_files(spark, monkeypatch):
+    """Small tables of links are not written in as many files as the session has shuffle partitions."""
+    written = []
+
+    def kept(df):
+        out = cut_lineage(df)
+        written.append((out.rdd.getNumPartitions(), out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "cut_lineage", kept)
+    monkeypatch.setattr(minhash, "PART_ROWS", 20)
+    links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)], "a binary, b binary")
+    names = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, value in zip(names, ("16", "false"), strict=True):
+            spark.conf.set(n, value)
+        found = minhash.components(links).collect()
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+    assert len(found) == 61 and {bytes(r.label) for r in found} == {bytes([0])}
+    assert written[0] == (3, 60) and max(n for n, _ in written) <= 6
+
+
 # op6
 
 def test_unigram_matches_the_library(odd_docs, no_docs):

@@ -33,6 +33,8 @@ WORDS = 5
 DOMAIN = 1 << 20
 #: The chance to miss a pair whose similarity is just the one asked for, and the coordinates of a band at most.
 MISS, MOST_ROWS = 3e-5, 9
+#: Rows of a partition, and so of a file, in the tables of the component rounds.
+PART_ROWS = 20_000
 #: A mixed bucket is compared in blocks of so many classes, or of so many shingles, at most.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 SEED = 20_240_229
@@ -174,22 +176,29 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, in as many partitions as they fill and no more than it has."""
+    return df.coalesce(max(1, math.ceil(rows / PART_ROWS)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` of every node of the links ``a, b``: the least node it reaches.
 
     Each round every node hooks to its least neighbour, chains are shortened by pointer jumping until each node points to
-    a root, and links between different roots form the next round. Every round halves the nodes at least.
+    a root, and links between different roots form the next round. Every round halves the nodes at least. Each round's
+    tables are written in as few files as its links need, whatever the session's number of shuffle partitions: every
+    file of a local or shared folder costs a process that sets its mode. ``links`` is read twice.
     """
-    edges = cut_lineage(links.select("a", "b").where("a <> b").distinct())
+    edges = cut_lineage(packed(links.select("a", "b").where("a <> b").distinct(), links.count()))
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     found = ends.withColumn("label", F.col("node"))
-    while not edges.isEmpty():
+    while rows := edges.count():
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-        hook = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                           .select("node", F.least("node", "m").alias("up")))
+        hook = cut_lineage(packed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+                                  .select("node", F.least("node", "m").alias("up")), 2 * rows))
         while True:
             above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = cut_lineage(hook.join(above, "up").select("node", "up", "top"))
+            jumped = cut_lineage(packed(hook.join(above, "up").select("node", "up", "top"), 2 * rows))
             moved = not jumped.where("up <> top").isEmpty()
             hook = jumped.select("node", F.col("top").alias("up"))
             if not moved:
@@ -197,9 +206,9 @@ def components(links: DataFrame) -> DataFrame:
         found = found.join(hook.withColumnRenamed("node", "label"), "label", "left").select(
             "node", F.coalesce("up", "label").alias("label"))
         up = lambda c: hook.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))
-        edges = cut_lineage(
+        edges = cut_lineage(packed(
             edges.join(up("a"), "a").join(up("b"), "b").where("a_up <> b_up")
-            .select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
+            .select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), rows))
     return found
 
 
