@@ -185,3 +185,37 @@ def test_column_quantiles_short_columns(spark, n):
     probs = [0.1, 0.25, 0.5, 0.9]
     got = quant(table(spark, {"x": values}), ["x"], probs)["x"][1]
     assert all(close(g, w, 1e-12) for g, w in zip(got, np.quantile(values, probs)))
+
+
+def test_a_fit_finds_all_quartiles_together(spark, monkeypatch):
+    """Bounds, medians and the robust scaler share the passes over the rows, and equal those found one by one."""
+    df = spark.createDataFrame([(float(i * i % 97), None if i % 7 == 0 else float(i % 31), None) for i in range(300)],
+                               "x double, z double, void double")
+    bounds = preprocess.clip_bounds(df, ["x"], 3.0).first()
+    scales = {r.feature: r for r in preprocess.fit_scaler(df, ["z", "void"], "robust").collect()}
+    middle = {r.feature: r["median"] for r in preprocess.medians(df, ["x", "z", "void"]).collect()}
+    asked = []
+
+    def counted(table, cols, probs, *rest):
+        asked.append(list(cols))
+        return ordering.column_quantiles(table, cols, probs, *rest)
+
+    monkeypatch.setattr(preprocess, "column_quantiles", counted)
+    monkeypatch.setattr(fill, "column_quantiles", counted)
+    rows = {r.feature: r for r in preprocess.Preprocessor.fit(df, ["x"], ["z", "void"]).params.collect()}
+    assert asked == [["x", "z", "void"]]
+    assert (rows["x"].lo, rows["x"].hi) == (bounds.lo, bounds.hi)
+    assert {f: r["median"] for f, r in rows.items()} == middle
+    assert all((rows[f].center, rows[f].scale) == (scales[f].center, scales[f].scale) for f in scales)
+
+
+def test_cuts_of_few_times_are_found_in_one_pass(spark, panel, spec, monkeypatch):
+    passes, agg = [], type(panel).agg
+
+    def counted(self, *columns):
+        passes.append(len(columns))
+        return agg(self, *columns)
+
+    monkeypatch.setattr(type(panel), "agg", counted)
+    split.time_cuts(panel, spec, [0.5, 0.7, 0.85])
+    assert passes == [4, 3]  # what there is, then all cuts

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, stats
@@ -22,13 +22,16 @@ from tidemark.session import stage
 from tidemark.spec import PanelSpec
 
 SCALERS = ("robust", "standard", "minmax")
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def clip_bounds(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> DataFrame:
     """``feature, lo, hi`` with bounds k interquartile ranges outside the quartiles."""
-    q = column_quantiles(df, cols, [0.25, 0.75])
-    q1, q3 = F.col("q")[0], F.col("q")[1]
-    return q.select("feature", (q1 - k * (q3 - q1)).alias("lo"), (q3 + k * (q3 - q1)).alias("hi"))
+    return _fences(column_quantiles(df, cols, [0.25, 0.75]), F.col("q")[0], F.col("q")[1], k)
+
+
+def _fences(table: DataFrame, q1: Column, q3: Column, k: float) -> DataFrame:
+    return table.select("feature", (q1 - k * (q3 - q1)).alias("lo"), (q3 + k * (q3 - q1)).alias("hi"))
 
 
 def clip(df: DataFrame, cols: Sequence[str], bounds: DataFrame) -> DataFrame:
@@ -66,15 +69,16 @@ def invert_transforms(df: DataFrame, cols: Sequence[str], params: DataFrame) ->
     return apply_params(df, params, cols, ["transform"], lambda x, get: scalars.inverse(x, get("transform")))
 
 
-def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "robust") -> DataFrame:
+def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "robust", quartiles: DataFrame | None = None) -> DataFrame:
     """``feature, center, scale``: median and IQR, mean and population deviation, or minimum and range.
 
-    A scale of 0 becomes 1, so a constant column keeps its spread of nothing.
+    A scale of 0 becomes 1, so a constant column keeps its spread of nothing. ``quartiles`` (``feature, q`` of these columns)
+    spares the robust scaler its passes.
     """
     if kind not in SCALERS:
         raise ValueError(f"unknown scaler {kind!r}; choose one of {SCALERS}")
     if kind == "robust":
-        q = column_quantiles(df, cols, [0.25, 0.5, 0.75])
+        q = column_quantiles(df, cols, QUARTILES) if quartiles is None else quartiles.where(F.col("feature").isin(*cols))
         fitted = q.select("feature", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
     elif kind == "standard":
         fitted = per_column(df, cols, {"center": F.avg, "scale": F.stddev_pop})
@@ -110,8 +114,12 @@ class Preprocessor:
     @staticmethod
     def fit(train: DataFrame, targets: Sequence[str], features: Sequence[str], scaler: str = "robust",
             clip_k: float = 3.0) -> "Preprocessor":
-        """Targets: clip bounds, transform, then standard scaling. Features: the named scaler."""
-        bounds = pin(clip_bounds(train, targets, clip_k))
+        """Targets: clip bounds, transform, then standard scaling. Features: the named scaler.
+
+        Bounds, medians and the robust scaler come from the quartiles of all columns, found together.
+        """
+        q = column_quantiles(train, list(dict.fromkeys([*targets, *features])), QUARTILES)
+        bounds = pin(_fences(q.where(F.col("feature").isin(*targets)), F.col("q")[0], F.col("q")[2], clip_k))
         clipped = clip(train, targets, bounds)
         shape = pin(fit_transforms(clipped, targets).select("feature", "transform"))
         y = fit_scaler(apply_transforms(clipped, targets, shape), targets, "standard").withColumn(
@@ -119,9 +127,9 @@ class Preprocessor:
         )
         parts = y.join(F.broadcast(shape), "feature", "left").join(F.broadcast(bounds), "feature", "left")
         if features:
-            x = fit_scaler(train, features, scaler).withColumn("role", F.lit("feature"))
+            x = fit_scaler(train, features, scaler, q).withColumn("role", F.lit("feature"))
             parts = parts.unionByName(x, allowMissingColumns=True)
-        middle = medians(train, [*targets, *features])
+        middle = q.select("feature", F.col("q")[1].alias("median"))
         params = parts.withColumn("transform", F.coalesce("transform", F.lit("none"))).join(
             F.broadcast(middle), "feature", "left"
         )

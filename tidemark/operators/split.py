@@ -49,12 +49,17 @@ def time_cuts(df: DataFrame, spec: PanelSpec, shares: Sequence[float], by_rows:
     low, high, rows, n = counted.agg(F.min("t"), F.max("t"), F.count(F.lit(1)), F.sum("w")).first()
     if not n:
         raise ValueError("no times to split")
-    if rows > small:
-        counted = cut_lineage(counted)
     t = F.col("t")
+    run = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # over at most ``small`` rows
+    ranks = [min(math.floor(n * share), n - 1) for share in shares]
+    if rows <= small:  # all cuts in one pass
+        placed = counted.withColumn("cum", F.sum("w").over(run))
+        return list(placed.agg(*[F.min(F.when(F.col("cum") > rank, F.col("at"))).alias(f"c{i}")
+                                 for i, rank in enumerate(ranks)]).first())
+    counted = cut_lineage(counted)
     cuts = []
-    for share in shares:
-        rank, lo, hi, inside = min(math.floor(n * share), n - 1), math.floor(low), high, rows
+    for rank in ranks:
+        lo, hi, inside = math.floor(low), high, rows
         while inside > small:
             width = max(math.ceil((hi - lo) / buckets), 1)
             found = counted.where((t >= lo) & (t <= hi)).groupBy(F.floor((t - lo) / width).alias("s")).agg(
@@ -66,7 +71,6 @@ def time_cuts(df: DataFrame, spec: PanelSpec, shares: Sequence[float], by_rows:
                 rank -= w  # rows before the bucket are behind us
             if width <= 1:
                 break
-        run = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # at most ``small`` rows are left
         left = counted.where((t >= lo) & (t <= hi)).withColumn("cum", F.sum("w").over(run))
         cuts.append(left.where(F.col("cum") > rank).agg(F.min("at")).first()[0])
     return cuts

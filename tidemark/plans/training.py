@@ -100,7 +100,8 @@ def train(df: DataFrame, setup: Setup) -> Trained:
     parts = split_time(df, setup.spec)
     pre = Preprocessor.fit(parts.where(F.col("part") == "train"), setup.targets, extra_features(setup), setup.scaler)
     data = model_input(parts, setup, pre, keep=["part"]).withColumn("is_val", F.col("part") == "val")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    # keys and times are not kept with the rows
+    data = data.select("features", "y", "part", "is_val").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitting, test = data.where(F.col("part") != "test"), data.where(F.col("part") == "test")
         models: dict[str, dict[str, Model]] = {}
