@@ -63,6 +63,26 @@ def test_audit_matches_filters_in_turn(spark, odd_docs):
     assert {(r.part, r.filter_order, r.step): [r[c] for c in names] for r in got.collect()} == want
 
 
+def test_audit_broadcasts_no_table_of_rows(spark, monkeypatch):
+    """Small files of ids are large tables once there is a row for each prefix: the driver gathers none, by plan or at run time."""
+    plans = {}
+
+    def staged(df, label, stage=audit.stage):
+        df.collect()
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, label)
+
+    monkeypatch.setattr(audit, "stage", staged)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', 'a#', repeat('B ', int(id div 2 % 7)), id div 2) AS text", "'en' AS lang")
+    labels = spark.range(0, 400, 3).selectExpr("id AS doc_id", "int(id % 2) AS quality", "int(id % 5 = 0) AS toxic")
+    assert audit.audit(docs, labels).count() == 600
+    assert plans.keys() == {"measured", "documents", *(f"failing-{n}" for n in "ABCDE"), "kept", "removed"}
+    assert all("isFinalPlan=true" in plans[k] for k in ("documents", "failing-E", "kept", "removed"))
+    joins = {k: plans[k].partition("== Initial Plan ==")[0] for k in plans}
+    assert not [k for k, plan in joins.items() if "Broadcast" in plan]
+    assert all(f"], {kind}" in joins["removed"] for kind in ("LeftAnti", "LeftSemi"))
+
+
 def test_audit_of_nothing(spark, no_docs):
     assert audit.audit(no_docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 

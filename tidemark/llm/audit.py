@@ -12,6 +12,9 @@ Documents that fail no filter survive every prefix and are counted once. A row o
 doc_id is missing or repeats; each has a key of its own. A copy is a text that a row of a smaller doc_id has, too; a row
 without doc_id has no smaller one and is no copy. Null texts are empty, a null ``lang`` is the part with the empty name. A
 label counts if any row of ``labels`` with that doc_id sets it. An empty table has no parts and gives no rows.
+
+Tables that grow with the documents are joined by sorting and merging, at every size. Left to the optimizer they could be
+broadcast: it takes them for as large as the files they come from, which are compressed, and counts a row for each prefix as one.
 """
 
 from __future__ import annotations
@@ -73,6 +76,11 @@ def rules() -> dict[str, Column]:
     }
 
 
+def _merged(table: DataFrame) -> DataFrame:
+    """``table`` for the right side of a join that must not broadcast it."""
+    return table.hint("merge")
+
+
 def documents_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The measured rows with a key each, written once, and their labels ``good`` and ``toxic``."""
     rows = stage(measure(docs).withColumn("row", F.monotonically_increasing_id()), "measured")
@@ -80,7 +88,7 @@ def documents_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"),
         F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
     false = F.lit(False)
-    return stage(rows.join(named, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumns(
+    return stage(rows.join(_merged(named), F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumns(
         {"good": F.coalesce("good", false), "toxic": F.coalesce("toxic", false)}), "documents")
 
 
@@ -90,7 +98,7 @@ def failing(rows: DataFrame) -> dict[str, DataFrame]:
     tables = {name: rows.where(fails).select(*ids) for name, fails in rules().items()}
     # the first of each text isn't a copy: an aggregate combines the copies before they meet, and the join is by id
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
-    tables[COPY] = rows.where("doc_id IS NOT NULL").join(first, ["doc_id", "digest"], "left_anti").select(*ids)
+    tables[COPY] = rows.where("doc_id IS NOT NULL").join(_merged(first), ["doc_id", "digest"], "left_anti").select(*ids)
     return {name: stage(table, f"failing-{name}") for name, table in sorted(tables.items())}
 
 
@@ -110,16 +118,16 @@ def joined(tables: dict[str, DataFrame], rows: DataFrame, names: str = NAMES) ->
     union = lambda each: _union([each(n) for n in names])
     blocked = union(lambda n: _spread(tables[n].select("row"), [s for s in sets if n in s])).distinct()
     anyone = union(lambda n: tables[n].select("row", "part")).distinct()
-    clean = rows.join(anyone.select("row"), "row", "left_anti").groupBy("part").agg(F.count("*").alias("kept"))
-    left = _spread(anyone, sets).join(blocked, ["row", "prefix"], "left_anti").groupBy("part", "prefix").agg(F.count("*").alias("kept"))
+    clean = rows.join(_merged(anyone.select("row")), "row", "left_anti").groupBy("part").agg(F.count("*").alias("kept"))
+    left = _spread(anyone, sets).join(_merged(blocked), ["row", "prefix"], "left_anti").groupBy("part", "prefix").agg(F.count("*").alias("kept"))
     kept = _spread(clean, sets).select("part", "prefix", "kept").union(left.select("part", "prefix", "kept")).groupBy("part", "prefix").agg(
         F.sum("kept").alias("kept"))
     tried = union(lambda n: _spread(tables[n], [s for s in sets if n not in s]).withColumn("filter", F.lit(n)))
     by = ["part", "filter", "prefix"]
     number = lambda c: F.sum(F.col(c).cast("long"))
-    removed = tried.join(blocked, ["row", "prefix"], "left_anti").groupBy(*by).agg(
+    removed = tried.join(_merged(blocked), ["row", "prefix"], "left_anti").groupBy(*by).agg(
         F.count("*").alias("removed"), number("good").alias("good_lost"), number("toxic").alias("toxic_lost"))
-    gone = tried.join(blocked, ["row", "prefix"], "left_semi").groupBy(*by).agg(F.count("*").alias("redundant"))
+    gone = tried.join(_merged(blocked), ["row", "prefix"], "left_semi").groupBy(*by).agg(F.count("*").alias("redundant"))
     return stage(kept, "kept"), stage(removed.join(gone, by, "full"), "removed")
 
 
