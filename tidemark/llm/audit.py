@@ -112,17 +112,26 @@ def _spread(table: DataFrame, sets: list[str]) -> DataFrame:
     return table.withColumn("prefix", F.explode(F.array(*map(F.lit, sets))))
 
 
+def _spread_by_filter(table: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """Each row once for every prefix in the ``sets`` of its ``filter``.
+
+    Spread before their union, the tables would each meet what is blocked in a join of their own.
+    """
+    own = F.create_map(*(x for n, s in sets.items() for x in (F.lit(n), F.array(*map(F.lit, s)))))
+    return table.withColumn("prefix", F.explode(F.element_at(own, F.col("filter"))))
+
+
 def joined(tables: dict[str, DataFrame], rows: DataFrame, names: str = NAMES) -> tuple[DataFrame, DataFrame]:
     """Counts by part and prefix: ``kept`` of survivors; and by filter, too, of what it removes or finds gone."""
     sets = prefixes(names)
-    union = lambda each: _union([each(n) for n in names])
-    blocked = union(lambda n: _spread(tables[n].select("row"), [s for s in sets if n in s])).distinct()
-    anyone = union(lambda n: tables[n].select("row", "part")).distinct()
+    failed = _union([tables[n].withColumn("filter", F.lit(n)) for n in names])
+    blocked = _spread_by_filter(failed.select("row", "filter"), {n: [s for s in sets if n in s] for n in names}).select("row", "prefix").distinct()
+    anyone = failed.select("row", "part").distinct()
     clean = rows.join(_merged(anyone.select("row")), "row", "left_anti").groupBy("part").agg(F.count("*").alias("kept"))
     left = _spread(anyone, sets).join(_merged(blocked), ["row", "prefix"], "left_anti").groupBy("part", "prefix").agg(F.count("*").alias("kept"))
     kept = _spread(clean, sets).select("part", "prefix", "kept").union(left.select("part", "prefix", "kept")).groupBy("part", "prefix").agg(
         F.sum("kept").alias("kept"))
-    tried = union(lambda n: _spread(tables[n], [s for s in sets if n not in s]).withColumn("filter", F.lit(n)))
+    tried = _spread_by_filter(failed, {n: [s for s in sets if n not in s] for n in names})
     by = ["part", "filter", "prefix"]
     number = lambda c: F.sum(F.col(c).cast("long"))
     removed = tried.join(_merged(blocked), ["row", "prefix"], "left_anti").groupBy(*by).agg(
